@@ -160,15 +160,16 @@ def gated_change(files: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFram
 
 
 def apply_best(files: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
-    """(file_id, code, applied): every file after one round."""
+    """(file_id, original_code, refactored_code, applied): every file after one round."""
     lines, best = F.col("lines"), F.col("best")
     applies = passes_gate(best, F.col("decision"), cfg) & matches_text(lines, best, cfg)
     result = F.when(
         applies,
-        F.struct(F.array_join(apply_edit(lines, best, cfg), "\n").alias("code"), F.lit(True)),
-    ).otherwise(F.struct(F.array_join(lines, "\n").alias("code"), F.lit(False)))
-    return with_round(files, cfg).select(
-        "file_id", F.inline(F.array(result.cast("struct<code:string,applied:boolean>")))
+        F.struct(F.array_join(apply_edit(lines, best, cfg), "\n"), F.lit(True)),
+    ).otherwise(F.struct(F.array_join(lines, "\n"), F.lit(False)))
+    typed = result.cast("struct<refactored_code:string,applied:boolean>")
+    return with_round(files, cfg, "code").select(
+        "file_id", F.col("code").alias("original_code"), F.inline(F.array(typed))
     )
 
 

@@ -10,11 +10,11 @@ from corpusaudit.operators import rules
 from corpusaudit.operators.lines import loop_count
 
 
-def _lowered(files: DataFrame) -> DataFrame:
+def _lowered(files: DataFrame, *keep: str) -> DataFrame:
     """Adds the lower-cased text for literal checks, and a flag for the few letters whose case
     folds to ASCII outside lower(): texts holding one of them always go to the regex."""
     odd = has(F.col("code"), "ſ") | has(F.col("code"), "ı") | has(F.col("code"), "İ")
-    return files.select("file_id", "code", F.lower("code").alias("low"), odd.alias("odd"))
+    return files.select("file_id", *keep, "code", F.lower("code").alias("low"), odd.alias("odd"))
 
 
 def _may_hold(needle: str) -> Column:
@@ -170,12 +170,12 @@ def is_unsafe(code: Column) -> Column:
     return code.rlike(jre(rules.UNSAFE_CODE))
 
 
-def findings_per_agent(files: DataFrame) -> DataFrame:
-    """(file_id, agent_id, issues_found, labels, confidence): one narrow pass for all agents.
+def findings_per_agent(files: DataFrame, *keep: str) -> DataFrame:
+    """(file_id, keep, agent_id, issues_found, labels, confidence): one narrow pass for all agents.
 
     Confidence assumes that the text parses; ``audit.agent_analysis`` adds the syntax check.
     """
-    lowered = _lowered(files).withColumn("lines", split_lines(F.col("code")))
+    lowered = _lowered(files, *keep).withColumn("lines", split_lines(F.col("code")))
     security = F.filter(
         F.array(
             *[
@@ -193,7 +193,7 @@ def findings_per_agent(files: DataFrame) -> DataFrame:
     )
     found = lowered.select(
         "file_id",
-        "code",
+        *keep,
         security.alias("security"),
         pattern_issues(F.col("code"), F.col("lines")).alias("pattern"),
         loop_issues(F.col("code")).alias("loop"),
@@ -216,4 +216,4 @@ def findings_per_agent(files: DataFrame) -> DataFrame:
         row("security_enforcer", "security", 0.9, 0.7),
         row("loop_simplifier", "loop", 0.8, 0.6),
     )
-    return found.select("file_id", "code", F.inline(rows))
+    return found.select("file_id", *keep, F.inline(rows))
