@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit.config import AuditConfig
-from corpusaudit.functions.text import indent_of, let, py_strip, split_lines
+from corpusaudit.functions.text import indent_of, let, py_strip, rows_of, split_lines
 from corpusaudit.operators.consensus import DIGITS, decide
 from corpusaudit.operators.propose import PROPOSAL_FIELDS, Site, line_edits, with_lines
 
@@ -130,12 +130,6 @@ def meaningful_changes(files: DataFrame, cfg: AuditConfig = AuditConfig()) -> Da
     return edits.filter("meaningful").select("file_id", *PROPOSAL_FIELDS)
 
 
-def rows_of(condition: Column, row: Column) -> Column:
-    """A generator that yields ``row`` where the condition holds. A filter over computed columns
-    would be pushed below their projection and compute them a second time."""
-    return F.inline(F.array_compact(F.array(F.when(condition, row))))
-
-
 def best_change(files: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
     edits = with_lines(files).select(
         "file_id", flagged_edits(F.col("lines"), F.col("indents"), cfg).alias("edits")

@@ -91,12 +91,14 @@ def refactor_metrics(pairs: DataFrame) -> DataFrame:
 def lines_changed_multiset(pairs: DataFrame) -> DataFrame:
     """Lines added or removed, counted as multisets: a lower bound of the exact count that needs
     no alignment. Texts that did not change are left out before anything is shuffled."""
-    changed = pairs.filter(F.col("original_code") != F.col("refactored_code"))
-    sides = F.array(
-        F.struct(F.col("original_code").alias("text"), F.lit(1).alias("sign")),
-        F.struct(F.col("refactored_code").alias("text"), F.lit(-1).alias("sign")),
+    sides = F.when(
+        F.col("original_code") != F.col("refactored_code"),
+        F.array(
+            F.struct(F.col("original_code").alias("text"), F.lit(1).alias("sign")),
+            F.struct(F.col("refactored_code").alias("text"), F.lit(-1).alias("sign")),
+        ),
     )
-    lines = changed.select("file_id", F.inline(sides)).select(
+    lines = pairs.select("file_id", F.inline(sides)).select(
         "file_id", "sign", F.explode(split_lines(F.col("text"))).alias("line")
     )
     return (

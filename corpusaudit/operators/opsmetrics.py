@@ -51,9 +51,7 @@ def latency_histogram(latencies: DataFrame) -> DataFrame:
 def progress_timeline(results: DataFrame, max_iterations: int) -> DataFrame:
     """Progress in percent at the start of every round that a file went through."""
     rounds = F.sequence(F.lit(0), F.col("rounds") - 1)
-    timeline = results.filter(F.col("rounds") > 0).select(
-        "file_id", F.explode(rounds).alias("iteration")
-    )
+    timeline = results.select("file_id", F.explode(rounds).alias("iteration"))
     percent = F.floor(F.col("iteration") / max_iterations * 100)
     return timeline.select("file_id", "iteration", percent.alias("progress"))
 

@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusaudit.functions.diffs import changed_lines
+from corpusaudit.functions.text import rows_of
+from corpusaudit.operators.metrics import (
+    complexity_delta,
+    performance_gains,
+    security_improvements,
+)
+
 ACTIVE = ("started", "in_progress")
 RETENTION_DAYS = 30
 # Steps per exported JSON document.
@@ -193,9 +201,13 @@ def apply_plan(
     are shuffled.
     """
     now = corpus.select("path", F.sha2("code", 256).alias("digest"))
-    ready = results.filter(
-        (F.col("status") == "completed") & (F.col("refactored_code") != "")
-    ).select("path", F.sha2("original_code", 256).alias("expected"), "refactored_code")
+    ready = results.select(
+        "path",
+        rows_of(
+            (F.col("status") == "completed") & (F.col("refactored_code") != ""),
+            F.struct(F.sha2("original_code", 256).alias("expected"), "refactored_code"),
+        ),
+    )
     joined = ready.join(now, "path")
     kept = joined if force else joined.filter(F.col("digest") == F.col("expected"))
     copy = F.concat("path", F.lit(".backup")) if backup else F.lit(None).cast("string")
@@ -245,10 +257,11 @@ def export_steps(steps: DataFrame) -> DataFrame:
     )
 
 
-def result_report(results: DataFrame, metrics: DataFrame) -> DataFrame:
+def result_report(results: DataFrame, line_diff: bool = True) -> DataFrame:
     """Results of completed files with their metrics and the list of changes made.
 
-    Steps per file are bounded by ``max_iterations``, so they stay beside the file.
+    Steps per file are bounded by ``max_iterations``, so they stay beside the file, and the whole
+    report is one narrow pass.
     """
     change = F.transform(
         "steps",
@@ -256,10 +269,18 @@ def result_report(results: DataFrame, metrics: DataFrame) -> DataFrame:
             "%s: %s (confidence: %.2f)", s["agent"], s["description"], s["confidence"]
         ),
     )
-    done = results.filter(F.col("error_message").isNull()).select(
-        "file_id", "path", F.size("steps").alias("n_steps"), F.array_join(change, "\n").alias("changes")
+    before, after = F.col("original_code"), F.col("refactored_code")
+    lines = [changed_lines(before, after).alias("lines_changed")] if line_diff else []
+    return results.filter(F.col("error_message").isNull()).select(
+        "file_id",
+        "path",
+        F.size("steps").alias("n_steps"),
+        F.array_join(change, "\n").alias("changes"),
+        complexity_delta(before, after).alias("complexity_delta"),
+        security_improvements(before, after).alias("security_improvements"),
+        performance_gains(before, after).alias("performance_gains"),
+        *lines,
     )
-    return done.join(metrics, "file_id")
 
 
 def agent_contributions(steps: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusaudit.config import AGENTS, CHANGE_TYPES
 from corpusaudit.operators.ranking import ordinal_in_group
 from corpusaudit.sources.files import spread
 
@@ -86,8 +87,12 @@ def session_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_session_versions(table(spark, sf_dir, "events"))
 
 
-def _agent(event_id: Column) -> Column:
-    return _pick(("pattern_optimizer", "security_enforcer", "loop_simplifier"), event_id)
+def agent_of(event_id: Column) -> Column:
+    return _pick(AGENTS, event_id)
+
+
+def change_type_of(event_id: Column) -> Column:
+    return _pick(CHANGE_TYPES, event_id)
 
 
 def as_steps(events: DataFrame) -> DataFrame:
@@ -99,14 +104,11 @@ def as_steps(events: DataFrame) -> DataFrame:
         order=("ts", "event_id"),
         name="iteration",
     )
-    kind = _pick(
-        ("optimization", "security", "readability", "performance", "structure"), F.col("event_id")
-    )
     return numbered.select(
         session_key(F.col("user_id")).alias("refactor_id"),
         "iteration",
-        _agent(F.col("event_id")).alias("agent"),
-        kind.alias("change_type"),
+        agent_of(F.col("event_id")).alias("agent"),
+        change_type_of(F.col("event_id")).alias("change_type"),
         (F.col("event_id") % 100 / 100.0).alias("confidence"),
         "ts",
     )
@@ -119,12 +121,99 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return events.select(
-        _agent(F.col("event_id")).alias("agent"), (F.col("value") / 100).alias("seconds")
+        agent_of(F.col("event_id")).alias("agent"), (F.col("value") / 100).alias("seconds")
     )
 
 
 def snapshots(spark: SparkSession, sf_dir: str, every: int = 5) -> DataFrame:
-    """Snapshot listing: every ``every``-th step of a session."""
+    """Snapshot listing: every ``every``-th step of a session; some names carry no number."""
     kept = steps(spark, sf_dir).filter(F.col("iteration") % every == 0)
-    name = F.concat("refactor_id", F.lit("_iter_"), F.col("iteration").cast("string"), F.lit(".py"))
+    damaged = F.when(F.col("iteration") % 20 == 15, "x").otherwise("")
+    name = F.concat(
+        "refactor_id", F.lit("_iter_"), F.col("iteration").cast("string"), damaged, F.lit(".py")
+    )
     return kept.select("refactor_id", name.alias("name"), "iteration", F.col("ts").alias("mtime"))
+
+
+def target_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that users ask to refactor; a third of them does not exist."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    doc_id = F.col("doc_id")
+    there = F.concat("source", F.lit("/m"), doc_id.cast("string"), _pick(EXTENSIONS, doc_id))
+    gone = F.concat("source", F.lit("/gone"), doc_id.cast("string"), F.lit(".py"))
+    return docs.select(F.when(doc_id % 3 == 0, gone).otherwise(there).alias("target_path"))
+
+
+def agent_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The agents that every event's session asks for."""
+    event_id = F.col("event_id")
+    second = _pick(
+        (
+            "pattern_optimizer",
+            "security_enforcer",
+            "loop_simplifier",
+            "performance_optimizer",
+            "readability_enhancer",
+            "style_fixer",
+            "type_annotator",
+        ),
+        event_id,
+    )
+    events = table(spark, sf_dir, "events").select("event_id")
+    return events.select(F.array(agent_of(event_id), second).alias("agent_set"))
+
+
+def agent_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agent entries registered by users; every tenth one takes the id of a built-in agent."""
+    event_id = F.col("event_id")
+    plugin = F.concat(F.lit("plugin_"), (event_id % 25).cast("string"))
+    return table(spark, sf_dir, "events").select(
+        F.when(event_id % 10 == 0, agent_of(event_id)).otherwise(plugin).alias("agent_id"),
+        F.concat(F.lit("pkg_"), F.col("user_id").cast("string"), F.lit(":Agent")).alias("module"),
+        event_id.alias("seq"),
+    )
+
+
+def wanted_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that customers ask for; most of them were never started."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    return customers.select(session_key(F.col("c_custkey")).alias("refactor_id"))
+
+
+def dropped_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that suppliers ask to delete."""
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey")
+    return suppliers.select(session_key(F.col("s_suppkey")).alias("refactor_id"))
+
+
+def round_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with an iteration and a time, as they are offered for snapshots."""
+    start = F.lit("2024-02-15 00:00:00").cast("timestamp_ntz")
+    file_id = F.col("file_id")
+    return code_corpus(spark, sf_dir).select(
+        session_key(file_id).alias("refactor_id"),
+        (file_id % 11).alias("iteration"),
+        "code",
+        (start + F.make_dt_interval(secs=file_id)).alias("ts"),
+    )
+
+
+def edited_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus after someone else touched every fifth file."""
+    touched = F.when(F.col("file_id") % 5 == 0, F.concat("code", F.lit("\n# touched")))
+    return code_corpus(spark, sf_dir).withColumn("code", F.coalesce(touched, "code"))
+
+
+def user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule table made of the languages in the corpus: their code before an equals sign or a
+    call is written in capitals."""
+    langs = table(spark, sf_dir, "documents").select("lang").distinct()
+    return langs.select(
+        F.concat(F.lit("U_"), "lang").alias("rule_id"),
+        F.lit("language_code").alias("category"),
+        F.concat("lang", F.lit(r"\s+\w")).alias("pattern"),
+        F.concat(F.upper("lang"), F.lit(" ")).alias("replacement"),
+        F.lit(0.5).alias("confidence"),
+        F.lit(0.1).alias("impact"),
+        F.lit("readability").alias("change_type"),
+    )
