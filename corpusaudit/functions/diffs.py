@@ -1,51 +1,51 @@
-"""Line diffs as Arrow functions. Equal texts cost nothing."""
+"""Line diffs as Arrow functions. Equal texts cost nothing. The functions are local, so that they
+travel to the executors by value."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _changed(before: str | None, after: str | None) -> int:
-    import difflib
+def changed_lines(before: Column, after: Column) -> Column:
+    """Lines that a line-by-line comparison marks as added or removed."""
+
+    def count(a: str | None, b: str | None) -> int:
+        import difflib
+
+        if a is None or b is None or a == b:
+            return 0
+        marks = difflib.Differ().compare(a.split("\n"), b.split("\n"))
+        return sum(mark[:2] in ("+ ", "- ") for mark in marks)
 
-    if before is None or after is None or before == after:
-        return 0
-    marks = difflib.Differ().compare(before.split("\n"), after.split("\n"))
-    return sum(mark[:2] in ("+ ", "- ") for mark in marks)
+    def batch(a: pd.Series, b: pd.Series) -> pd.Series:
+        import pandas
 
+        return pandas.Series([count(x, y) for x, y in zip(a, b)], dtype="int32")
 
-def _unified(before: str | None, after: str | None) -> str:
-    import difflib
+    return F.pandas_udf(batch, T.IntegerType())(before, after)
 
-    if before is None or after is None or before == after:
-        return ""
-    return "".join(
-        difflib.unified_diff(
-            before.splitlines(keepends=True),
-            after.splitlines(keepends=True),
+
+def unified_diff(before: Column, after: Column) -> Column:
+    def diff(a: str | None, b: str | None) -> str:
+        import difflib
+
+        if a is None or b is None or a == b:
+            return ""
+        lines = difflib.unified_diff(
+            a.splitlines(keepends=True),
+            b.splitlines(keepends=True),
             fromfile="original",
             tofile="modified",
             lineterm="",
         )
-    )
-
+        return "".join(lines)
 
-@F.pandas_udf("int")
-def _changed_lines(before: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series([_changed(b, a) for b, a in zip(before, after)], dtype="int32")
+    def batch(a: pd.Series, b: pd.Series) -> pd.Series:
+        import pandas
 
+        return pandas.Series([diff(x, y) for x, y in zip(a, b)], dtype="object")
 
-@F.pandas_udf("string")
-def _unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series([_unified(b, a) for b, a in zip(before, after)], dtype="object")
-
-
-def changed_lines(before: Column, after: Column) -> Column:
-    """Lines that a line-by-line comparison marks as added or removed."""
-    return _changed_lines(before, after)
-
-
-def unified_diff(before: Column, after: Column) -> Column:
-    return _unified_diff(before, after)
+    return F.pandas_udf(batch, T.StringType())(before, after)

@@ -5,37 +5,45 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-
-def _measure(code: str | None) -> tuple[bool, int | None]:
-    import ast
-    import warnings
-
-    if code is None:
-        return False, None
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(code)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False, None
-    branches = (ast.If, ast.For, ast.AsyncFor, ast.While)
-    total = 1
-    for node in ast.walk(tree):
-        if isinstance(node, branches):
-            total += 1
-        elif isinstance(node, ast.Try):
-            total += len(node.handlers)
-    return True, total
-
-
-@F.pandas_udf("struct<valid:boolean,cyclomatic:int>")
-def _syntax(codes: pd.Series) -> pd.DataFrame:
-    rows = [_measure(code) for code in codes]
-    frame = pd.DataFrame(rows, columns=["valid", "cyclomatic"])
-    return frame.astype({"cyclomatic": "Int32"})
+SYNTAX = T.StructType(
+    [T.StructField("valid", T.BooleanType()), T.StructField("cyclomatic", T.IntegerType())]
+)
 
 
 def syntax(code: Column) -> Column:
-    """struct(valid, cyclomatic); cyclomatic is null for a text that does not parse."""
-    return _syntax(code)
+    """struct(valid, cyclomatic); cyclomatic is null for a text that does not parse.
+
+    The function is local, so that it travels to the executors by value and they need nothing
+    installed but pandas and pyarrow.
+    """
+
+    def measure(text: str | None) -> tuple[bool, int | None]:
+        import ast
+        import warnings
+
+        if text is None:
+            return False, None
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                tree = ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return False, None
+        branches = (ast.If, ast.For, ast.AsyncFor, ast.While)
+        total = 1
+        for node in ast.walk(tree):
+            if isinstance(node, branches):
+                total += 1
+            elif isinstance(node, ast.Try):
+                total += len(node.handlers)
+        return True, total
+
+    def batch(codes: pd.Series) -> pd.DataFrame:
+        import pandas
+
+        frame = pandas.DataFrame([measure(c) for c in codes], columns=["valid", "cyclomatic"])
+        return frame.astype({"valid": "bool", "cyclomatic": "Int32"})
+
+    return F.pandas_udf(batch, SYNTAX)(code)

@@ -16,6 +16,8 @@ from corpusaudit.operators.metrics import (
 
 ACTIVE = ("started", "in_progress")
 RETENTION_DAYS = 30
+# Times keep their microseconds in exported documents.
+JSON_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 # Steps per exported JSON document.
 PAGE = 100
 
@@ -238,11 +240,11 @@ def backups(plan: DataFrame, corpus: DataFrame) -> DataFrame:
 def export_sessions(current: DataFrame) -> DataFrame:
     """One JSON document per session."""
     fields = [f.split()[0] for f in SESSION_SCHEMA.split(", ")]
-    return current.select("refactor_id", F.to_json(F.struct(*fields)).alias("document"))
+    return current.select("refactor_id", F.to_json(F.struct(*fields), JSON_OPTIONS).alias("document"))
 
 
 def import_sessions(documents: DataFrame) -> DataFrame:
-    parsed = documents.select(F.from_json("document", SESSION_SCHEMA).alias("s"))
+    parsed = documents.select(F.from_json("document", SESSION_SCHEMA, JSON_OPTIONS).alias("s"))
     return parsed.select("s.*")
 
 
@@ -253,7 +255,7 @@ def export_steps(steps: DataFrame) -> DataFrame:
     return (
         steps.groupBy("refactor_id", page)
         .agg(F.sort_array(F.collect_list(step)).alias("steps"))
-        .select("refactor_id", "page", F.to_json("steps").alias("document"))
+        .select("refactor_id", "page", F.to_json("steps", JSON_OPTIONS).alias("document"))
     )
 
 

@@ -205,13 +205,13 @@ def edited_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rule table made of the languages in the corpus: their code before an equals sign or a
-    call is written in capitals."""
+    """A rule table made of the languages in the corpus: their code before a word is written in
+    capitals and takes the word's first letter with it."""
     langs = table(spark, sf_dir, "documents").select("lang").distinct()
     return langs.select(
         F.concat(F.lit("U_"), "lang").alias("rule_id"),
         F.lit("language_code").alias("category"),
-        F.concat("lang", F.lit(r"\s+\w")).alias("pattern"),
+        F.concat("lang", F.lit(" [a-z]")).alias("pattern"),
         F.concat(F.upper("lang"), F.lit(" ")).alias("replacement"),
         F.lit(0.5).alias("confidence"),
         F.lit(0.1).alias("impact"),
