@@ -47,8 +47,7 @@ def has(text: Column, literal: str) -> Column:
 
 def count_of(text: Column, literal: str) -> Column:
     """Non-overlapping occurrences of a literal."""
-    removed = F.length(text) - F.length(F.replace(text, F.lit(literal), F.lit("")))
-    return (removed / F.lit(len(literal))).cast("long")
+    return F.regexp_count(text, F.lit(re.escape(literal))).cast("long")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

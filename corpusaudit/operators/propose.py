@@ -347,18 +347,24 @@ def _nested(site: Site, agent_ord: int, block: Column, end: Column) -> Column:
 
 
 def line_edits(site: Site, agent_set: Sequence[str]) -> Column:
-    """All edits proposed for one line, in rule order per agent."""
-    edits: list[Column] = []
+    """All edits proposed for one line. Each group of rules is tried only on lines that hold what
+    all of its rules need, so most lines cost a handful of literal checks."""
+    line = site.line
+    groups: list[Column] = []
     for agent_ord, agent in enumerate(agent_set):
         if agent == "security_enforcer":
-            edits += security_edits(site, agent_ord)
+            gate = has(line, "(") | has(line, "=") | has(line, "../")
+            groups.append(F.when(gate, F.array(*security_edits(site, agent_ord))))
         elif agent == "pattern_optimizer":
-            edits += pattern_edits(site, agent_ord)
+            listed, ternary, joined, keyed = pattern_edits(site, agent_ord)
+            groups.append(F.when(has(line, "for"), F.array(listed, joined)))
+            groups.append(F.when(has(line, "if"), F.array(ternary, keyed)))
         elif agent == "loop_simplifier":
-            edits.append(loop_edit(site, agent_ord))
+            gate = has(line, "for") | has(line, "0") | has(line, "while")
+            groups.append(F.when(gate, F.array(loop_edit(site, agent_ord))))
         else:
             raise ValueError(f"AGENT_NOT_FOUND: {agent}")
-    return F.filter(F.array(*edits), lambda edit: edit.isNotNull())
+    return F.array_compact(F.flatten(F.array_compact(F.array(*groups))))
 
 
 def edits_by_line(lines: Column, indents: Column, agent_set: Sequence[str] = AGENTS) -> Column:
