@@ -139,7 +139,8 @@ def decide(
 
     def from_matrix(m: Column) -> Column:
         def mean(value) -> Column:
-            return F.aggregate(m, F.lit(0.0), lambda acc, row: acc + value(row)) / F.size(m)
+            total = F.aggregate(m, F.lit(0.0), lambda acc, row: acc + value(row))
+            return F.try_divide(total, F.size(m))
 
         average = mean(lambda row: _weighted(row, w))
         averages = F.array(*[mean(lambda row, i=i: F.get(row, F.lit(i))) for i in range(len(w))])

@@ -27,12 +27,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 def read_code_dir(spark: SparkSession, root: str) -> DataFrame:
     """(file_id, path, code) of every file below ``root``; line ends become newlines."""
-    raw = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(root)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    )
+    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+    raw = texts.select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     code = F.regexp_replace("value", "\r\n?", "\n")
     return raw.select(F.col("path").alias("file_id"), "path", code.alias("code"))
 
