@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusaudit.config import AGENTS
 from corpusaudit.functions.text import let
-from corpusaudit.operators.vote import EMITTED, score, vote_key
+from corpusaudit.operators.vote import EMITTED, Voters, score, vote_key
 
 # Sums of doubles have no fixed order in a distributed plan; verdicts compare at 12 digits so that
 # a score that lies exactly on the threshold gets the same verdict on every run.
@@ -29,7 +29,9 @@ def _weighted(scores: Column, weights: Sequence[float]) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def scored_keys(proposed: DataFrame, agent_set: Sequence[str] = AGENTS) -> DataFrame:
+def scored_keys(
+    proposed: DataFrame, agent_set: Sequence[str] = AGENTS, voters: Voters | None = None
+) -> DataFrame:
     """(file_id, vote_key, scores): the scores of all voters, in the order of ``agent_set``.
 
     Voters share their keys, so duplicates are settled once for all of them, and the rows that
@@ -39,7 +41,7 @@ def scored_keys(proposed: DataFrame, agent_set: Sequence[str] = AGENTS) -> DataF
         "file_id",
         vote_key(F.col).alias("vote_key"),
         *EMITTED,
-        F.array(*[score(voter, F.col) for voter in agent_set]).alias("scores"),
+        F.array(*[score(voter, F.col, voters) for voter in agent_set]).alias("scores"),
     )
     last = F.max_by("scores", F.struct(*EMITTED))
     return ballots.groupBy("file_id", "vote_key").agg(last.alias("scores"))
@@ -49,9 +51,10 @@ def key_scores(
     proposed: DataFrame,
     agent_set: Sequence[str] = AGENTS,
     weights: Mapping[str, float] | None = None,
+    voters: Voters | None = None,
 ) -> DataFrame:
     w = voter_weights(agent_set, weights)
-    return scored_keys(proposed, agent_set).select(
+    return scored_keys(proposed, agent_set, voters).select(
         "file_id", "vote_key", _weighted(F.col("scores"), w).alias("key_score")
     )
 
@@ -94,6 +97,7 @@ def consensus(
     threshold: float = 0.6,
     agent_set: Sequence[str] = AGENTS,
     weights: Mapping[str, float] | None = None,
+    voters: Voters | None = None,
 ) -> DataFrame:
     """One decision per file, with the average of every voter (null where nothing was voted on)."""
     ids = files.select("file_id")
@@ -109,7 +113,7 @@ def consensus(
     w = voter_weights(agent_set, weights)
     scores = F.col("scores")
     per_file = (
-        scored_keys(proposed, agent_set)
+        scored_keys(proposed, agent_set, voters)
         .groupBy("file_id")
         .agg(
             F.count("*").alias("n_keys"),

@@ -23,7 +23,6 @@ def active_gauge(versions: DataFrame) -> DataFrame:
     return running_total(
         moves,
         value="change",
-        bucket=F.date_trunc("minute", "ts"),
         order=("ts", "seq"),
         name="active",
     )

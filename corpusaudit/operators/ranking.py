@@ -1,55 +1,63 @@
-"""Ordinals and running totals that do not put one hot key, or the whole table, into one task.
+"""Ordinals and running totals that never put one key, or the whole table, into one task.
 
-Both work in two levels. Rows are first counted per time bucket (a partial aggregate), the bucket
-totals are prefix-summed, and only the rows of one bucket are ordered together. The number of
-buckets follows the covered time span, not the number of rows.
+Rows are range-partitioned by their full order, which splits a hot key or a crowded moment over as
+many partitions as its share of the rows asks for, and written with the number of their partition.
+Writing fixes the partitions: they stay the same for the totals and for the rows, also when
+executors are lost. Counts per partition are then prefix-summed, and only rows of one partition are
+ordered together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusaudit.sources.state import new_dir
+
 _BEFORE = (W.unboundedPreceding, -1)
 
 
-def ordinal_in_group(
-    df: DataFrame, *, key: str, bucket: Column, order: Sequence[str], name: str
-) -> DataFrame:
-    """0-based position of every row within its key, in ``order``; ``bucket`` must grow with it."""
-    bucketed = df.withColumn("_bucket", bucket)
-    totals = bucketed.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
-    by_key = W.partitionBy(key).orderBy("_bucket").rowsBetween(*_BEFORE)
+def _in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows with ``_part``, which grows with ``order``; rows must differ in ``order``."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_dir(spark, "ordered")
+    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def ordinal_in_group(df: DataFrame, *, key: str, order: Sequence[str], name: str) -> DataFrame:
+    """0-based position of every row within its key, in ``order``."""
+    rows = _in_order(df, (key, *order))
+    totals = rows.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    # At most one row per key and partition enters this window.
+    by_key = W.partitionBy(key).orderBy("_part").rowsBetween(*_BEFORE)
     offsets = totals.select(
-        key, "_bucket", F.coalesce(F.sum("_n").over(by_key), F.lit(0)).alias("_offset")
+        key, "_part", F.coalesce(F.sum("_n").over(by_key), F.lit(0)).alias("_offset")
     )
-    local = F.row_number().over(W.partitionBy(key, "_bucket").orderBy(*order)) - 1
-    ranked = bucketed.withColumn("_local", local)
-    joined = ranked.join(offsets, [key, "_bucket"])
+    local = F.row_number().over(W.partitionBy("_part", key).orderBy(*order)) - 1
+    joined = rows.withColumn("_local", local).join(offsets, ["_part", key])
     return joined.withColumn(name, F.col("_offset") + F.col("_local")).drop(
-        "_bucket", "_offset", "_local"
+        "_part", "_offset", "_local"
     )
 
 
-def running_total(
-    df: DataFrame, *, value: str, bucket: Column, order: Sequence[str], name: str
-) -> DataFrame:
+def running_total(df: DataFrame, *, value: str, order: Sequence[str], name: str) -> DataFrame:
     """Running sum of ``value`` over the whole table in ``order``."""
-    bucketed = df.withColumn("_bucket", bucket)
-    totals = bucketed.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
-    # One row per bucket: the only window without a key runs over this small table.
+    rows = _in_order(df, order)
+    totals = rows.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    # The only window without a key runs over one row per partition.
+    before = W.orderBy("_part").rowsBetween(*_BEFORE)
     offsets = totals.select(
-        "_bucket",
-        F.coalesce(F.sum("_sum").over(W.orderBy("_bucket").rowsBetween(*_BEFORE)), F.lit(0)).alias(
-            "_offset"
-        ),
+        "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")
     )
-    within = W.partitionBy("_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = bucketed.withColumn("_local", F.sum(value).over(within))
-    joined = local.join(offsets, "_bucket")
+    within = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = rows.withColumn("_local", F.sum(value).over(within))
+    joined = local.join(offsets, "_part")
     return joined.withColumn(name, F.col("_offset") + F.col("_local")).drop(
-        "_bucket", "_offset", "_local"
+        "_part", "_offset", "_local"
     )

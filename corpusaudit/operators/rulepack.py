@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +63,12 @@ def propose_with(pack: RulePack, files: DataFrame) -> DataFrame:
     return check_proposals(pack.propose(files))
 
 
+def validate_with(pack: RulePack, pairs: DataFrame) -> DataFrame:
+    """The pack's verdict on (file_id, original_code, refactored_code)."""
+    verdict = pack.validate(F.col("original_code"), F.col("refactored_code"))
+    return pairs.select("file_id", verdict.alias("valid"))
+
+
 def merge_rules(builtin: DataFrame, user: DataFrame) -> DataFrame:
     """Built-in rules and those user rules whose id is not taken."""
     free = user.join(builtin.select("rule_id"), "rule_id", "left_anti")
@@ -82,6 +89,29 @@ def _packs(rules: DataFrame) -> Iterator[list]:
         last = pack[-1]["rule_id"]
 
 
+def _union(passes: list[DataFrame]) -> DataFrame:
+    if not passes:
+        raise ValueError("the rule table is empty")
+    return reduce(DataFrame.unionByName, passes)
+
+
+def scan_rule_table(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(file_id, rule_id, category, n_matches) of data-only rules, searched in whole texts."""
+    passes = []
+    for pack in _packs(rules.select("rule_id", "category", "pattern")):
+        counts = [
+            F.struct(
+                F.lit(r["rule_id"]).alias("rule_id"),
+                F.lit(r["category"]).alias("category"),
+                F.regexp_count("code", F.lit(jre(r["pattern"]))).cast("long").alias("n_matches"),
+            )
+            for r in pack
+        ]
+        found = F.filter(F.array(*counts), lambda hit: hit["n_matches"] > 0)
+        passes.append(files.select("file_id", F.inline(found)))
+    return _union(passes)
+
+
 def apply_rule_table(files: DataFrame, rules: DataFrame, agent_id: str, agent_ord: int) -> DataFrame:
     """Proposals of data-only rules: a line that matches ``pattern`` is rewritten by ``replacement``.
 
@@ -127,9 +157,4 @@ def apply_rule_table(files: DataFrame, rules: DataFrame, agent_id: str, agent_or
                 "impact_score",
             )
         )
-    if not passes:
-        raise ValueError("the rule table is empty")
-    merged = passes[0]
-    for more in passes[1:]:
-        merged = merged.unionByName(more)
-    return check_proposals(merged)
+    return check_proposals(_union(passes))

@@ -3,7 +3,7 @@ join of voters and edits is needed."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +13,8 @@ from corpusaudit.config import AGENTS
 from corpusaudit.operators.scan import is_unsafe
 
 Field = Callable[[str], Column]
+# A voter outside the built-in ones: maps the columns of an edit to its score.
+Voters = Mapping[str, Callable[[Field], Column]]
 
 # Words in a description that the loop simplifier favours.
 LOOP_WORDS = r"loop|comprehension|enumerate|built-in"
@@ -27,8 +29,9 @@ def _capped(score: Column) -> Column:
     return F.least(score, F.lit(1.0))
 
 
-def score(voter: str, field: Field) -> Column:
-    """Score that ``voter`` gives to the edit whose columns ``field`` returns."""
+def score(voter: str, field: Field, voters: Voters | None = None) -> Column:
+    """Score that ``voter`` gives to the edit whose columns ``field`` returns. Built-in voters win
+    over those in ``voters``."""
     confidence, kind = field("confidence"), field("change_type")
     if voter == "security_enforcer":
         return (
@@ -53,6 +56,8 @@ def score(voter: str, field: Field) -> Column:
             .when(kind == "optimization", confidence * 1.0)
             .otherwise(confidence * 0.6)
         )
+    if voters and voter in voters:
+        return voters[voter](field)
     raise ValueError(f"AGENT_NOT_FOUND: {voter}")
 
 
@@ -63,7 +68,10 @@ def vote_key(field: Field) -> Column:
 
 
 def collect_votes(
-    proposed: DataFrame, agent_set: Sequence[str] = AGENTS, failed: Sequence[str] = ()
+    proposed: DataFrame,
+    agent_set: Sequence[str] = AGENTS,
+    failed: Sequence[str] = (),
+    voters: Voters | None = None,
 ) -> DataFrame:
     """One row per voter and edit. A failed voter gives a neutral score to change_0, change_1, ..."""
     keyed = proposed.withColumn("vote_key", vote_key(F.col))
@@ -75,7 +83,7 @@ def collect_votes(
             F.lit(voter).alias("voter"),
             F.lit(i).alias("voter_ord"),
             (F.col("neutral_key") if voter in failed else F.col("vote_key")).alias("vote_key"),
-            (F.lit(NEUTRAL) if voter in failed else score(voter, F.col)).alias("score"),
+            (F.lit(NEUTRAL) if voter in failed else score(voter, F.col, voters)).alias("score"),
         )
         for i, voter in enumerate(agent_set)
     ]

@@ -203,7 +203,7 @@ CATALOG: dict[str, Query] = {
         derived.session_versions(spark, sf), derived.dropped_sessions(spark, sf)
     ),
     "session_status": lambda spark, sf: sessions.session_status(
-        _current(spark, sf), derived.steps(spark, sf)
+        _current(spark, sf), derived.unnumbered_steps(spark, sf)
     ),
     "step_log_append": _step_log,
     "step_history": lambda spark, sf: sessions.step_history(derived.steps(spark, sf)),
@@ -253,6 +253,9 @@ CATALOG: dict[str, Query] = {
     "all_proposals": _corpus(propose.proposals),
     "proposals_by_type": _proposals(propose.proposals_by_type),
     "user_rule_proposals": _user_rules,
+    "user_rule_counts": lambda spark, sf: rulepack.scan_rule_table(
+        derived.code_corpus(spark, sf), derived.user_rules(spark, sf)
+    ),
     # votes and consensus
     "votes_security": _proposals(lambda p: vote.votes_of(p, "security_enforcer")),
     "votes_pattern": _proposals(lambda p: vote.votes_of(p, "pattern_optimizer")),
@@ -302,12 +305,12 @@ CATALOG: dict[str, Query] = {
     "unified_diff": _round(metrics.diffs),
     "refactor_metrics": _refactored(metrics.refactor_metrics),
     "agent_contributions": lambda spark, sf: sessions.agent_contributions(
-        derived.steps(spark, sf)
+        derived.unnumbered_steps(spark, sf)
     ),
     "validate_corpus": _corpus(metrics.validate_corpus),
     # operations
     "session_totals": lambda spark, sf: sessions.session_totals(
-        derived.session_versions(spark, sf), derived.steps(spark, sf)
+        derived.session_versions(spark, sf), derived.unnumbered_steps(spark, sf)
     ),
     "active_gauge": lambda spark, sf: opsmetrics.active_gauge(derived.session_versions(spark, sf)),
     "latency_histogram": lambda spark, sf: opsmetrics.latency_histogram(

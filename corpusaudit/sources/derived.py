@@ -95,23 +95,30 @@ def change_type_of(event_id: Column) -> Column:
     return _pick(CHANGE_TYPES, event_id)
 
 
+def _step_columns() -> list[Column]:
+    return [
+        session_key(F.col("user_id")).alias("refactor_id"),
+        agent_of(F.col("event_id")).alias("agent"),
+        change_type_of(F.col("event_id")).alias("change_type"),
+        (F.col("event_id") % 100 / 100.0).alias("confidence"),
+        "ts",
+    ]
+
+
+def unnumbered_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applied steps of every session, for whatever does not ask for their number."""
+    return table(spark, sf_dir, "events").select(*_step_columns())
+
+
 def as_steps(events: DataFrame) -> DataFrame:
     """Applied steps of every session, numbered in time order."""
     numbered = ordinal_in_group(
         events.select("user_id", "ts", "event_id"),
         key="user_id",
-        bucket=F.date_trunc("minute", "ts"),
         order=("ts", "event_id"),
         name="iteration",
     )
-    return numbered.select(
-        session_key(F.col("user_id")).alias("refactor_id"),
-        "iteration",
-        agent_of(F.col("event_id")).alias("agent"),
-        change_type_of(F.col("event_id")).alias("change_type"),
-        (F.col("event_id") % 100 / 100.0).alias("confidence"),
-        "ts",
-    )
+    return numbered.select(*_step_columns(), "iteration")
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:

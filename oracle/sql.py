@@ -741,6 +741,11 @@ def statements() -> dict[str, str]:
   regexp_replace(line, lang || ' [a-z]', upper(lang) || ' ', 'g') AS modified_code,
   0.5::DOUBLE AS confidence FROM ctx0 c, lang_code
   WHERE regexp_matches(line, lang || ' [a-z]')"""),
+        "user_rule_counts": with_(
+            [CORPUS, "lang_code AS (SELECT DISTINCT lang FROM documents)"],
+            """SELECT * FROM (SELECT file_id, 'U_' || lang AS rule_id, 'language_code' AS category,
+  len(regexp_extract_all(code, lang || ' [a-z]')) AS n_matches FROM corpus, lang_code)
+  WHERE n_matches > 0"""),
         "votes_security": _votes("security_enforcer"),
         "votes_pattern": _votes("pattern_optimizer"),
         "votes_loop": _votes("loop_simplifier"),

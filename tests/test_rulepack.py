@@ -34,6 +34,14 @@ def test_large_rule_tables_take_several_passes(spark, corpus_of):
     assert len({r.rule_ord for r in p}) == n
 
 
+def test_rule_tables_search_whole_texts(spark, corpus_of):
+    rules = spark.createDataFrame(
+        [("W1", "c", r"a\s+b", "", 0.5, 0.1, "readability")], RULES
+    )
+    rows = rulepack.scan_rule_table(corpus_of("a\nb a  b", "ab"), rules).collect()
+    assert [(r.file_id, r.n_matches) for r in rows] == [(0, 2)]
+
+
 def test_builtin_rules_win(spark):
     builtin = table(spark, 2)
     user = table(spark, 4).withColumn("replacement", F.lit("other"))
@@ -66,7 +74,13 @@ def test_packs_are_checked(corpus_of):
             "todo", lines.code_lines, make, lambda f: f("confidence"), lambda a, b: a != b
         )
 
-    assert rulepack.propose_with(pack(good), files).first().modified_code == "done"
+    proposed = rulepack.propose_with(pack(good), files)
+    assert proposed.first().modified_code == "done"
+    voters = {"todo": pack(good).vote}
+    d = consensus.consensus(files, proposed, 0.6, ("todo", "pattern_optimizer"), voters=voters)
+    assert d.first().confidence == pytest.approx(1 - (0.5 + 0.4) / 2)
+    pairs = files.select("file_id", F.col("code").alias("original_code"), F.lit("done").alias("refactored_code"))
+    assert rulepack.validate_with(pack(good), pairs).first().valid
     with pytest.raises(TypeError, match="confidence"):
         rulepack.propose_with(pack(lambda f: good(f).drop("confidence")), files)
     with pytest.raises(TypeError, match="line_start"):

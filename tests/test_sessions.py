@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusaudit.operators import agents, opsmetrics, sessions
-from corpusaudit.operators.ranking import ordinal_in_group, running_total
+from corpusaudit.operators.ranking import _in_order, ordinal_in_group, running_total
 from corpusaudit.sources import files as sources
 from corpusaudit.sources import state
 
@@ -160,8 +160,13 @@ def test_json_pages_stay_small(spark):
 
 
 def hot_rows(spark):
+    """One key holds more than a third of the rows, one moment half of those."""
     rows = [
-        ("hot" if i % 3 == 0 else f"k{i % 40}", T0 + dt.timedelta(seconds=i * 7 % 9000), i)
+        (
+            "hot" if i % 3 == 0 else f"k{i % 40}",
+            T0 if i % 6 == 0 else T0 + dt.timedelta(seconds=i * 7 % 9000),
+            i,
+        )
         for i in range(6000)
     ]
     return spark.createDataFrame(rows, "k string, ts timestamp_ntz, n bigint")
@@ -169,9 +174,7 @@ def hot_rows(spark):
 
 def test_ordinals_of_a_hot_key(spark):
     df = hot_rows(spark)
-    got = ordinal_in_group(
-        df, key="k", bucket=F.date_trunc("minute", "ts"), order=("ts", "n"), name="i"
-    )
+    got = ordinal_in_group(df, key="k", order=("ts", "n"), name="i")
     want = df.withColumn(
         "i", (F.row_number().over(W.partitionBy("k").orderBy("ts", "n")) - 1).cast("bigint")
     )
@@ -179,11 +182,14 @@ def test_ordinals_of_a_hot_key(spark):
     assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect())
 
 
+def test_a_hot_moment_is_split(spark):
+    parts = _in_order(hot_rows(spark), ("k", "ts", "n")).groupBy("_part").count().collect()
+    assert len(parts) == 8 and max(r["count"] for r in parts) < 2 * 6000 / 8
+
+
 def test_running_total_in_buckets(spark):
     df = hot_rows(spark).withColumn("v", (F.col("n") % 5 - 2).cast("int"))
-    got = running_total(
-        df, value="v", bucket=F.date_trunc("minute", "ts"), order=("ts", "n"), name="total"
-    )
+    got = running_total(df, value="v", order=("ts", "n"), name="total")
     want = df.withColumn("total", F.sum("v").over(W.orderBy("ts", "n")))
     columns = ["n", "total"]
     assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect())
