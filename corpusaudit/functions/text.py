@@ -50,6 +50,18 @@ def count_of(text: Column, literal: str) -> Column:
     return F.regexp_count(text, F.lit(re.escape(literal))).cast("long")
 
 
+def odd_case(text: Column) -> Column:
+    """True for texts with one of the few letters whose case folds to ASCII outside lower()."""
+    return has(text, "ſ") | has(text, "ı") | has(text, "İ")
+
+
+def count_ignoring_case(text: Column, low: Column, odd: Column, pattern: str) -> Column:
+    """Matches of a pattern in any case. ``low`` is the lower-cased text: searching it with the
+    lower-cased pattern is many times faster than a search that ignores case."""
+    folded = F.regexp_count(low, F.lit(jre(pattern.lower())))
+    return F.when(odd, F.regexp_count(text, F.lit(jre(pattern, ignore_case=True)))).otherwise(folded)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times inside one expression."""
     return F.element_at(F.transform(F.array(value), body), 1)

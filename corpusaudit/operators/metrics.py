@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from corpusaudit.functions.diffs import changed_lines, unified_diff
 from corpusaudit.functions.pyast import syntax
 from corpusaudit.functions.text import (
+    count_ignoring_case,
     count_of,
     has,
     indent_of,
-    jre,
     let,
+    odd_case,
     py_lstrip,
     py_strip,
     split_lines,
@@ -45,34 +46,37 @@ def complexity_report(files: DataFrame) -> DataFrame:
 
 
 def complexity_delta(before: Column, after: Column) -> Column:
-    return complexity(after) - complexity(before)
+    return F.when(before == after, 0.0).otherwise(complexity(after) - complexity(before))
 
 
 def _issue_count(code: Column) -> Column:
-    def total(low: Column) -> Column:
-        odd = has(code, "ſ") | has(code, "ı") | has(code, "İ")
+    def total(v: Column) -> Column:
         parts = [
             F.when(
-                has(low, needle) | odd,
-                F.regexp_count(code, F.lit(jre(pattern, ignore_case=True))),
+                has(v["low"], needle) | v["odd"],
+                count_ignoring_case(code, v["low"], v["odd"], pattern),
             ).otherwise(0)
             for needle, pattern in rules.IMPROVEMENTS
         ]
         return sum(parts[1:], parts[0])
 
-    return let(F.lower(code), total)
+    return let(F.struct(F.lower(code).alias("low"), odd_case(code).alias("odd")), total)
 
 
 def security_improvements(before: Column, after: Column) -> Column:
-    return F.greatest(F.lit(0), _issue_count(before) - _issue_count(after)).cast("long")
+    gone = F.when(before == after, 0).otherwise(_issue_count(before) - _issue_count(after))
+    return F.greatest(F.lit(0), gone).cast("long")
 
 
 def performance_gains(before: Column, after: Column) -> Column:
     fewer_appends = count_of(before, "append") > count_of(after, "append")
+    comprehension = has(after, "[") & has(after, "for") & fewer_appends
+    enumerated = has(after, "enumerate") & has(before, "range(len(")
+    generator = has(after, "yield") & has(before, "return")
     return (
-        F.when(has(after, "[") & has(after, "for") & fewer_appends, COMPREHENSION_GAIN).otherwise(0.0)
-        + F.when(has(after, "enumerate") & has(before, "range(len("), ENUMERATE_GAIN).otherwise(0.0)
-        + F.when(has(after, "yield") & has(before, "return"), GENERATOR_GAIN).otherwise(0.0)
+        F.when(comprehension, COMPREHENSION_GAIN).otherwise(0.0)
+        + F.when(enumerated, ENUMERATE_GAIN).otherwise(0.0)
+        + F.when(generator, GENERATOR_GAIN).otherwise(0.0)
     )
 
 

@@ -7,9 +7,11 @@ from typing import NamedTuple
 
 class Vulnerability(NamedTuple):
     rule_id: str
+    # Lower-case literals that every match must contain. Rules that share a gate are skipped
+    # together; texts without the needle skip the regex.
+    gate: str
     category: str
     pattern: str
-    # Lower-case literal every match must contain; texts without it skip the regex.
     needle: str
     # Same matches as ``pattern``, with possessive parts so that a failing search stays linear.
     search: str
@@ -17,45 +19,45 @@ class Vulnerability(NamedTuple):
 
 # The 23 vulnerability patterns and their categories.
 VULNERABILITIES = (
-    Vulnerability("R0", "sql_injection", r"cursor\.execute\([^)]*%[^)]*\)", "cursor.execute(",
+    Vulnerability("R0", "execute", "sql_injection", r"cursor\.execute\([^)]*%[^)]*\)", "cursor.execute(",
                   r"cursor\.execute\([^)%]*+%[^)]*+\)"),
-    Vulnerability("R1", "sql_injection", r"\.format\([^)]*\).*execute", ".format(",
+    Vulnerability("R1", "execute", "sql_injection", r"\.format\([^)]*\).*execute", ".format(",
                   r"\.format\([^)]*+\).*execute"),
-    Vulnerability("R2", "sql_injection", r'f".*{.*}.*".*execute', "execute",
+    Vulnerability("R2", "execute", "sql_injection", r'f".*{.*}.*".*execute', "execute",
                   r'f"(?>.*?\{)(?>.*?\})(?>.*?").*execute'),
-    Vulnerability("R3", "sql_injection", r"execute\([^)]*\+[^)]*\)", "execute(",
+    Vulnerability("R3", "execute", "sql_injection", r"execute\([^)]*\+[^)]*\)", "execute(",
                   r"execute\([^)+]*+\+[^)]*+\)"),
-    Vulnerability("R4", "command_injection", r"os\.system\([^)]*\+", "os.system(",
+    Vulnerability("R4", "os.", "command_injection", r"os\.system\([^)]*\+", "os.system(",
                   r"os\.system\([^)]*\+"),
-    Vulnerability("R5", "command_injection", r"subprocess\.[^(]*\([^)]*\+", "subprocess.",
+    Vulnerability("R5", "subprocess.", "command_injection", r"subprocess\.[^(]*\([^)]*\+", "subprocess.",
                   r"subprocess\.[^(]*+\([^)]*\+"),
-    Vulnerability("R6", "command_injection", r"eval\([^)]*input", "eval(", r"eval\([^)]*input"),
-    Vulnerability("R7", "command_injection", r"exec\([^)]*input", "exec(", r"exec\([^)]*input"),
-    Vulnerability("R8", "path_traversal", r"open\([^)]*\.\./.*\)", "open(", r"open\([^)]*\.\./.*\)"),
-    Vulnerability("R9", "path_traversal", r"""["'][^"']*\.\./[^"']*["']""", "../",
+    Vulnerability("R6", "eval(", "command_injection", r"eval\([^)]*input", "eval(", r"eval\([^)]*input"),
+    Vulnerability("R7", "exec(", "command_injection", r"exec\([^)]*input", "exec(", r"exec\([^)]*input"),
+    Vulnerability("R8", "../", "path_traversal", r"open\([^)]*\.\./.*\)", "open(", r"open\([^)]*\.\./.*\)"),
+    Vulnerability("R9", "../", "path_traversal", r"""["'][^"']*\.\./[^"']*["']""", "../",
                   r"""["'][^"']*\.\./[^"']*["']"""),
-    Vulnerability("R10", "path_traversal", r"os\.path\.join\([^)]*\.\.", "os.path.join(",
+    Vulnerability("R10", "os.", "path_traversal", r"os\.path\.join\([^)]*\.\.", "os.path.join(",
                   r"os\.path\.join\([^)]*\.\."),
-    Vulnerability("R11", "hardcoded_secrets", r"""password\s*=\s*["'][^"']{8,}["']""", "password",
+    Vulnerability("R11", "password", "hardcoded_secrets", r"""password\s*=\s*["'][^"']{8,}["']""", "password",
                   r"""password\s*+=\s*+["'][^"']{8,}+["']"""),
-    Vulnerability("R12", "hardcoded_secrets", r"""api_key\s*=\s*["'][A-Za-z0-9+/=]{16,}["']""",
+    Vulnerability("R12", "api_key", "hardcoded_secrets", r"""api_key\s*=\s*["'][A-Za-z0-9+/=]{16,}["']""",
                   "api_key", r"""api_key\s*+=\s*+["'][A-Za-z0-9+/=]{16,}+["']"""),
-    Vulnerability("R13", "hardcoded_secrets", r"""secret\s*=\s*["'][^"']{12,}["']""", "secret",
+    Vulnerability("R13", "secret", "hardcoded_secrets", r"""secret\s*=\s*["'][^"']{12,}["']""", "secret",
                   r"""secret\s*+=\s*+["'][^"']{12,}+["']"""),
-    Vulnerability("R14", "hardcoded_secrets", r"""token\s*=\s*["'][A-Za-z0-9+/=]{20,}["']""",
+    Vulnerability("R14", "token", "hardcoded_secrets", r"""token\s*=\s*["'][A-Za-z0-9+/=]{20,}["']""",
                   "token", r"""token\s*+=\s*+["'][A-Za-z0-9+/=]{20,}+["']"""),
-    Vulnerability("R15", "weak_crypto", r"hashlib\.md5\(", "hashlib.md5(", r"hashlib\.md5\("),
-    Vulnerability("R16", "weak_crypto", r"hashlib\.sha1\(", "hashlib.sha1(", r"hashlib\.sha1\("),
-    Vulnerability("R17", "weak_crypto", r"random\.random\(\)", "random.random()",
+    Vulnerability("R15", "hashlib.", "weak_crypto", r"hashlib\.md5\(", "hashlib.md5(", r"hashlib\.md5\("),
+    Vulnerability("R16", "hashlib.", "weak_crypto", r"hashlib\.sha1\(", "hashlib.sha1(", r"hashlib\.sha1\("),
+    Vulnerability("R17", "random.random()", "weak_crypto", r"random\.random\(\)", "random.random()",
                   r"random\.random\(\)"),
-    Vulnerability("R18", "weak_crypto", r"ssl.*PROTOCOL_SSLv[23]", "protocol_sslv",
+    Vulnerability("R18", "protocol_sslv", "weak_crypto", r"ssl.*PROTOCOL_SSLv[23]", "protocol_sslv",
                   r"ssl.*PROTOCOL_SSLv[23]"),
-    Vulnerability("R19", "unsafe_deserialization", r"pickle\.loads\(", "pickle.loads(",
+    Vulnerability("R19", ".loads(", "unsafe_deserialization", r"pickle\.loads\(", "pickle.loads(",
                   r"pickle\.loads\("),
-    Vulnerability("R20", "unsafe_deserialization", r"marshal\.loads\(", "marshal.loads(",
+    Vulnerability("R20", ".loads(", "unsafe_deserialization", r"marshal\.loads\(", "marshal.loads(",
                   r"marshal\.loads\("),
-    Vulnerability("R21", "unsafe_deserialization", r"eval\([^)]*\)", "eval(", r"eval\([^)]*+\)"),
-    Vulnerability("R22", "unsafe_deserialization", r"exec\([^)]*\)", "exec(", r"exec\([^)]*+\)"),
+    Vulnerability("R21", "eval(", "unsafe_deserialization", r"eval\([^)]*\)", "eval(", r"eval\([^)]*+\)"),
+    Vulnerability("R22", "exec(", "unsafe_deserialization", r"exec\([^)]*\)", "exec(", r"exec\([^)]*+\)"),
 )
 
 # Names of the pattern and loop issues.

@@ -2,59 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusaudit.functions.text import count_of, has, jre, let, split_lines
+from corpusaudit.functions.text import (
+    count_ignoring_case,
+    has,
+    jre,
+    let,
+    odd_case,
+    split_lines,
+)
 from corpusaudit.operators import rules
 from corpusaudit.operators.lines import loop_count
 
 
 def _lowered(files: DataFrame, *keep: str) -> DataFrame:
-    """Adds the lower-cased text for literal checks, and a flag for the few letters whose case
-    folds to ASCII outside lower(): texts holding one of them always go to the regex."""
-    odd = has(F.col("code"), "ſ") | has(F.col("code"), "ı") | has(F.col("code"), "İ")
-    return files.select("file_id", *keep, "code", F.lower("code").alias("low"), odd.alias("odd"))
+    """Adds the lower-cased text for literal checks, and a flag for texts that need the regex."""
+    low, odd = F.lower("code").alias("low"), odd_case(F.col("code")).alias("odd")
+    return files.select("file_id", *keep, "code", low, odd)
+
+
+def _gated(build: Callable[[rules.Vulnerability], Column]) -> Column:
+    """``build`` of every rule whose gate and needle the text holds, as one array."""
+    low, odd = F.col("low"), F.col("odd")
+    groups: dict[str, list[Column]] = {}
+    for r in rules.VULNERABILITIES:
+        one = F.when(has(low, r.needle) | odd, build(r))
+        groups.setdefault(r.gate, []).append(one)
+    parts = [F.when(has(low, g) | odd, F.array(*rows)) for g, rows in groups.items()]
+    return F.array_compact(F.flatten(F.array_compact(F.array(*parts))))
+
 
+def _hit(name: str, label: Callable[[rules.Vulnerability], str]) -> Column:
+    """array of (label, category, count) of the rules that match the text."""
+
+    def build(r: rules.Vulnerability) -> Column:
+        n = count_ignoring_case(F.col("code"), F.col("low"), F.col("odd"), r.search)
+        return F.struct(
+            F.lit(label(r)).alias(name),
+            F.lit(r.category).alias("category"),
+            n.cast("long").alias("n_matches"),
+        )
 
-def _may_hold(needle: str) -> Column:
-    return has(F.col("low"), needle) | F.col("odd")
+    return F.filter(_gated(build), lambda h: h["n_matches"] > 0)
 
 
-def vulnerability_count(code: Column, low: Column | None = None) -> Column:
+def vulnerability_count(code: Column) -> Column:
     """Total number of matches of all vulnerability rules in a text."""
 
-    def total(lowered: Column) -> Column:
-        odd = has(code, "ſ") | has(code, "ı") | has(code, "İ")
+    def total(v: Column) -> Column:
+        low, odd = v["low"], v["odd"]
+        groups: dict[str, list[Column]] = {}
+        for r in rules.VULNERABILITIES:
+            n = count_ignoring_case(code, low, odd, r.search)
+            groups.setdefault(r.gate, []).append(F.when(has(low, r.needle) | odd, n).otherwise(0))
         parts = [
-            F.when(
-                has(lowered, r.needle) | odd,
-                F.regexp_count(code, F.lit(jre(r.search, ignore_case=True))),
-            ).otherwise(0)
-            for r in rules.VULNERABILITIES
+            F.when(has(low, g) | odd, sum(counts[1:], counts[0])).otherwise(0)
+            for g, counts in groups.items()
         ]
         return sum(parts[1:], parts[0]).cast("long")
 
-    return total(low) if low is not None else let(F.lower(code), total)
+    return let(F.struct(F.lower(code).alias("low"), odd_case(code).alias("odd")), total)
 
 
 def vuln_counts(files: DataFrame) -> DataFrame:
     """(file_id, rule_id, category, n_matches), one row per rule that hits a file."""
-    hits = [
-        F.when(
-            _may_hold(r.needle),
-            F.struct(
-                F.lit(r.rule_id).alias("rule_id"),
-                F.lit(r.category).alias("category"),
-                F.regexp_count("code", F.lit(jre(r.search, ignore_case=True)))
-                .cast("long")
-                .alias("n_matches"),
-            ),
-        )
-        for r in rules.VULNERABILITIES
-    ]
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull() & (h["n_matches"] > 0))
-    return _lowered(files).select("file_id", F.inline(found))
+    return _lowered(files).select("file_id", F.inline(_hit("rule_id", lambda r: r.rule_id)))
 
 
 def vuln_by_category(files: DataFrame) -> DataFrame:
@@ -67,6 +83,7 @@ def vuln_by_category(files: DataFrame) -> DataFrame:
 
 def vuln_matches(files: DataFrame) -> DataFrame:
     """One row per match, with the label category:pattern."""
+
     def matches(r: rules.Vulnerability) -> Column:
         texts = F.regexp_extract_all("code", F.lit(jre(r.search, ignore_case=True)), F.lit(0))
 
@@ -78,16 +95,14 @@ def vuln_matches(files: DataFrame) -> DataFrame:
                 text.alias("matched"),
             )
 
-        return F.when(_may_hold(r.needle), F.transform(texts, row))
+        return F.transform(texts, row)
 
-    found = [matches(r) for r in rules.VULNERABILITIES]
-    return _lowered(files).select("file_id", F.inline(F.flatten(F.array_compact(F.array(*found)))))
+    return _lowered(files).select("file_id", F.inline(F.flatten(_gated(matches))))
 
 
 def top_risky_files(files: DataFrame, k: int = 20) -> DataFrame:
     """The k files with the most findings; ties by file id. One narrow pass, then a top-k."""
-    total = vulnerability_count(F.col("code"), F.col("low"))
-    scored = _lowered(files).select("file_id", total.alias("n_matches"))
+    scored = files.select("file_id", vulnerability_count(F.col("code")).alias("n_matches"))
     return scored.orderBy(F.desc("n_matches"), "file_id").limit(k)
 
 
@@ -176,21 +191,8 @@ def findings_per_agent(files: DataFrame, *keep: str) -> DataFrame:
     Confidence assumes that the text parses; ``audit.agent_analysis`` adds the syntax check.
     """
     lowered = _lowered(files, *keep).withColumn("lines", split_lines(F.col("code")))
-    security = F.filter(
-        F.array(
-            *[
-                _issue(
-                    f"{r.category}:{r.pattern}",
-                    F.when(
-                        _may_hold(r.needle),
-                        F.regexp_count("code", F.lit(jre(r.search, ignore_case=True))),
-                    ).otherwise(0),
-                )
-                for r in rules.VULNERABILITIES
-            ]
-        ),
-        lambda x: x["n_found"] > 0,
-    )
+    labelled = _hit("issue", lambda r: f"{r.category}:{r.pattern}")
+    security = F.transform(labelled, lambda h: F.struct(h["issue"], h["n_matches"].alias("n_found")))
     found = lowered.select(
         "file_id",
         *keep,
