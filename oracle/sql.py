@@ -790,6 +790,22 @@ def statements() -> dict[str, str]:
       SELECT file_id, unnest(string_split(a, {NL})) AS line, 1 AS sign FROM pair WHERE a <> b
       UNION ALL SELECT file_id, unnest(string_split(b, {NL})), -1 FROM pair WHERE a <> b)
     GROUP BY file_id, line) GROUP BY file_id"""),
+        # One edit replaces one line, so the line-by-line count equals the multiset count.
+        "lines_changed_exact": on_round(f"""SELECT p.file_id, coalesce(n, 0)::BIGINT AS lines_changed
+  FROM pair p LEFT JOIN (SELECT file_id, sum(abs(n)) AS n FROM (
+    SELECT file_id, line, sum(sign) AS n FROM (
+      SELECT file_id, unnest(string_split(a, {NL})) AS line, 1 AS sign FROM pair WHERE a <> b
+      UNION ALL SELECT file_id, unnest(string_split(b, {NL})), -1 FROM pair WHERE a <> b)
+    GROUP BY file_id, line) GROUP BY file_id) m USING (file_id)"""),
+        "refactor_metrics": _fixpoint(10, f"""SELECT file_id, lines_changed,
+  {DELTA} AS complexity_delta, {IMPROVEMENTS} AS security_improvements,
+  round({GAINS}, 9) AS performance_gains
+  FROM (SELECT c.file_id, c.code AS a, d.refactored_code AS b, coalesce(n, 0)::BIGINT AS lines_changed
+    FROM corpus c JOIN done d USING (file_id) LEFT JOIN (
+      SELECT file_id, sum(abs(n)) AS n FROM (SELECT file_id, line, sum(sign) AS n FROM (
+        SELECT file_id, unnest(string_split(code, {NL})) AS line, 1 AS sign FROM corpus
+        UNION ALL SELECT file_id, unnest(string_split(refactored_code, {NL})), -1 FROM done)
+      GROUP BY file_id, line) GROUP BY file_id) m USING (file_id))"""),
         "agent_contributions": steps("""SELECT refactor_id,
   string_agg(agent || '=' || n, '|' ORDER BY agent) AS agent_contributions
   FROM (SELECT refactor_id, agent, count(*) AS n FROM steps GROUP BY ALL) GROUP BY refactor_id"""),
