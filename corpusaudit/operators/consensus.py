@@ -35,7 +35,8 @@ def scored_keys(
     """(file_id, vote_key, scores): the scores of all voters, in the order of ``agent_set``.
 
     Voters share their keys, so duplicates are settled once for all of them, and the rows that
-    are shuffled hold a few numbers and no text.
+    are shuffled hold a few numbers and no text. They are shuffled by file, so that whatever is
+    aggregated per file afterwards needs no second shuffle.
     """
     ballots = proposed.select(
         "file_id",
@@ -44,7 +45,7 @@ def scored_keys(
         F.array(*[score(voter, F.col, voters) for voter in agent_set]).alias("scores"),
     )
     last = F.max_by("scores", F.struct(*EMITTED))
-    return ballots.groupBy("file_id", "vote_key").agg(last.alias("scores"))
+    return ballots.repartition("file_id").groupBy("file_id", "vote_key").agg(last.alias("scores"))
 
 
 def key_scores(
