@@ -58,7 +58,7 @@ def odd_case(text: Column) -> Column:
 def count_ignoring_case(text: Column, low: Column, odd: Column, pattern: str) -> Column:
     """Matches of a pattern in any case. ``low`` is the lower-cased text: searching it with the
     lower-cased pattern is many times faster than a search that ignores case."""
-    folded = F.regexp_count(low, F.lit(jre(pattern.lower())))
+    folded = F.regexp_count(low, F.lit(jre(pattern.lower().replace(r"\g", r"\G"))))
     return F.when(odd, F.regexp_count(text, F.lit(jre(pattern, ignore_case=True)))).otherwise(folded)
 
 

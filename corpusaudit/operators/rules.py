@@ -60,6 +60,32 @@ VULNERABILITIES = (
     Vulnerability("R22", "exec(", "unsafe_deserialization", r"exec\([^)]*\)", "exec(", r"exec\([^)]*+\)"),
 )
 
+# Rules that look from a call up to its closing parenthesis. All calls between two closing ones
+# share their end, so the first of them decides for all.
+CALLS = {
+    "R0": r"cursor\.execute\(",
+    "R1": r"\.format\(",
+    "R3": r"execute\(",
+    "R4": r"os\.system\(",
+    "R6": r"eval\(",
+    "R7": r"exec\(",
+    "R8": r"open\(",
+    "R10": r"os\.path\.join\(",
+    "R21": r"eval\(",
+    "R22": r"exec\(",
+}
+
+
+def linear(rule: Vulnerability) -> str:
+    """The search with its match as group 1. For the rules above it starts once per stretch of text
+    between closing parentheses, or where the last match ended, so that unclosed calls do not each
+    read the rest of the text."""
+    call = CALLS.get(rule.rule_id)
+    if call is None:
+        return f"({rule.search})"
+    return rf"(?:\G|(?<=\)))(?>[^)]*?(?={call}))({rule.search})"
+
+
 # Names of the pattern and loop issues.
 PATTERN_ISSUES = (
     "list_comprehension_opportunity",

@@ -40,7 +40,7 @@ def _hit(name: str, label: Callable[[rules.Vulnerability], str]) -> Column:
     """array of (label, category, count) of the rules that match the text."""
 
     def build(r: rules.Vulnerability) -> Column:
-        n = count_ignoring_case(F.col("code"), F.col("low"), F.col("odd"), r.search)
+        n = count_ignoring_case(F.col("code"), F.col("low"), F.col("odd"), rules.linear(r))
         return F.struct(
             F.lit(label(r)).alias(name),
             F.lit(r.category).alias("category"),
@@ -57,7 +57,7 @@ def vulnerability_count(code: Column) -> Column:
         low, odd = v["low"], v["odd"]
         groups: dict[str, list[Column]] = {}
         for r in rules.VULNERABILITIES:
-            n = count_ignoring_case(code, low, odd, r.search)
+            n = count_ignoring_case(code, low, odd, rules.linear(r))
             groups.setdefault(r.gate, []).append(F.when(has(low, r.needle) | odd, n).otherwise(0))
         parts = [
             F.when(has(low, g) | odd, sum(counts[1:], counts[0])).otherwise(0)
@@ -85,7 +85,9 @@ def vuln_matches(files: DataFrame) -> DataFrame:
     """One row per match, with the label category:pattern."""
 
     def matches(r: rules.Vulnerability) -> Column:
-        texts = F.regexp_extract_all("code", F.lit(jre(r.search, ignore_case=True)), F.lit(0))
+        texts = F.regexp_extract_all(
+            "code", F.lit(jre(rules.linear(r), ignore_case=True)), F.lit(1)
+        )
 
         def row(text: Column, i: Column) -> Column:
             return F.struct(

@@ -113,6 +113,13 @@ def test_hostile_texts_stay_linear(corpus_of, text):
     assert time.time() - start < 30
 
 
+@pytest.mark.parametrize("call", ["eval(x ", "exec(y % ", "cursor.execute(z ", "os.system(a "])
+def test_unclosed_calls_stay_linear(corpus_of, call):
+    start = time.time()
+    scan.vuln_counts(corpus_of(call * 30000)).collect()
+    assert time.time() - start < 30
+
+
 def test_long_blocks(spark):
     """The widening search finds ends beyond each of its steps."""
     bodies = [1, 15, 16, 17, 300, 600, 20000]
