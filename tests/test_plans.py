@@ -8,7 +8,7 @@ from corpusaudit.plans.refactor import refactor
 
 # A literal that only one rule of each kind holds.
 EDIT_MARK = "getpass"
-SCAN_MARK = "(?iu)ssl"
+SCAN_MARK = "(?iu)(ssl"
 
 
 @pytest.fixture(scope="module")
