@@ -27,10 +27,10 @@ from corpusaudit.llm.bpe import as_bytes
 
 FOLDS = 5
 SAMPLE = 3000  # labelled documents per class
-WINDOWS = 1500  # windows per class for the dictionaries
-WINDOW = 2048  # bytes compressed at a time
-DICTIONARY = 112_640
-LEVEL = 1
+WINDOWS = 4000  # windows per class for the dictionaries
+WINDOW = 1024  # bytes compressed at a time
+DICTIONARY = 262_144
+LEVEL = 3
 CUT = 0.3
 SEED = 7
 

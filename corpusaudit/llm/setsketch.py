@@ -22,9 +22,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusaudit.llm.bpe import as_bytes
 from corpusaudit.llm.components import components
@@ -196,10 +198,8 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-@F.pandas_udf("double")
-def _estimate(a, b, n_a, n_b):
-    import pandas as pd
-
+@F.pandas_udf(T.DoubleType())
+def _estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
     if len(a) == 0:
         return pd.Series([], dtype=float)
     x = np.stack([np.frombuffer(r, np.uint16) for r in a])
