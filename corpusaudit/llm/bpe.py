@@ -2,9 +2,8 @@
 
 A pair of neighbouring bytes that occurs inside no vocabulary token can never be merged, so a text
 may be cut between them: the fragments are encoded independently and their ids are concatenated.
-White space is the commonest such cut, since no token holds any; others lie inside words. Results
-of white-space free chunks are remembered in a bounded cache per worker, which pays because words
-repeat.
+White space is the commonest such cut, since no token holds any; others lie inside words. Ids of
+words are remembered in a bounded cache per worker, which pays because words repeat.
 
 Null texts count as empty and give no ids. A text is never shortened; memory is bounded by the
 longest text and the cache. The vocabulary file is a parameter; it has to lie at the same path on
@@ -26,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHED_CHUNKS = 150_000
+CACHED_WORDS = 250_000
 CHARS_AT_ONCE = 4_000_000
 ID = np.dtype("<u4")
-SIMPLE_CHUNK = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
+SIMPLE_TEXT = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+SIMPLE_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -46,7 +46,7 @@ BYTE_ALPHABET = _byte_alphabet()
 class Encoder:
     """Encodes with a vocabulary whose pre-tokenizer drops white space and marks word ends."""
 
-    def __init__(self, path: str, cached: int = CACHED_CHUNKS):
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
@@ -71,7 +71,7 @@ class Encoder:
         self.cached, self.recent, self.older = cached, {}, {}
 
     def fragments(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words (in the byte alphabet of the vocabulary) cut at forced boundaries: the fragments,
+        """Non-empty words (in the byte alphabet of the vocabulary) cut at forced boundaries: the fragments,
         the word of each, and whether it ends the word."""
         flat = "".join(words)
         if not flat:
@@ -105,33 +105,36 @@ class Encoder:
             out[w] += i
         return out
 
-    def _split(self, chunk: bytes) -> list:
-        """The words of a chunk in the byte alphabet; ids of special tokens stand for themselves."""
+    def _encode_chunk(self, chunk: bytes) -> bytes:
+        """The ids of a chunk with characters beyond Latin-1 or special tokens."""
+        out = b""
         text = chunk.decode("utf-8")
-        simple = SIMPLE_CHUNK.fullmatch(text)
-        if simple:  # letters, then punctuation, of Latin-1: no composition, no contractions
-            return [w.lower().encode().decode("latin-1").translate(BYTE_ALPHABET) for w in simple.groups() if w]
-        out = []
-        for part in self.special_at.split(text) if self.special_at and "<" in text else [text]:
+        for part in self.special_at.split(text) if self.special_at else [text]:
             if part in self.special:
-                out.append(self.special[part])
+                out += array("I", [self.special[part]]).tobytes()
             elif part:
                 normal = self.normalizer.normalize_str(part)
-                out.extend(w for w, _ in self.pre_tokenizer.pre_tokenize_str(normal))
+                out += b"".join(self._encode_words([w for w, _ in self.pre_tokenizer.pre_tokenize_str(normal)]))
         return out
 
-    def _encode_new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        split = list(map(self._split, chunks))
-        known: dict = {w: b"" for words in split for w in words}
-        for w in known:
-            if not isinstance(w, str):
-                known[w] = array("I", [w]).tobytes()
-        words = [w for w in known if isinstance(w, str)]
-        known.update(zip(words, self._encode_words(words)))
-        return {c: b"".join([known[w] for w in words]) for c, words in zip(chunks, split)}
-
-    def chunk_ids(self, wanted: set[bytes]) -> dict[bytes, bytes]:
-        """The ids (little-endian, 32 bits each) of every wanted chunk."""
+    def words(self, text: bytes) -> list:
+        """The words of a text, and as they are (bytes) those chunks that need the full rules of
+        normalisation and splitting. Texts of ASCII and letters of Latin-1 need lower case and one
+        pattern: nothing in them composes."""
+        whole = text.decode("utf-8")
+        if SIMPLE_TEXT.fullmatch(whole) and "<|" not in whole:
+            return SIMPLE_WORD.findall(whole.lower())
+        out: list = []
+        for chunk in text.split():  # at ASCII white space
+            part = chunk.decode("utf-8")
+            if SIMPLE_TEXT.fullmatch(part) and "<|" not in part:
+                out.extend(SIMPLE_WORD.findall(part.lower()))
+            else:
+                out.append(chunk)
+        return out
+
+    def known(self, wanted: set) -> dict:
+        """The ids (little-endian, 32 bits each) of every wanted word or chunk."""
         if len(self.recent) > self.cached:
             self.older, self.recent = self.recent, {}
         new = wanted.difference(self.recent)
@@ -139,24 +142,27 @@ class Encoder:
             again = new.intersection(self.older)
             self.recent.update((c, self.older[c]) for c in again)
             new -= again
-        if new:
-            self.recent.update(self._encode_new(list(new)))
+        words = [w for w in new if isinstance(w, str)]
+        mapped = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_ALPHABET) for w in words]
+        self.recent.update(zip(words, self._encode_words(mapped)))
+        if len(words) < len(new):
+            self.recent.update((c, self._encode_chunk(c)) for c in new if not isinstance(c, str))
         return self.recent
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        group: list[list[bytes]] = []
+        group: list[list] = []
         size = 0
 
         def flush() -> None:
             nonlocal group, size
-            known = self.chunk_ids(set().union(*group))
+            known = self.known(set().union(*group))
             out.extend(b"".join(map(known.__getitem__, words)) for words in group)
             group, size = [], 0
 
         for text in texts:
-            group.append(text.split())  # at ASCII white space
+            group.append(self.words(text))
             size += len(text)
             if size > CHARS_AT_ONCE:
                 flush()
