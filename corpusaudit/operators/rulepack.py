@@ -77,7 +77,12 @@ def merge_rules(builtin: DataFrame, user: DataFrame) -> DataFrame:
 
 def _packs(rules: DataFrame) -> Iterator[list]:
     """Rules in packs of RULES_PER_PASS. The table is configuration written by hand; it is read in
-    slices by id, so that no more than one pack is on the driver at a time."""
+    slices by id, so that no more than one pack is on the driver at a time. Ids have to be unique
+    and present, or a slice could lose a rule."""
+    bad = rules.groupBy("rule_id").agg(F.count("*").alias("n")).filter("rule_id is null or n > 1")
+    named = [str(r["rule_id"]) for r in bad.orderBy("rule_id").limit(10).collect()]
+    if named:
+        raise ValueError("rule ids are missing or not unique: " + ", ".join(named))
     last = None
     while True:
         rest = rules if last is None else rules.filter(F.col("rule_id") > last)

@@ -136,7 +136,7 @@ def _user_rules(spark: SparkSession, sf: str) -> DataFrame:
 def _stream_scan(spark: SparkSession, sf: str) -> DataFrame:
     base = state.new_dir(spark, "scan")
     arrivals = jobs.file_stream(spark, sf, "documents.parquet").select(
-        "doc_id", "text", "source", F.col("_metadata.file_modification_time").alias("arrived_at")
+        "doc_id", "text", "source"
     )
     jobs.stream_scan(arrivals, derived.as_code, f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out")
@@ -155,7 +155,7 @@ def _stream_steps(spark: SparkSession, sf: str) -> DataFrame:
         derived.change_type_of(F.col("event_id")).alias("change_type"),
     )
     jobs.stream_step_counts(steps, f"{base}/out", f"{base}/checkpoint")
-    return jobs.newest_per_key(spark, f"{base}/out", ["day", "agent", "change_type"])
+    return jobs.summed_per_key(spark, f"{base}/out", ["day", "agent", "change_type"])
 
 
 def _stream_status(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Streaming jobs: scan files as they arrive, and keep counts and states of sessions up to date.
 
 Each job drains what is there (``availableNow``) and continues from its checkpoint on the next
-run. Aggregates are written per micro-batch into ``batch_id=`` folders: a batch that is replayed
-after a failure overwrites its own folder, and readers take the newest value of each key.
+run. Every micro-batch is reduced and written into a ``batch_id=`` folder of its own: a batch that is
+replayed after a failure overwrites its folder, and readers add up, or take the newest, over all
+batches. No lateness bound applies, so results do not depend on how rows are dealt to batches.
 """
 
 from __future__ import annotations
@@ -16,19 +17,19 @@ from pyspark.sql import functions as F
 from corpusaudit.operators.scan import vuln_counts
 from corpusaudit.sources.files import python_files
 
-LATE = "1 hour"
 WINDOW = "1 day"
 
 
 def file_stream(spark: SparkSession, root: str, name: str, files_per_batch: int = 1000) -> DataFrame:
-    """Rows of the parquet files called ``name`` below ``root``, as they appear."""
-    schema = spark.read.option("pathGlobFilter", name).parquet(root).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", name)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(root)
-    )
+    """Rows of the parquet table ``name`` below ``root``, one file or a folder of part files, as
+    its files appear."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    is_folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    schema = spark.read.parquet(f"{root}/{name}").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if is_folder:
+        return stream.parquet(f"{root}/{name}")
+    return stream.option("pathGlobFilter", name).parquet(root)
 
 
 def _drain(writer) -> None:
@@ -39,17 +40,14 @@ def _drain(writer) -> None:
 def stream_scan(
     arrivals: DataFrame, to_code: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
 ) -> None:
-    """Scans arriving Python files once each; a file that is delivered again within the watermark
-    is not scanned again.
+    """Scans arriving Python files once each. A file that is delivered again is scanned again only
+    if its text has changed; the state keeps a digest per file and text, whatever its age.
 
-    ``arrivals`` needs ``arrived_at``; ``to_code`` turns its rows into (file_id, path, code).
+    ``to_code`` turns arriving rows into (file_id, path, code).
     """
-    fresh = (
-        arrivals.withWatermark("arrived_at", LATE)
-        .dropDuplicatesWithinWatermark(["doc_id"])
-        .drop("arrived_at")
-    )
-    hits = vuln_counts(python_files(to_code(fresh)))
+    code = to_code(arrivals.drop("arrived_at")).withColumn("digest", F.md5("code"))
+    fresh = code.dropDuplicates(["file_id", "digest"]).drop("digest")
+    hits = vuln_counts(python_files(fresh))
     _drain(
         hits.writeStream.format("parquet")
         .outputMode("append")
@@ -58,38 +56,34 @@ def stream_scan(
     )
 
 
-def _upsert_batches(out: str) -> Callable[[DataFrame, int], None]:
+def _reduce_batches(
+    rows: DataFrame, reduce: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
+) -> None:
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    return write
+        reduce(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-
-def _aggregate_stream(counts: DataFrame, out: str, checkpoint: str) -> None:
     _drain(
-        counts.writeStream.outputMode("update")
-        .foreachBatch(_upsert_batches(out))
+        rows.writeStream.outputMode("append")
+        .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
     )
 
 
-def newest_per_key(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
-    """Latest value of every key over all micro-batches."""
+def summed_per_key(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+    """Sum of every value over all micro-batches."""
     rows = spark.read.parquet(out)
     values = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    newest = F.max_by(F.struct(*values), "batch_id").alias("v")
-    return rows.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"v.{c}") for c in values])
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in values])
 
 
-def stream_step_counts(steps: DataFrame, out: str, checkpoint: str, late: str = LATE) -> None:
+def stream_step_counts(steps: DataFrame, out: str, checkpoint: str) -> None:
     """Applied steps per day, agent and kind of edit."""
-    counts = (
-        steps.withWatermark("ts", late)
-        .groupBy(F.window("ts", WINDOW), "agent", "change_type")
-        .agg(F.count("*").alias("n_steps"))
-        .select(F.col("window.start").alias("day"), "agent", "change_type", "n_steps")
-    )
-    _aggregate_stream(counts, out, checkpoint)
+
+    def count(batch: DataFrame) -> DataFrame:
+        counts = batch.groupBy(F.window("ts", WINDOW), "agent", "change_type").agg(F.count("*").alias("n_steps"))
+        return counts.select(F.col("window.start").alias("day"), "agent", "change_type", "n_steps")
+
+    _reduce_batches(steps, count, out, checkpoint)
 
 
 def _gauge_change(status: Column) -> Column:
@@ -100,37 +94,32 @@ def _gauge_change(status: Column) -> Column:
     )
 
 
-def stream_active_gauge(versions: DataFrame, out: str, checkpoint: str, late: str = LATE) -> None:
+def stream_active_gauge(versions: DataFrame, out: str, checkpoint: str) -> None:
     """Net change of active sessions per day."""
-    moves = (
-        versions.withWatermark("ts", late)
-        .groupBy(F.window("ts", WINDOW))
-        .agg(F.sum(_gauge_change(F.col("status"))).alias("change"))
-        .select(F.col("window.start").alias("day"), "change")
-    )
-    _aggregate_stream(moves, out, checkpoint)
+
+    def move(batch: DataFrame) -> DataFrame:
+        change = F.sum(_gauge_change(F.col("status"))).alias("change")
+        moves = batch.groupBy(F.window("ts", WINDOW)).agg(change)
+        return moves.select(F.col("window.start").alias("day"), "change")
+
+    _reduce_batches(versions, move, out, checkpoint)
 
 
 def active_by_day(spark: SparkSession, out: str) -> DataFrame:
     """Running number of active sessions; one row per day enters the window."""
     running = F.sum("change").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, 0))
-    return newest_per_key(spark, out, ["day"]).select("day", "change", running.alias("active"))
+    return summed_per_key(spark, out, ["day"]).select("day", "change", running.alias("active"))
 
 
 def stream_session_status(versions: DataFrame, out: str, checkpoint: str) -> None:
     """Newest status per session. Every batch is reduced to one row per session before it is
     stored; a row that arrives late loses by its timestamp when the table is read."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        newest = F.max(F.struct("ts", "seq", "status", "progress")).alias("v")
-        reduced = batch.groupBy("refactor_id").agg(newest)
-        reduced.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    def newest(batch: DataFrame) -> DataFrame:
+        version = F.max(F.struct("ts", "seq", "status", "progress")).alias("v")
+        return batch.groupBy("refactor_id").agg(version)
 
-    _drain(
-        versions.writeStream.outputMode("append")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-    )
+    _reduce_batches(versions, newest, out, checkpoint)
 
 
 def session_status_now(spark: SparkSession, out: str) -> DataFrame:

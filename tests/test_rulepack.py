@@ -87,3 +87,10 @@ def test_packs_are_checked(corpus_of):
         rulepack.propose_with(
             pack(lambda f: good(f).withColumn("line_start", F.col("line_start").cast("long"))), files
         )
+
+
+def test_rule_ids_are_unique_and_present(spark, corpus_of):
+    schema = "rule_id string, category string, pattern string"
+    for rules in ([("a", "c", "x"), ("a", "c", "y")], [(None, "c", "x")]):
+        with pytest.raises(ValueError, match="not unique"):
+            rulepack.scan_rule_table(corpus_of("x"), spark.createDataFrame(rules, schema))

@@ -67,8 +67,8 @@ def test_counts_grow_over_batches(spark, tmp_path):
 
     def drain():
         stream = spark.readStream.schema(schema).parquet(f"{folder}/*")
-        jobs.stream_step_counts(stream, out, checkpoint, late="2 days")
-        rows = jobs.newest_per_key(spark, out, ["day", "agent", "change_type"]).collect()
+        jobs.stream_step_counts(stream, out, checkpoint)
+        rows = jobs.summed_per_key(spark, out, ["day", "agent", "change_type"]).collect()
         return {(r.day.day, r.agent): r.n_steps for r in rows}
 
     put(spark, folder, "one", [(T0, "a", "security")] * 3, schema)
@@ -76,11 +76,39 @@ def test_counts_grow_over_batches(spark, tmp_path):
     later = T0 + dt.timedelta(days=1)
     put(spark, folder, "two", [(T0, "a", "security"), (later, "b", "security")], schema)
     assert drain() == {(1, "a"): 4, (2, "b"): 1}
-    # Far behind the watermark: dropped.
+    # Far behind all that was seen: counted all the same.
     put(spark, folder, "three", [(later + dt.timedelta(days=9), "c", "security")], schema)
     drain()
     put(spark, folder, "four", [(T0, "a", "security")], schema)
-    assert drain()[1, "a"] == 4
+    assert drain()[1, "a"] == 5
+
+
+def test_changed_files_are_scanned_again(spark, tmp_path):
+    schema = "doc_id bigint, text string, source string"
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+
+    def to_code(rows):
+        return rows.select(F.col("doc_id").alias("file_id"), F.lit("a.py").alias("path"), F.col("text").alias("code"))
+
+    for name, text in (("one", "x = 1"), ("two", "h = hashlib.md5(x)"), ("three", "h = hashlib.md5(x)")):
+        put(spark, folder, name, [(1, text, "s")], schema)
+        jobs.stream_scan(spark.readStream.schema(schema).parquet(f"{folder}/*"), to_code, out, checkpoint)
+    assert spark.read.parquet(out).count() == 1
+
+
+def test_tables_of_one_file_and_of_many(spark, tmp_path):
+    rows = [(T0 + dt.timedelta(days=i // 10), "a", "security") for i in range(40)]
+    schema = "ts timestamp, agent string, change_type string"
+    frame = spark.createDataFrame(rows, schema)
+    frame.repartition(4).write.parquet(str(tmp_path / "many" / "t.parquet"))
+    frame.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "t.parquet").write_bytes(next((tmp_path / "part").glob("*.parquet")).read_bytes())
+    for kind in ("many", "one"):
+        stream = jobs.file_stream(spark, str(tmp_path / kind), "t.parquet", files_per_batch=1)
+        jobs.stream_step_counts(stream, str(tmp_path / f"out-{kind}"), str(tmp_path / f"check-{kind}"))
+        got = jobs.summed_per_key(spark, str(tmp_path / f"out-{kind}"), ["day", "agent", "change_type"]).collect()
+        assert sorted(r.n_steps for r in got) == [10, 10, 10, 10]
 
 
 def test_gauge_over_days(spark, tmp_path):
