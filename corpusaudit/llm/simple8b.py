@@ -48,6 +48,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             continue
         # the next id that is too wide, at or after each position
         gaps = np.diff(np.concatenate(([-1], wide, [n])))
+        if gaps[:-1].max() <= count and gaps[-1] == 1:
+            continue  # no run of narrow ids fills a word
         stop = np.repeat(np.append(wide, n + count), gaps)[:n]
         best[stop - np.arange(n) >= count] = k
     steps = COUNTS[best + 2].tolist()
