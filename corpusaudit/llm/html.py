@@ -324,8 +324,13 @@ MARK = "⁣"  # an invisible separator that marks main text while a layout is bu
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Field:
     """Trains on at most ``sample`` pages of (page_id, html), chosen by hash of the id."""
-    rows = pages.select(F.xxhash64(F.lit(SEED), "page_id").alias("rank"), F.coalesce("html", F.lit("")).alias("html"))
-    texts = [r["html"] for r in rows.filter("length(html) < 100000").orderBy("rank", F.md5("html")).limit(sample).collect()]
+    html_text = F.coalesce(pages["html"], F.lit(""))
+    rank = F.xxhash64(F.lit(SEED), pages["page_id"], html_text).alias("rank")
+    rows = pages.select(rank, html_text.alias("html")).filter("length(html) < 100000")
+    # ranks are sorted without the pages; equal pages of one id count once
+    chosen = rows.select("rank").distinct().orderBy("rank").limit(sample)
+    found = rows.join(F.broadcast(chosen), "rank").groupBy("rank").agg(F.min("html").alias("html"))
+    texts = [r["html"] for r in sorted(found.collect())]
     rng = random.Random(SEED)
     prose = [b.text for t in texts for b in labelled(t) if b.main and b.text.count(" ") > 8] or ["x"]
     examples: list[list[Block]] = []
