@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHED_WORDS = 250_000
-CHARS_AT_ONCE = 4_000_000
+CACHED_WORDS = 100_000
+CHARS_AT_ONCE = 1_500_000
+ROWS_AT_ONCE = 1000  # of ids and decoded texts held beside a batch
 ID = np.dtype("<u4")
 SIMPLE_TEXT = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 SIMPLE_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
@@ -206,7 +207,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             ids = code.encode(as_bytes(batch.column(text_at)))
             stops = np.cumsum([0] + [len(i) // 4 for i in ids]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), ID).astype(np.int32))

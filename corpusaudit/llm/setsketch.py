@@ -37,7 +37,7 @@ ROWS_PER_BAND = 4
 MISS = 1e-5  # chance that a pair at the threshold shares no band
 SIGMAS = 5.0  # estimates this far below the threshold are discarded
 BLOCK = 256
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 
 def bands_for(percent: int) -> int:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from corpusaudit.llm.bpe import CHARS_AT_ONCE, as_bytes
 
-CACHED_CHUNKS = 150_000
+CACHED_CHUNKS = 100_000
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True  # where bytes.split() splits
 
