@@ -150,6 +150,10 @@ class Encoder:
             self.recent.update((c, self._encode_chunk(c)) for c in new if not isinstance(c, str))
         return self.recent
 
+    def forget(self) -> None:
+        """Gives the memory of the cache back; a worker outlives the stage that filled it."""
+        self.recent, self.older = {}, {}
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
@@ -214,6 +218,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(stops), values)
             decoded = pa.array([code.decode(i).decode("utf-8", "replace") for i in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, decoded], names=[*batch.schema.names, "ids", "decoded"])
+        code.forget()
 
     schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return docs.select(*[docs[f"`{f.name}`"] for f in kept]).mapInArrow(run, schema)

@@ -156,6 +156,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     ],
                     names=["doc_id", "n_shingles", "digest", "sketch", "buckets"],
                 )
+        _word_hashes().clear()  # a worker outlives the stage
 
     schema = "doc_id long, n_shingles long, digest binary, sketch binary, buckets array<long>"
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, schema)
