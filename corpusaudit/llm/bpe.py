@@ -19,6 +19,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,13 @@ from pyspark.sql import types as T
 
 CACHED_WORDS = 100_000
 CHARS_AT_ONCE = 1_500_000
+PARTS_AT_ONCE = 1000
 ROWS_AT_ONCE = 1000  # of ids and decoded texts held beside a batch
 ID = np.dtype("<u4")
 SIMPLE_TEXT = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
-SIMPLE_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+SIMPLE_WORD = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+")
+ASCII_WORD = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+")
+SIMPLE_BYTES = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F)])
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -44,6 +48,13 @@ def _byte_alphabet() -> dict[int, str]:
 BYTE_ALPHABET = _byte_alphabet()
 
 
+def is_simple(text: bytes) -> bool:
+    """Whether a text holds only ASCII and letters of Latin-1, and no special token."""
+    if b"<|" in text:
+        return False
+    return not text.translate(None, SIMPLE_BYTES) or SIMPLE_TEXT.fullmatch(text.decode("utf-8")) is not None
+
+
 class Encoder:
     """Encodes with a vocabulary whose pre-tokenizer drops white space and marks word ends."""
 
@@ -67,7 +78,10 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
         self.special_at = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.names = {i: t for t, i in [*model["vocab"].items(), *self.special.items()]}
-        self.tokens = [self.names.get(i, "").encode() for i in range(max(self.names) + 1)]
+        names = [self.names.get(i, "") for i in range(max(self.names) + 1)]
+        self.tokens = [t.encode() for t in names]
+        # bytes of a text that each token stands for
+        self.widths = np.array([len(t.removesuffix(suffix)) for t in names], np.int64)
         self.joins = joining_pairs(model["vocab"], suffix)
         self.cached, self.recent, self.older = cached, {}, {}
 
@@ -92,19 +106,23 @@ class Encoder:
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of pre-tokenized words, which are not empty."""
+        if not words:
+            return []
         parts, word_of, last = self.fragments(words)
-        ids: list[bytes] = [b""] * len(parts)
+        found = []
         for is_end, model in enumerate(self.models):
-            at = np.flatnonzero(last == bool(is_end)).tolist()
-            found = model.encode_batch_fast([parts[i] for i in at], add_special_tokens=False)
-            for i, f in zip(at, found):
-                ids[i] = array("I", f.ids).tobytes()
-        if len(parts) == len(words):
-            return ids
-        out = [b""] * len(words)
-        for w, i in zip(word_of.tolist(), ids):
-            out[w] += i
-        return out
+            at = np.flatnonzero(last == bool(is_end))
+            chosen = [parts[i] for i in at.tolist()]
+            # many fragments make one pre-tokenized input, so that the library answers with few objects
+            runs = [chosen[i : i + PARTS_AT_ONCE] for i in range(0, len(chosen), PARTS_AT_ONCE)]
+            for k, e in enumerate(model.encode_batch(runs, is_pretokenized=True, add_special_tokens=False)):
+                part_of = at[np.array(e.word_ids, np.int64) + k * PARTS_AT_ONCE]
+                found.append((part_of, np.array(e.ids, ID)))
+        part_of, ids = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        raw = ids[np.argsort(part_of, kind="stable")].tobytes()
+        stops = 4 * np.cumsum(np.bincount(word_of[part_of], minlength=len(words)))
+        starts = np.concatenate(([0], stops[:-1]))
+        return [raw[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
 
     def _encode_chunk(self, chunk: bytes) -> bytes:
         """The ids of a chunk with characters beyond Latin-1 or special tokens."""
@@ -122,9 +140,9 @@ class Encoder:
         """The words of a text, and as they are (bytes) those chunks that need the full rules of
         normalisation and splitting. Texts of ASCII and letters of Latin-1 need lower case and one
         pattern: nothing in them composes."""
-        whole = text.decode("utf-8")
-        if SIMPLE_TEXT.fullmatch(whole) and "<|" not in whole:
-            return SIMPLE_WORD.findall(whole.lower())
+        if is_simple(text):
+            pattern = ASCII_WORD if text.isascii() else SIMPLE_WORD
+            return pattern.findall(text.decode("utf-8").lower())
         out: list = []
         for chunk in text.split():  # at ASCII white space
             part = chunk.decode("utf-8")
@@ -157,17 +175,22 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        group: list[list] = []
+        group: list[tuple[list, list]] = []
+        wanted: set = set()
         size = 0
 
         def flush() -> None:
-            nonlocal group, size
-            known = self.known(set().union(*group))
-            out.extend(b"".join(map(known.__getitem__, words)) for words in group)
-            group, size = [], 0
+            nonlocal group, wanted, size
+            known = self.known(wanted)
+            for words, found in group:
+                out.append(b"".join([known[w] if i is None else i for w, i in zip(words, found)]))
+            group, wanted, size = [], set(), 0
 
         for text in texts:
-            group.append(self.words(text))
+            words = self.words(text)
+            found = list(map(self.recent.get, words))  # None: not in the cache
+            wanted.update(compress(words, [i is None for i in found]))
+            group.append((words, found))
             size += len(text)
             if size > CHARS_AT_ONCE:
                 flush()
