@@ -37,6 +37,7 @@ ROWS_PER_BAND = 4
 MISS = 1e-5  # chance that a pair at the threshold shares no band
 SIGMAS = 5.0  # estimates this far below the threshold are discarded
 BLOCK = 256
+SETS_AT_ONCE = 1000
 CACHED_WORDS = 100_000
 
 
@@ -169,7 +170,7 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, width: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in (b.slice(i, SETS_AT_ONCE) for b in batches for i in range(0, b.num_rows, SETS_AT_ONCE)):
             sets = [shingles(t, width).astype("<u8").tobytes() for t in as_bytes(batch.column(1))]
             # a repeated id may carry other texts than the one that stands for the class
             own = [xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch.column(2).to_pylist())]
@@ -185,8 +186,9 @@ def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = batch.to_pydict()
-            keep = [i for i, (x, y) in enumerate(zip(t["a_items"], t["b_items"])) if _similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent)]
+            # sets are read where they lie in the batch, since those of long texts are large
+            sets = [[np.frombuffer(v.as_buffer(), "<u8") for v in batch.column(c)] for c in (2, 3)]
+            keep = [i for i, (x, y) in enumerate(zip(*sets)) if _similar(x, y, percent)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
     return pairs.select("a", "b", "a_items", "b_items").mapInArrow(run, "a long, b long")
