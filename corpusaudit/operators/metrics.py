@@ -16,6 +16,7 @@ from corpusaudit.functions.text import (
     odd_case,
     py_lstrip,
     py_strip,
+    rows_of,
     split_lines,
 )
 from corpusaudit.operators import rules
@@ -80,12 +81,33 @@ def performance_gains(before: Column, after: Column) -> Column:
     )
 
 
+def line_balance(before: Column, after: Column) -> Column:
+    """Lines added or removed, counted as multisets. Edits replace lines where they stand, so no
+    alignment is needed: both texts' lines are sorted together and folded once."""
+
+    def signed(code: Column, sign: int) -> Column:
+        return F.transform(split_lines(code), lambda line: F.struct(line.alias("line"), F.lit(sign).alias("sign")))
+
+    def step(acc: Column, entry: Column) -> Column:
+        same = acc["line"] == entry["line"]
+        return F.struct(
+            entry["line"].alias("line"),
+            (F.when(same, acc["run"]).otherwise(0) + entry["sign"]).alias("run"),
+            (acc["total"] + F.when(same, 0).otherwise(F.abs(acc["run"]))).alias("total"),
+        )
+
+    start = F.struct(F.lit("").alias("line"), F.lit(0).alias("run"), F.lit(0).alias("total"))
+    entries = F.array_sort(F.concat(signed(before, 1), signed(after, -1)))
+    balance = F.aggregate(entries, start, step, lambda acc: acc["total"] + F.abs(acc["run"]))
+    return F.when(before != after, balance).otherwise(0)
+
+
 def refactor_metrics(pairs: DataFrame) -> DataFrame:
     """(file_id, lines_changed, complexity_delta, security_improvements, performance_gains)."""
     before, after = F.col("original_code"), F.col("refactored_code")
     return pairs.select(
         "file_id",
-        changed_lines(before, after).alias("lines_changed"),
+        line_balance(before, after).alias("lines_changed"),
         complexity_delta(before, after).alias("complexity_delta"),
         security_improvements(before, after).alias("security_improvements"),
         performance_gains(before, after).alias("performance_gains"),
@@ -93,24 +115,11 @@ def refactor_metrics(pairs: DataFrame) -> DataFrame:
 
 
 def lines_changed_multiset(pairs: DataFrame) -> DataFrame:
-    """Lines added or removed, counted as multisets: a lower bound of the exact count that needs
-    no alignment. Texts that did not change are left out before anything is shuffled."""
-    sides = F.when(
-        F.col("original_code") != F.col("refactored_code"),
-        F.array(
-            F.struct(F.col("original_code").alias("text"), F.lit(1).alias("sign")),
-            F.struct(F.col("refactored_code").alias("text"), F.lit(-1).alias("sign")),
-        ),
-    )
-    lines = pairs.select("file_id", F.inline(sides)).select(
-        "file_id", "sign", F.explode(split_lines(F.col("text"))).alias("line")
-    )
-    return (
-        lines.groupBy("file_id", "line")
-        .agg(F.sum("sign").alias("balance"))
-        .groupBy("file_id")
-        .agg(F.sum(F.abs("balance")).alias("lines_changed"))
-    )
+    """Lines added or removed in texts that changed: a lower bound of the exact count, taken in the
+    file's own row."""
+    before, after = F.col("original_code"), F.col("refactored_code")
+    row = F.struct(line_balance(before, after).alias("lines_changed"))
+    return pairs.select("file_id", rows_of(before != after, row))
 
 
 def lines_changed_exact(pairs: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusaudit.functions.diffs import changed_lines
 from corpusaudit.functions.text import rows_of
 from corpusaudit.operators.metrics import (
     complexity_delta,
+    line_balance,
     performance_gains,
     security_improvements,
 )
@@ -29,11 +29,13 @@ SESSION_SCHEMA = (
 
 def current_sessions(versions: DataFrame) -> DataFrame:
     """Newest version of every session, by (ts, seq). An aggregate and not a window, so versions
-    are reduced before the shuffle and a hot session does not land in one task."""
+    are reduced before the shuffle and a hot session does not land in one task. A version that
+    stands for earlier ones (after a compaction) carries the session's ``started_at``."""
+    began = F.coalesce("started_at", "ts") if "started_at" in versions.columns else F.col("ts")
     newest = F.max(F.struct("ts", "seq", "status", "progress", "target_path"))
     return (
         versions.groupBy("refactor_id")
-        .agg(newest.alias("v"), F.min("ts").alias("started_at"))
+        .agg(newest.alias("v"), F.min(began).alias("started_at"))
         .select(
             "refactor_id",
             F.col("v.target_path").alias("target_path"),
@@ -259,7 +261,7 @@ def export_steps(steps: DataFrame) -> DataFrame:
     )
 
 
-def result_report(results: DataFrame, line_diff: bool = True) -> DataFrame:
+def result_report(results: DataFrame) -> DataFrame:
     """Results of completed files with their metrics and the list of changes made.
 
     Steps per file are bounded by ``max_iterations``, so they stay beside the file, and the whole
@@ -272,7 +274,6 @@ def result_report(results: DataFrame, line_diff: bool = True) -> DataFrame:
         ),
     )
     before, after = F.col("original_code"), F.col("refactored_code")
-    lines = [changed_lines(before, after).alias("lines_changed")] if line_diff else []
     return results.filter(F.col("error_message").isNull()).select(
         "file_id",
         "path",
@@ -281,7 +282,7 @@ def result_report(results: DataFrame, line_diff: bool = True) -> DataFrame:
         complexity_delta(before, after).alias("complexity_delta"),
         security_improvements(before, after).alias("security_improvements"),
         performance_gains(before, after).alias("performance_gains"),
-        *lines,
+        line_balance(before, after).alias("lines_changed"),
     )
 
 

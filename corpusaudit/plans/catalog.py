@@ -18,7 +18,6 @@ from corpusaudit.streaming import jobs
 Query = Callable[[SparkSession, str], DataFrame]
 
 CONFIG = AuditConfig()
-ONE_ROUND = AuditConfig(max_iterations=1)
 AS_OF = "2024-02-15 00:00:00"
 PRIORITY = ("loop_simplifier", "security_enforcer")
 WEIGHTS = {"pattern_optimizer": 7.0, "security_enforcer": 9.0, "loop_simplifier": 6.0}
@@ -81,7 +80,7 @@ def _current(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _delta(name: str, measure: Callable) -> Query:
-    return _round(
+    return _refactored(
         lambda p: p.select(
             "file_id", measure(F.col("original_code"), F.col("refactored_code")).alias(name)
         )
@@ -101,7 +100,7 @@ def _fixpoint(results: DataFrame) -> DataFrame:
 
 def _apply_plan(spark: SparkSession, sf: str) -> DataFrame:
     corpus = derived.code_corpus(spark, sf)
-    done = refactor(corpus, ONE_ROUND)
+    done = refactor(corpus)
     status = F.when(F.col("file_id") % 11 == 0, "failed").otherwise("completed")
     return sessions.apply_plan(
         done.withColumn("status", status), derived.edited_corpus(spark, sf)
@@ -221,9 +220,7 @@ CATALOG: dict[str, Query] = {
     "session_json_roundtrip": lambda spark, sf: sessions.import_sessions(
         sessions.export_sessions(_current(spark, sf))
     ),
-    "result_report": _corpus(
-        lambda c: sessions.result_report(refactor(c, ONE_ROUND), line_diff=False)
-    ),
+    "result_report": _refactored(sessions.result_report),
     "numbered_listing": _corpus(lines.numbered_listing),
     # lines
     "code_lines": _corpus(lines.code_lines),
@@ -290,9 +287,9 @@ CATALOG: dict[str, Query] = {
     "progress_timeline": _refactored(
         lambda r: opsmetrics.progress_timeline(r, CONFIG.max_iterations)
     ),
-    "validate_security": _round(metrics.validate_security),
-    "validate_pattern": _round(metrics.validate_pattern),
-    "validate_loop": _round(metrics.validate_loop),
+    "validate_security": _refactored(metrics.validate_security),
+    "validate_pattern": _refactored(metrics.validate_pattern),
+    "validate_loop": _refactored(metrics.validate_loop),
     # before and after
     "complexity": _corpus(metrics.complexity_report),
     "syntax_report": _corpus(metrics.syntax_report),
@@ -300,9 +297,9 @@ CATALOG: dict[str, Query] = {
     "complexity_delta": _delta("complexity_delta", metrics.complexity_delta),
     "security_improvements": _delta("security_improvements", metrics.security_improvements),
     "performance_gains": _delta("performance_gains", metrics.performance_gains),
-    "lines_changed_exact": _round(metrics.lines_changed_exact),
-    "lines_changed_multiset": _round(metrics.lines_changed_multiset),
-    "unified_diff": _round(metrics.diffs),
+    "lines_changed_exact": _refactored(metrics.lines_changed_exact),
+    "lines_changed_multiset": _refactored(metrics.lines_changed_multiset),
+    "unified_diff": _refactored(metrics.diffs),
     "refactor_metrics": _refactored(metrics.refactor_metrics),
     "agent_contributions": lambda spark, sf: sessions.agent_contributions(
         derived.unnumbered_steps(spark, sf)

@@ -35,7 +35,11 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def save_sessions(versions: DataFrame, path: str) -> None:
-    """Upsert by id: versions are appended and the newest one is read."""
+    """Upsert by id: versions are appended and the newest one is read. All files of a version table
+    have ``started_at``, which only compacted versions fill."""
+    if "started_at" not in versions.columns:
+        unknown = F.lit(None).cast(versions.schema["ts"].dataType)
+        versions = versions.withColumn("started_at", unknown)
     append(versions, path)
 
 

@@ -519,6 +519,20 @@ def _fixpoint(rounds: int, body: str) -> str:
   UNION ALL SELECT * FROM state{k} WHERE reason IS NOT NULL)""")
     ctes.append(f"""done AS (SELECT file_id, code AS refactored_code, n_steps, n_decisions, rounds,
   coalesce(reason, 'max_iterations') AS reason FROM state{rounds})""")
+    ctes.append("""pair AS (SELECT c.file_id, c.path, c.code AS a, d.refactored_code AS b
+  FROM corpus c JOIN done d USING (file_id))""")
+    applied = " UNION ALL ".join(
+        f"""SELECT file_id, {k} AS k, b.agent_id || ': ' || b.description || ' (confidence: '
+    || printf('%.2f', b.confidence) || ')' AS change FROM best{k} b SEMI JOIN after{k} USING (file_id)"""
+        for k in range(rounds)
+    )
+    ctes.append(f"""applied AS (SELECT file_id, count(*) AS n_steps,
+  string_agg(change, {NL} ORDER BY k) AS changes FROM ({applied}) GROUP BY file_id)""")
+    ctes.append(f"""changed AS (SELECT file_id, sum(abs(n))::BIGINT AS lines_changed FROM (
+    SELECT file_id, line, sum(sign) AS n FROM (
+      SELECT file_id, unnest(string_split(a, {NL})) AS line, 1 AS sign FROM pair WHERE a <> b
+      UNION ALL SELECT file_id, unnest(string_split(b, {NL})), -1 FROM pair WHERE a <> b)
+    GROUP BY file_id, line) GROUP BY file_id)""")
     return with_(ctes, body)
 
 
@@ -690,13 +704,13 @@ def statements() -> dict[str, str]:
   OVER (PARTITION BY refactor_id ORDER BY mtime DESC, name DESC) <= 3""", SNAPSHOTS),
         "session_purge": steps("""SELECT refactor_id, name FROM snapshots
   WHERE refactor_id NOT IN (FROM dropped)""", SNAPSHOTS, DROPPED),
-        "apply_plan": on_round("""SELECT path, b AS content, path || '.backup' AS backup_path FROM pair
+        "apply_plan": _fixpoint(10, """SELECT path, b AS content, path || '.backup' AS backup_path FROM pair
   WHERE file_id % 11 <> 0 AND file_id % 5 <> 0 AND b <> ''"""),
-        "result_report": on_round(f"""SELECT p.file_id, p.path, p.applied::BIGINT AS n_steps,
-  CASE WHEN p.applied THEN s.agent_id || ': ' || s.description || ' (confidence: '
-    || printf('%.2f', s.confidence) || ')' ELSE '' END AS changes,
+        "result_report": _fixpoint(10, f"""SELECT file_id, path, coalesce(n_steps, 0) AS n_steps,
+  coalesce(changes, '') AS changes,
   {DELTA} AS complexity_delta, {IMPROVEMENTS} AS security_improvements,
-  round({GAINS}, 9) AS performance_gains FROM pair p LEFT JOIN best0 s USING (file_id)"""),
+  round({GAINS}, 9) AS performance_gains, coalesce(lines_changed, 0) AS lines_changed
+  FROM pair LEFT JOIN applied USING (file_id) LEFT JOIN changed USING (file_id)"""),
         "numbered_listing": with_([CORPUS, *lines_ctes("0", "corpus")[:1]], f"""SELECT file_id,
   any_value(path) AS path, string_agg(printf('%4d: %s', i + 1, line), {NL} ORDER BY i) AS listing
   FROM ctx0 JOIN corpus USING (file_id) GROUP BY file_id"""),
@@ -774,38 +788,24 @@ def statements() -> dict[str, str]:
         "refactor_fixpoint": _fixpoint(10, "FROM done"),
         "convergence_report": _fixpoint(10, """SELECT reason, rounds, count(*) AS n_files,
   sum(n_steps)::BIGINT AS n_steps FROM done GROUP BY reason, rounds"""),
-        "validate_security": on_round(f"""SELECT file_id, ({_vuln_total('b')} <= {_vuln_total('a')})
+        "validate_security": _fixpoint(10, f"""SELECT file_id, ({_vuln_total('b')} <= {_vuln_total('a')})
   AND NOT (contains(a, 'eval(') AND contains(b, 'eval('))
   AND NOT (contains(a, 'exec(') AND contains(b, 'exec('))
   AND NOT (contains(a, 'os.system(') AND contains(b, 'os.system(')) AS valid FROM pair"""),
         "complexity": corpus(
             f"SELECT file_id, round({complexity('code')}, 9) AS complexity FROM corpus"),
-        "complexity_delta": on_round(f"SELECT file_id, {DELTA} AS complexity_delta FROM pair"),
-        "security_improvements": on_round(
-            f"SELECT file_id, {IMPROVEMENTS} AS security_improvements FROM pair"),
-        "performance_gains": on_round(
-            f"SELECT file_id, round({GAINS}, 9) AS performance_gains FROM pair"),
-        "lines_changed_multiset": on_round(f"""SELECT file_id, sum(abs(n))::BIGINT AS lines_changed FROM (
-    SELECT file_id, line, sum(sign) AS n FROM (
-      SELECT file_id, unnest(string_split(a, {NL})) AS line, 1 AS sign FROM pair WHERE a <> b
-      UNION ALL SELECT file_id, unnest(string_split(b, {NL})), -1 FROM pair WHERE a <> b)
-    GROUP BY file_id, line) GROUP BY file_id"""),
-        # One edit replaces one line, so the line-by-line count equals the multiset count.
-        "lines_changed_exact": on_round(f"""SELECT p.file_id, coalesce(n, 0)::BIGINT AS lines_changed
-  FROM pair p LEFT JOIN (SELECT file_id, sum(abs(n)) AS n FROM (
-    SELECT file_id, line, sum(sign) AS n FROM (
-      SELECT file_id, unnest(string_split(a, {NL})) AS line, 1 AS sign FROM pair WHERE a <> b
-      UNION ALL SELECT file_id, unnest(string_split(b, {NL})), -1 FROM pair WHERE a <> b)
-    GROUP BY file_id, line) GROUP BY file_id) m USING (file_id)"""),
-        "refactor_metrics": _fixpoint(10, f"""SELECT file_id, lines_changed,
+        "complexity_delta": _fixpoint(10, f"SELECT file_id, {DELTA} AS complexity_delta FROM pair"),
+        "security_improvements": _fixpoint(
+            10, f"SELECT file_id, {IMPROVEMENTS} AS security_improvements FROM pair"),
+        "performance_gains": _fixpoint(
+            10, f"SELECT file_id, round({GAINS}, 9) AS performance_gains FROM pair"),
+        "lines_changed_multiset": _fixpoint(10, "FROM changed"),
+        # Edits replace lines in place, so the line-by-line count equals the multiset count.
+        "lines_changed_exact": _fixpoint(10, """SELECT file_id, coalesce(lines_changed, 0) AS lines_changed
+  FROM pair LEFT JOIN changed USING (file_id)"""),
+        "refactor_metrics": _fixpoint(10, f"""SELECT file_id, coalesce(lines_changed, 0) AS lines_changed,
   {DELTA} AS complexity_delta, {IMPROVEMENTS} AS security_improvements,
-  round({GAINS}, 9) AS performance_gains
-  FROM (SELECT c.file_id, c.code AS a, d.refactored_code AS b, coalesce(n, 0)::BIGINT AS lines_changed
-    FROM corpus c JOIN done d USING (file_id) LEFT JOIN (
-      SELECT file_id, sum(abs(n)) AS n FROM (SELECT file_id, line, sum(sign) AS n FROM (
-        SELECT file_id, unnest(string_split(code, {NL})) AS line, 1 AS sign FROM corpus
-        UNION ALL SELECT file_id, unnest(string_split(refactored_code, {NL})), -1 FROM done)
-      GROUP BY file_id, line) GROUP BY file_id) m USING (file_id))"""),
+  round({GAINS}, 9) AS performance_gains FROM pair LEFT JOIN changed USING (file_id)"""),
         "agent_contributions": steps("""SELECT refactor_id,
   string_agg(agent || '=' || n, '|' ORDER BY agent) AS agent_contributions
   FROM (SELECT refactor_id, agent, count(*) AS n FROM steps GROUP BY ALL) GROUP BY refactor_id"""),

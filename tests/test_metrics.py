@@ -1,5 +1,6 @@
 import ast
 import difflib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,25 @@ def test_line_diffs_follow_difflib(pairs):
         assert bound.get(i, 0) <= exact[i]
 
 
+def test_line_balance_counts_multisets(pairs):
+    df, texts = pairs
+    measured = metrics.refactor_metrics(df).select("file_id", "lines_changed").collect()
+    for file_id, n in measured:
+        before, after = (Counter(t.split("\n")) for t in texts[file_id])
+        assert n == ((before - after) + (after - before)).total()
+
+
+def test_line_balance_of_repeated_lines(spark):
+    before = "\n".join(["a = 1", "b = 2", "c = 3"] * 20_000)
+    after = before.replace("b = 2", "b = 4", 1) + "\nd = 5"
+    df = spark.createDataFrame(
+        [(1, before, after), (2, None, None), (3, "", "x")],
+        "file_id bigint, original_code string, refactored_code string",
+    )
+    found = {r.file_id: r.lines_changed for r in metrics.refactor_metrics(df).collect()}
+    assert found == {1: 3, 2: 0, 3: 2}
+
+
 def test_cyclomatic_counts_branches(corpus_of):
     codes = {
         "x = 1": 1,

@@ -49,6 +49,10 @@ def test_newest_version_wins_and_replay_changes_nothing(spark, versions, tmp_pat
     target = str(tmp_path / "compact")
     state.compact_sessions(spark, path, target)
     assert spark.read.parquet(target).count() == 3
+    stored = sorted(state.load_sessions(spark, path).collect())
+    assert sorted(state.load_sessions(spark, target).collect()) == stored  # started_at too
+    state.save_sessions(spark.read.parquet(path).drop("started_at"), target)
+    assert sorted(state.load_sessions(spark, target).collect()) == stored
 
 
 def test_cancel_any_state_and_unknown(spark, versions):
