@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusaudit.functions.text import jre
+from corpusaudit.functions.dialect import java_pattern, java_replacement
 from corpusaudit.operators.lines import code_lines
 
 PROPOSAL_SCHEMA = {
@@ -108,7 +108,7 @@ def scan_rule_table(files: DataFrame, rules: DataFrame) -> DataFrame:
             F.struct(
                 F.lit(r["rule_id"]).alias("rule_id"),
                 F.lit(r["category"]).alias("category"),
-                F.regexp_count("code", F.lit(jre(r["pattern"]))).cast("long").alias("n_matches"),
+                F.regexp_count("code", F.lit(java_pattern(r["pattern"]))).cast("long").alias("n_matches"),
             )
             for r in pack
         ]
@@ -127,13 +127,13 @@ def apply_rule_table(files: DataFrame, rules: DataFrame, agent_id: str, agent_or
         line = F.col("line")
         edits = [
             F.when(
-                line.rlike(jre(r["pattern"])),
+                line.rlike(java_pattern(r["pattern"])),
                 F.struct(
                     F.lit(r["rule_id"]).alias("rule_id"),
                     F.lit(r["change_type"]).alias("change_type"),
-                    F.regexp_replace(line, jre(r["pattern"]), r["replacement"]).alias(
-                        "modified_code"
-                    ),
+                    F.regexp_replace(
+                        line, java_pattern(r["pattern"]), java_replacement(r["replacement"], r["pattern"])
+                    ).alias("modified_code"),
                     F.lit(float(r["confidence"])).alias("confidence"),
                     F.lit(r["category"]).alias("description"),
                     F.lit(float(r["impact"])).alias("impact_score"),
