@@ -26,11 +26,18 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def read_code_dir(spark: SparkSession, root: str) -> DataFrame:
-    """(file_id, path, code) of every file below ``root``; line ends become newlines."""
-    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-    raw = texts.select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    code = F.regexp_replace("value", "\r\n?", "\n")
-    return raw.select(F.col("path").alias("file_id"), "path", code.alias("code"))
+    """(file_id, path, code) of every file below ``root``; line ends become newlines. A file that is
+    not UTF-8 has a null code: it is never edited or written, and ``failed_files`` names it. Spark's file
+    sources leave out files of no bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    raw = files.select(F.col("_metadata.file_path").alias("path"), F.col("content").cast("string").alias("value"))
+    text = F.when(F.is_valid_utf8("value"), F.col("value"))
+    return raw.select(F.col("path").alias("file_id"), "path", F.regexp_replace(text, "\r\n?", "\n").alias("code"))
+
+
+def failed_files(files: DataFrame) -> DataFrame:
+    """Files whose text could not be read."""
+    return files.filter("code is null").select("file_id", "path", F.lit("unreadable text").alias("error_message"))
 
 
 def language_of(path: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusaudit.operators import agents, opsmetrics, sessions
 from corpusaudit.operators.ranking import _in_order, ordinal_in_group, running_total
+from corpusaudit.plans.refactor import refactor
 from corpusaudit.sources import files as sources
 from corpusaudit.sources import state
 
@@ -239,6 +240,21 @@ def test_reading_a_directory(spark, tmp_path):
     assert texts["b.js"] == "größe"
 
 
+def test_files_that_are_not_utf8_fail_and_are_never_written(spark, tmp_path):
+    (tmp_path / "bad.py").write_bytes(b"password = 'x'  # \xff\xfe\n")
+    (tmp_path / "ok.py").write_bytes("password = 'größe'\n".encode())
+    files = sources.read_code_dir(spark, str(tmp_path))
+    failed = sources.failed_files(files).collect()
+    assert [(r.path.rsplit("/", 1)[-1], r.error_message) for r in failed] == [("bad.py", "unreadable text")]
+    results = refactor(files)
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in results.collect()}
+    assert rows["bad.py"].refactored_code is None
+    assert rows["bad.py"].error_message == "unreadable text"
+    assert rows["ok.py"].error_message is None
+    plan = sessions.apply_plan(results.withColumn("status", F.lit("completed")), files).collect()
+    assert {r.path.rsplit("/", 1)[-1] for r in plan} <= {"ok.py"}
+
+
 def test_languages(spark):
     paths = {
         "a.py": "python",
