@@ -115,6 +115,11 @@ NESTED_APPEND = r"for.*\n.*for.*\n.*\.append"
 FILTER_LOOP = r"for\s+\w+\s+in.*:\s*if\s+"
 MAP_LOOP = r"for\s+\w+\s+in.*:\s*\w+\.append\(.*\w+.*\)"
 
+# The same yes or no without starting again at every word: three lines in a row are looked for from
+# the beginning of a line, and any letter of an argument decides.
+NESTED_APPEND_SEARCH = r"(?:\A|(?<=\n))(?>.*?for).*+\n(?>.*?for).*+\n.*?\.append"
+MAP_LOOP_SEARCH = r"for\s+\w+\s+in.*:\s*\w+\.append\((?>.*?\w).*\)"
+
 # Three-part sequences: each part is looked for after the end of the one before it. Anchored and
 # atomic, so every part takes its earliest place and a failing search reads the text once.
 INFINITE_LOOP = r"\A(?>.*?while\s+True)(?>.*?\n)(?>.*?if)(?>.*?break)"

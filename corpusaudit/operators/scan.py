@@ -151,12 +151,12 @@ def loop_issues(code: Column) -> Column:
     """Array of (issue, n_found) of the loop simplifier."""
     counts = (
         _flag(has(code, "range(len(") & code.rlike(jre(rules.RANGE_LEN))),
-        _flag(_all_in(code, "for", ".append") & code.rlike(jre(rules.NESTED_APPEND))),
+        _flag(_all_in(code, "for", ".append") & code.rlike(jre(rules.NESTED_APPEND_SEARCH))),
         _flag(
             _all_in(code, "while", "break") & code.rlike(jre(rules.INFINITE_LOOP, dotall=True))
         ),
         _flag(_all_in(code, "for", "if") & code.rlike(jre(rules.FILTER_LOOP))),
-        _flag(_all_in(code, "for", ".append(") & code.rlike(jre(rules.MAP_LOOP))),
+        _flag(_all_in(code, "for", ".append(") & code.rlike(jre(rules.MAP_LOOP_SEARCH))),
         _flag(_all_in(code, "count", "+=") & code.rlike(jre(rules.MANUAL_COUNT, dotall=True))),
         _flag(_all_in(code, "sum", "+=") & code.rlike(jre(rules.MANUAL_SUM, dotall=True))),
         _flag(loop_count(code) > 3),

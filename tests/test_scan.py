@@ -1,3 +1,4 @@
+import random
 import re
 import time
 
@@ -163,3 +164,22 @@ def test_demo_snippets(corpus_of):
     assert found[1, "loop_simplifier"] == (1, 0.8)
     assert found[2, "security_enforcer"] == (0, 0.7)
     assert found[2, "pattern_optimizer"] == (0, 0.5)
+
+
+def test_loop_searches_find_what_the_plain_patterns_find():
+    random.seed(11)
+    parts = ["for ", "for x in ", ":", "\n", ".append", "x.append(", "y", ")", "(", " ", "()"]
+    for _ in range(20_000):
+        text = "".join(random.choices(parts, k=random.randint(3, 14)))
+        for plain, search in ((rules.NESTED_APPEND, rules.NESTED_APPEND_SEARCH), (rules.MAP_LOOP, rules.MAP_LOOP_SEARCH)):
+            assert bool(re.search(plain, text)) == bool(re.search(search, text)), (plain, text)
+
+
+def test_hostile_lines_of_loops_are_read_fast(spark, corpus_of):
+    files = corpus_of(
+        "for " * 100_000 + "\n" + "for " * 100_000 + "\n.appen",
+        "for x in y: z.append(" + "a" * 20_000,
+    )
+    start = time.time()
+    assert "nested_loop_with_append" not in {r.issue for r in scan.detect_loop_issues(files).collect()}
+    assert time.time() - start < 20
