@@ -350,6 +350,56 @@ def test_nearest_edges(spark):
     assert nndescent.search(nndescent.build(empty), q.limit(0)).count() == 0
 
 
+def nearest_recall(spark, x, step):
+    """Share of the true ten nearest that the index finds for every ``step``-th vector."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>").repartition(8)
+    use = nndescent.usable(df)
+    q = use.filter(f"vec_id % {step} = 0").selectExpr("vec_id as query_id", "vector")
+    got = collections.defaultdict(set)
+    for r in nndescent.search(nndescent.build(use), q).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = total = 0
+    for i in range(0, len(x), step):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & got[i])
+        total += 10
+    return hits / total
+
+
+@pytest.mark.parametrize("spread, outlier", [(1e-6, None), (None, 1e8)])
+def test_nearest_of_near_copies_and_beside_an_outlier(spark, spread, outlier):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((5000, 16))
+    if spread:
+        x = x[0] + spread * x
+    if outlier:
+        x[77] *= outlier
+    assert nearest_recall(spark, x, 100) >= 0.9
+
+
+def test_nearest_widens_beams_until_the_recall_is_reached(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "BEAM", 11)
+    assert nearest_recall(spark, np.random.default_rng(4).standard_normal((3000, 48)), 60) >= 0.9
+
+
+def test_nearest_scans_where_the_graph_does_not_lead(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(300)]
+    use = nndescent.usable(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    index = nndescent.build(use)
+    index.graph = index.graph.limit(0)
+    q = use.filter("vec_id % 50 = 0").selectExpr("vec_id as query_id", "vector")
+    got = collections.defaultdict(list)
+    for r in nndescent.search(index, q, 2).orderBy("rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got == {0: [1, 2], **{i: [i - 1, i + 1] for i in range(50, 300, 50)}}
+
+
+def test_nearest_sizes_follow_the_table():
+    for size_of in (nndescent.degree_for, nndescent.beam_for, nndescent.rounds_for):
+        assert size_of(100) == size_of(50_000) < size_of(200_000) < size_of(10_000_000)
+
+
 def test_pipeline(spark):
     docs = corpus_pipeline.table(spark, SMALL, "documents")
     for name, stage in corpus_pipeline.STAGES:
