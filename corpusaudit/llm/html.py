@@ -33,7 +33,8 @@ ROUNDS = 150
 
 PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|select|button|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<svg>svg)(?=[\s>])(?:[^>]*[^/>])?>(?:(?!<svg\b).)*?</svg\s*>"
+    r"|<(?P<raw>script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>"
     r"|(?P<text>[^<]+|<)",
@@ -53,6 +54,10 @@ CLOSES = {
 }
 P_ENDS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 MAIN = frozenset(("article", "main"))
+# Left out from their opening to their closing tag; without one, only the tag is.
+DROPPED = frozenset("noscript template iframe svg select button object".split())
+NESTED = frozenset("template svg object".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 ASIDE = frozenset("nav header footer aside form menu dialog".split())
 
 
@@ -66,6 +71,37 @@ class Block:
     tags: tuple[str, ...] = field(default=())
 
 
+def _closings(pieces: list[re.Match]) -> dict[int, int]:
+    """Where ``DROPPED`` elements open, the piece that closes them. One that is still open when an
+    element around it ends, or at another of its kind that it cannot hold, has none."""
+    opened: list[tuple[str, int]] = []
+    count: defaultdict[str, int] = defaultdict(int)
+    out: dict[int, int] = {}
+    for i, m in enumerate(pieces):
+        tag = (m["tag"] or "").lower()
+        if not tag or tag in INLINE or tag in VOID:
+            continue
+        if not m["end"]:
+            if tag not in DROPPED or tag in NESTED:
+                if tag in DROPPED and m["attrs"].endswith("/"):
+                    continue
+            elif count[tag]:
+                at = next(j for j in range(len(opened) - 1, -1, -1) if opened[j][0] == tag)
+                del opened[at]
+                count[tag] -= 1
+            opened.append((tag, i))
+            count[tag] += 1
+        elif count[tag]:
+            while True:
+                last, at = opened.pop()
+                count[last] -= 1
+                if last == tag:
+                    break
+            if tag in DROPPED:
+                out[at] = i
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The non-empty leaf blocks of a page in order, their white space normalised."""
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -84,8 +120,17 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = in_link = 0
 
-    for m in PIECE.finditer(page):
+    pieces = list(PIECE.finditer(page))
+    closings = _closings(pieces) if any(m["tag"] and m["tag"].lower() in DROPPED for m in pieces) else {}
+    until = -1
+    for at, m in enumerate(pieces):
+        if at <= until:
+            continue
         text = m["text"]
+        if stack and stack[-1][0] == "head":  # ended by what cannot stand in it, also without </head>
+            other = (m["svg"] or m["raw"] or ("" if m["end"] else m["tag"]) or "").lower()
+            if other and other not in IN_HEAD or text and text.strip():
+                stack.pop()
         if text is not None:
             parts.append(text)
             if in_link:
@@ -93,10 +138,15 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = m["tag"]
         if tag is None:
-            if m["raw"] and m["raw"].lower() not in ("script", "style", "noscript", "template"):
+            if m["svg"] or m["raw"] and m["raw"].lower() not in ("script", "style"):
                 parts.append(" ")
             continue
         tag = tag.lower()
+        if tag in DROPPED:
+            until = closings.get(at, at)
+            if tag not in ("noscript", "template"):
+                parts.append(" ")
+            continue
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if m["end"] else 1

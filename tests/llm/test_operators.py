@@ -113,6 +113,23 @@ def test_html_text(spark):
     assert other == "A title here\nOne long sentence of the text, which goes on for a while.\nAnother sentence of the text & more of it."
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>t</title><meta charset=x><body><p>One</p><p>Two</p></body></html>", ["One", "Two"]),
+    ("<head><title>t</title><p>One<p>Two", ["One", "Two"]),
+    ("<head><style>x</style></head><p>One", ["One"]),
+    ('<p>One <svg class="i"/> more</p><p>Two</p>', ["One more", "Two"]),
+    ("<p>One <svg><style/><path d=x /><text>no</text></svg> more</p><p>Two</p>", ["One more", "Two"]),
+    ("<svg><svg><text>no</text></svg><text>no</text></svg><p>One</p>", ["One"]),
+    ("<p>One</p><object data=x /><p>Two</p>", ["One", "Two"]),
+    ("<div><button>Go</div><p>One</p><p>Two</p>", ["Go", "One", "Two"]),
+    ("<body><button>Go<p>One</p><div><button>no</button></div><p>Two</p>", ["Go", "One", "Two"]),
+    ("<p>One <button><b>no</b></button> more</p><select><option>no</select><iframe>no</iframe><noscript><p>no</p></noscript><p>Two", ["One more", "Two"]),
+    ("<p>One</p><div><select><option>A</div><p>Two</p>", ["One", "A", "Two"]),
+])
+def test_html_keeps_what_follows_unclosed_and_self_closed_elements(page, want):
+    assert [b.text for b in html.blocks(page)] == want
+
+
 def test_viterbi_is_the_best_sequence():
     rng = random.Random(4)
     for _ in range(30):
