@@ -103,7 +103,10 @@ def line_balance(before: Column, after: Column) -> Column:
 
 
 def refactor_metrics(pairs: DataFrame) -> DataFrame:
-    """(file_id, lines_changed, complexity_delta, security_improvements, performance_gains)."""
+    """(file_id, lines_changed, complexity_delta, security_improvements, performance_gains).
+
+    ``lines_changed`` is a lower bound: moved lines and edits that cancel do not count.
+    """
     before, after = F.col("original_code"), F.col("refactored_code")
     return pairs.select(
         "file_id",

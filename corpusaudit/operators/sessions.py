@@ -262,7 +262,8 @@ def export_steps(steps: DataFrame) -> DataFrame:
 
 
 def result_report(results: DataFrame) -> DataFrame:
-    """Results of completed files with their metrics and the list of changes made.
+    """Results of completed files with their metrics and the list of changes made. ``lines_changed``
+    is a lower bound: moved lines and edits that cancel do not count.
 
     Steps per file are bounded by ``max_iterations``, so they stay beside the file, and the whole
     report is one narrow pass.
