@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusaudit.llm import bpe, chat, exact, html, mixing, nndescent, quality, setsketch, simple8b, token_counts
+from corpusaudit.llm import (
+    bpe, chat, exact, html, mixing, nndescent, quality, secret_scan, setsketch, simple8b, token_counts,
+)
 from corpusaudit.llm.store import table
 from corpusaudit.sources.state import new_dir
 
@@ -87,12 +89,28 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.search(nndescent.build(rows), queries)
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secret_scan.BASE]
+    held = found.select(
+        F.col("row.doc_id").alias("doc_id"), "spans", F.filter("spans", lambda s: s["kind"].isin(base)).alias("base")
+    )
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in base]
+    counts = [(F.size("base") - n).cast("long").alias(f"n_{k}") for k, n in zip(base, counts)]
+    return held.select(
+        "doc_id", *counts,
+        F.sha2(secret_scan.rendered(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.rendered(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_mix, op2_exact_dedup, op3_html_text, op4_quality, op5_chat_format, op6_bpe,
-            op7_token_counts, op8_token_binary, op9_near_dedup, op10_nearest,
+            op7_token_counts, op8_token_binary, op9_near_dedup, op10_nearest, op13_secrets,
         )
     }
 
@@ -152,5 +170,36 @@ FROM f GROUP BY conv_id
 """
 
 
+def _rule_matches(rank: int, rule: secret_scan.Rule) -> str:
+    quoted = "'" + rule.pattern.replace("'", "''") + "'"
+    return (
+        f"SELECT r, '{rule.kind}' AS kind, {rank} AS place, {rule.least} AS least, regexp_extract_all(text, {quoted}) AS ms,"
+        f" regexp_extract_all(text, {quoted}, {rule.group}) AS tested, string_split_regex(text, {quoted}) AS gaps"
+        f" FROM d WHERE regexp_matches(text, {quoted})"
+    )
+
+
+SQL_SECRETS = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), m AS (
+  {" UNION ALL ".join(_rule_matches(i, rule) for i, rule in enumerate(secret_scan.RULES))}
+), each AS (
+  SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m
+), s AS (
+  SELECT r, kind, place, length(array_to_string(gaps[1:i], '')) + length(array_to_string(ms[1:i - 1], '')) AS start_at, length(ms[i]) AS n
+  FROM each WHERE length(tested[i]) >= least
+), t AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start_at || ':' || (start_at + n), ',' ORDER BY start_at, place) FILTER (place < {len(secret_scan.BASE)}) AS base,
+    string_agg(kind || ':' || start_at || ':' || (start_at + n), ',' ORDER BY start_at, place) AS spans
+  FROM s GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN t USING (r)
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op1_mix": SQL_MIX, "op2_exact_dedup": SQL_EXACT, "op5_chat_format": SQL_CHAT}
+    return {"op1_mix": SQL_MIX, "op2_exact_dedup": SQL_EXACT, "op5_chat_format": SQL_CHAT, "op13_secrets": SQL_SECRETS}
