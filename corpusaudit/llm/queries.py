@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusaudit.llm import (
-    bpe, chat, exact, html, mixing, nndescent, quality, secret_scan, setsketch, simple8b, token_counts,
+    ball_search, bpe, chat, exact, html, mixing, nndescent, quality, secret_scan, setsketch, simple8b, token_counts,
 )
 from corpusaudit.llm.store import table
 from corpusaudit.sources.state import new_dir
@@ -89,6 +89,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.search(nndescent.build(rows), queries)
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
     base = [r.kind for r in secret_scan.BASE]
@@ -110,7 +114,8 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_mix, op2_exact_dedup, op3_html_text, op4_quality, op5_chat_format, op6_bpe,
-            op7_token_counts, op8_token_binary, op9_near_dedup, op10_nearest, op13_secrets,
+            op7_token_counts, op8_token_binary, op9_near_dedup, op10_nearest,
+            op12_lexical, op13_secrets,
         )
     }
 
@@ -201,5 +206,38 @@ FROM d LEFT JOIN t USING (r)
 """
 
 
+SQL_LEXICAL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), items AS (
+  SELECT row_number() OVER () AS i, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM benchmark
+), held AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), asked AS (
+  SELECT DISTINCT i, item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items
+), sizes AS (
+  SELECT r, count(*) AS n FROM held GROUP BY r
+), corpus AS (
+  SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes
+), tf AS (
+  SELECT r, doc_id, term, count(*) AS tf FROM held WHERE term IN (SELECT term FROM asked) GROUP BY r, doc_id, term
+), df AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, corpus GROUP BY term, n_docs
+), valued AS (
+  SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms))) AS x
+  FROM tf JOIN sizes USING (r), corpus
+), scored AS (
+  SELECT i, item_id, r, doc_id, sum(w * x)::BIGINT AS score
+  FROM asked JOIN df USING (term) JOIN valued USING (term) GROUP BY i, item_id, r, doc_id HAVING sum(w * x) > 0
+), placed AS (
+  SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM scored
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op1_mix": SQL_MIX, "op2_exact_dedup": SQL_EXACT, "op5_chat_format": SQL_CHAT, "op13_secrets": SQL_SECRETS}
+    return {
+        "op1_mix": SQL_MIX, "op2_exact_dedup": SQL_EXACT, "op5_chat_format": SQL_CHAT, "op12_lexical": SQL_LEXICAL,
+        "op13_secrets": SQL_SECRETS,
+    }
