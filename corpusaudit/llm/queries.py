@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusaudit.llm import (
-    ball_search, bpe, chat, exact, html, mixing, nndescent, quality, secret_scan, setsketch, simple8b, token_counts,
+    alignment, ball_search, bpe, chat, exact, html, mixing, nndescent, quality, secret_scan, setsketch, simple8b, token_counts,
 )
 from corpusaudit.llm.store import table
 from corpusaudit.sources.state import new_dir
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2
 
 
@@ -89,6 +91,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.search(nndescent.build(rows), queries)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECE_VOCABULARY).drop("groups")
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
@@ -115,7 +121,7 @@ def queries() -> dict:
         for f in (
             op1_mix, op2_exact_dedup, op3_html_text, op4_quality, op5_chat_format, op6_bpe,
             op7_token_counts, op8_token_binary, op9_near_dedup, op10_nearest,
-            op12_lexical, op13_secrets,
+            op11_alignment, op12_lexical, op13_secrets,
         )
     }
 
