@@ -105,19 +105,22 @@ ON_FILES = {
     "apply_best": lambda f: apply.apply_best(f).drop("original_code"),
     "apply_mismatch": apply.apply_mismatch,
     "refactor_fixpoint": lambda f: catalog._fixpoint(refactor(f)),
-    "validate_security": lambda f: metrics.validate_security(apply.apply_best(f)),
+    "validate_security": lambda f: metrics.validate_security(refactor(f)),
     "complexity": metrics.complexity_report,
-    "complexity_delta": lambda f: apply.apply_best(f).select(
+    "complexity_delta": lambda f: refactor(f).select(
         "file_id",
         metrics.complexity_delta(*_pair()).alias("complexity_delta"),
     ),
-    "security_improvements": lambda f: apply.apply_best(f).select(
+    "security_improvements": lambda f: refactor(f).select(
         "file_id", metrics.security_improvements(*_pair()).alias("security_improvements")
     ),
-    "performance_gains": lambda f: apply.apply_best(f).select(
+    "performance_gains": lambda f: refactor(f).select(
         "file_id", metrics.performance_gains(*_pair()).alias("performance_gains")
     ),
-    "lines_changed_multiset": lambda f: metrics.lines_changed_multiset(apply.apply_best(f)),
+    "lines_changed_multiset": lambda f: metrics.lines_changed_multiset(refactor(f)),
+    "refactor_metrics": lambda f: metrics.refactor_metrics(refactor(f)),
+    "result_report": lambda f: sessions.result_report(refactor(f)),
+    "convergence_report": lambda f: opsmetrics.convergence_report(refactor(f)),
 }
 
 
