@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit.functions.dialect import java_pattern, java_replacement
-from corpusaudit.operators.lines import code_lines
+from corpusaudit.functions.literals import folded, grams_in, grams_of, required_literals
+from corpusaudit.functions.text import rows_of, split_lines
 
 PROPOSAL_SCHEMA = {
     "file_id": None,  # as in the corpus
@@ -30,8 +33,8 @@ PROPOSAL_SCHEMA = {
 RULE_COLUMNS = (
     "rule_id", "category", "pattern", "replacement", "confidence", "impact", "change_type"
 )
-# Rules per pass over the corpus; a larger pack takes several passes.
-RULES_PER_PASS = 200
+# Rules whose index is sent to the executors at once.
+RULES_AT_ONCE = 100_000
 
 
 @dataclass(frozen=True)
@@ -75,91 +78,103 @@ def merge_rules(builtin: DataFrame, user: DataFrame) -> DataFrame:
     return builtin.unionByName(free)
 
 
-def _packs(rules: DataFrame) -> Iterator[list]:
-    """Rules in packs of RULES_PER_PASS. The table is configuration written by hand; it is read in
-    slices by id, so that no more than one pack is on the driver at a time. Ids have to be unique
-    and present, or a slice could lose a rule."""
+def _checked(rules: DataFrame) -> DataFrame:
+    """Rule ids have to be present and unique, or a proposal could not be traced to its rule."""
     bad = rules.groupBy("rule_id").agg(F.count("*").alias("n")).filter("rule_id is null or n > 1")
     named = [str(r["rule_id"]) for r in bad.orderBy("rule_id").limit(10).collect()]
     if named:
         raise ValueError("rule ids are missing or not unique: " + ", ".join(named))
-    last = None
-    while True:
-        rest = rules if last is None else rules.filter(F.col("rule_id") > last)
-        pack = rest.orderBy("rule_id").limit(RULES_PER_PASS).collect()
-        if pack:
-            yield pack
-        if len(pack) < RULES_PER_PASS:
-            return
-        last = pack[-1]["rule_id"]
-
-
-def _union(passes: list[DataFrame]) -> DataFrame:
-    if not passes:
+    if rules.isEmpty():
         raise ValueError("the rule table is empty")
-    return reduce(DataFrame.unionByName, passes)
+    return rules
+
+
+def literal_indexes(rules: DataFrame) -> Iterator[DataFrame]:
+    """The index of each ``RULES_AT_ONCE`` rules in the order of their ids: what is on the driver and sent
+    to the executors at a time is bounded, and only larger tables read the corpus again."""
+    rows, begin = rules.orderBy("rule_id").toLocalIterator(), 0
+    while pack := list(islice(rows, RULES_AT_ONCE)):
+        yield literal_index(rules, pack, begin)
+        begin += len(pack)
+
+
+def literal_index(rules: DataFrame, pack: list, begin: int) -> DataFrame:
+    """(gram, others, rule): where to look a rule up. ``rule`` is a struct of the rule's columns with its
+    place ``rule_ord``, its pattern and replacement for Java, and its required ``literals``.
+
+    Each alternative of a rule is filed under the rarest of its three-character strings, counted over
+    the rules, so that a string of a text leads to few rules. ``others`` lists the rule's strings
+    before this one: a text that holds several leads to the rule by the first alone. Rules that
+    require no literal are filed under the empty string.
+    """
+    spark = rules.sparkSession
+    fields = list(rules.columns)
+    prepared, files = [], []
+    for i, r in enumerate(pack, begin):
+        found = required_literals(r["pattern"])
+        replacement = java_replacement(r["replacement"], r["pattern"]) if "replacement" in fields else ""
+        prepared.append((*[r[f] for f in fields], i, java_pattern(r["pattern"]), replacement, found))
+        files.append([grams_of(literal) for literal in found] or [[""]])
+    uses = Counter(g for options in files for g in set().union(*options))
+    entries = []
+    for row, options in zip(prepared, files):
+        own = sorted({min(grams, key=lambda g: (uses[g], g)) for grams in options})
+        entries += [(g, own[:k], row) for k, g in enumerate(own)]
+    kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rules.schema.fields)
+    rule = f"struct<{kinds}, rule_ord: int, java_pattern: string, java_replacement: string, literals: array<string>>"
+    return spark.createDataFrame(entries, f"gram string, others array<string>, rule {rule}")
+
+
+def candidates(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(file_id, code, low, rule): the rules whose literals a text holds, each once. Strings of the text are
+    joined with the index; only this decides which patterns run at all. The corpus is read once and
+    the plan stays the same for up to ``RULES_AT_ONCE`` rules."""
+    low = files.select("file_id", "code", folded(F.col("code")).alias("low"))
+    looked_up = low.select("file_id", "code", "low", F.explode(F.concat(F.array(F.lit("")), grams_in(F.col("low")))).alias("gram"))
+    hits = reduce(DataFrame.unionByName, [looked_up.join(F.broadcast(x), "gram") for x in literal_indexes(_checked(rules))])
+    first = F.forall("others", lambda g: ~F.contains(F.col("low"), g))
+    return hits.filter(first & _holds(F.col("low"), F.col("rule"))).select("file_id", "code", "low", "rule")
+
+
+def _holds(low: Column, rule: Column) -> Column:
+    return (F.size(rule["literals"]) == 0) | F.exists(rule["literals"], lambda literal: F.contains(low, literal))
 
 
 def scan_rule_table(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(file_id, rule_id, category, n_matches) of data-only rules, searched in whole texts."""
-    passes = []
-    for pack in _packs(rules.select("rule_id", "category", "pattern")):
-        counts = [
-            F.struct(
-                F.lit(r["rule_id"]).alias("rule_id"),
-                F.lit(r["category"]).alias("category"),
-                F.regexp_count("code", F.lit(java_pattern(r["pattern"]))).cast("long").alias("n_matches"),
-            )
-            for r in pack
-        ]
-        found = F.filter(F.array(*counts), lambda hit: hit["n_matches"] > 0)
-        passes.append(files.select("file_id", F.inline(found)))
-    return _union(passes)
+    found = candidates(files, rules.select("rule_id", "category", "pattern"))
+    n = F.regexp_count("code", F.col("rule.java_pattern")).cast("long")
+    row = F.struct(F.col("rule.rule_id").alias("rule_id"), F.col("rule.category").alias("category"), n.alias("n_matches"))
+    return found.select("file_id", row.alias("hit")).select("file_id", rows_of(F.col("hit.n_matches") > 0, F.col("hit"))).select(
+        "file_id", "rule_id", "category", "n_matches"
+    )
 
 
 def apply_rule_table(files: DataFrame, rules: DataFrame, agent_id: str, agent_ord: int) -> DataFrame:
     """Proposals of data-only rules: a line that matches ``pattern`` is rewritten by ``replacement``.
 
-    The rules of a pack become literals of one narrow pass; nothing is joined or shuffled.
+    Candidate rules come from the index; their patterns run on the lines that hold their literals.
     """
-    passes = []
-    for pack in _packs(rules.select(*RULE_COLUMNS)):
-        line = F.col("line")
-        edits = [
-            F.when(
-                line.rlike(java_pattern(r["pattern"])),
-                F.struct(
-                    F.lit(r["rule_id"]).alias("rule_id"),
-                    F.lit(r["change_type"]).alias("change_type"),
-                    F.regexp_replace(
-                        line, java_pattern(r["pattern"]), java_replacement(r["replacement"], r["pattern"])
-                    ).alias("modified_code"),
-                    F.lit(float(r["confidence"])).alias("confidence"),
-                    F.lit(r["category"]).alias("description"),
-                    F.lit(float(r["impact"])).alias("impact_score"),
-                    F.lit(i).alias("rule_ord"),
-                ),
-            )
-            for i, r in enumerate(pack)
-        ]
-        hits = code_lines(files).select(
-            "file_id", "line_no", "line", F.inline(F.array_compact(F.array(*edits)))
-        )
-        passes.append(
-            hits.select(
-                "file_id",
-                F.lit(agent_id).alias("agent_id"),
-                F.lit(agent_ord).alias("agent_ord"),
-                "rule_id",
-                (F.col("rule_ord") + len(passes) * RULES_PER_PASS).alias("rule_ord"),
-                "change_type",
-                line.alias("original_code"),
-                "modified_code",
-                F.col("line_no").alias("line_start"),
-                F.col("line_no").alias("line_end"),
-                "confidence",
-                "description",
-                "impact_score",
-            )
+    rule = F.col("rule")
+    numbered = F.transform(split_lines(F.col("code")), lambda line, i: F.struct(line.alias("line"), i.alias("line_no")))
+    matching = F.filter(
+        numbered, lambda x: _holds(folded(x["line"]), rule) & F.rlike(x["line"], rule["java_pattern"])
+    )
+    hits = candidates(files, rules.select(*RULE_COLUMNS)).select("file_id", "rule", F.inline(matching))
+    return check_proposals(
+        hits.select(
+            "file_id",
+            F.lit(agent_id).alias("agent_id"),
+            F.lit(agent_ord).alias("agent_ord"),
+            rule["rule_id"].alias("rule_id"),
+            rule["rule_ord"].alias("rule_ord"),
+            rule["change_type"].alias("change_type"),
+            F.col("line").alias("original_code"),
+            F.regexp_replace("line", rule["java_pattern"], rule["java_replacement"]).alias("modified_code"),
+            F.col("line_no").alias("line_start"),
+            F.col("line_no").alias("line_end"),
+            rule["confidence"].cast("double").alias("confidence"),
+            rule["category"].alias("description"),
+            rule["impact"].cast("double").alias("impact_score"),
         )
-    return check_proposals(_union(passes))
+    )

@@ -1,6 +1,10 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from corpusaudit.functions.literals import required_literals
 from corpusaudit.operators import consensus, lines, propose, rulepack
 
 RULES = (
@@ -26,12 +30,61 @@ def test_data_rules_become_proposals_that_can_be_voted_on(spark, corpus_of):
     assert d == {0: "reject_changes", 1: "no_changes"}
 
 
-def test_large_rule_tables_take_several_passes(spark, corpus_of):
-    n = rulepack.RULES_PER_PASS + 30
-    files = corpus_of("\n".join(f"name{i}" for i in range(n)))
-    p = rulepack.apply_rule_table(files, table(spark, n), "names", 3).collect()
-    assert sorted(r.line_start for r in p) == list(range(n))
-    assert len({r.rule_ord for r in p}) == n
+def test_plan_does_not_grow_with_the_rules(spark, corpus_of):
+    n = 20_000
+    files = corpus_of("\n".join(f"name{i}" for i in range(0, n, 400)), "no such thing", None, "")
+    few, many = (rulepack.apply_rule_table(files, table(spark, k), "names", 3) for k in (3, n))
+
+    def shape(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [line.strip(" +-:*()0123456789").split(" ")[0] for line in plan.splitlines()]
+
+    assert shape(few) == shape(many) and len(shape(many)) < 40
+    rows = many.collect()
+    assert sorted(r.line_start for r in rows) == list(range(n // 400))
+    assert sorted((r.rule_id, r.rule_ord) for r in rows) == [(f"U{i:04d}", place_of(i, n)) for i in sorted(range(0, n, 400), key=lambda i: f"U{i:04d}")]
+    counted = rulepack.scan_rule_table(files, table(spark, n)).collect()
+    assert len(counted) == n // 400 and {r.n_matches for r in counted} == {1}
+
+
+def test_larger_tables_take_several_passes(spark, corpus_of, monkeypatch):
+    monkeypatch.setattr(rulepack, "RULES_AT_ONCE", 7)
+    p = rulepack.apply_rule_table(corpus_of("\n".join(f"name{i}" for i in range(20))), table(spark, 20), "names", 3).collect()
+    assert sorted((r.line_start, r.rule_ord) for r in p) == [(i, i) for i in range(20)]
+
+
+def place_of(i, n):
+    return sorted(f"U{k:04d}" for k in range(n)).index(f"U{i:04d}")
+
+
+PATTERNS = [
+    r"\bname1\b", r"a\s+b", r"(?i)TODO|fixme", r"x", r"[a-z]+\(\)", r"(foo|ba[rz])\s*=", r"(?:print|log)\(.*\)", r"return None$", r"(ab){2,}", r"éte|abc",
+    r"(?i)straße|ISBN", r"^import (os|sys)", r"if .+: pass", r"a?bcd", r"(?=abc)a", r"[Tt]emp_\w+", r"x{0}yyy|zzz", r"\.append\(",
+]
+
+
+def test_index_loses_no_match(spark, corpus_of):
+    rng = random.Random(8)
+    words = ["name1", "a  b", "todo", "FIXME", "ſtraße", "ISBN", "ıſbn", "İSBN", "STRASSE", "foo =", "bar=", "print(x)", "log( )", "return None", "abab", "éte", "abc", "import os", "if x: pass", "bcd", "Temp_1", "yyy", "zzz", "x.append(1)", "f()", "\n", " "]
+    texts = ["".join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(400)]
+    rules = spark.createDataFrame([(f"P{i:02d}", "c", p, "", 0.5, 0.1, "readability") for i, p in enumerate(PATTERNS)], RULES)
+    want = sorted((k, f"P{i:02d}", len(re.findall(p, t))) for k, t in enumerate(texts) for i, p in enumerate(PATTERNS) if re.search(p, t))
+    got = rulepack.scan_rule_table(corpus_of(*texts), rules).collect()
+    assert sorted((r.file_id, r.rule_id, r.n_matches) for r in got) == want
+    lines_hit = sorted(
+        (k, f"P{i:02d}", n, re.sub(p, "", line)) for k, t in enumerate(texts) for n, line in enumerate(t.split("\n"))
+        for i, p in enumerate(PATTERNS) if re.search(p, line)
+    )
+    got = rulepack.apply_rule_table(corpus_of(*texts), rules, "u", 3).collect()
+    assert sorted((r.file_id, r.rule_id, r.line_start, r.modified_code) for r in got) == lines_hit
+
+
+def test_required_literals():
+    assert required_literals(r"\bname17\b") == ["name17"]
+    assert required_literals(r"(?i)TODO|fixme") == ["fixme", "todo"]
+    assert required_literals(r"(foo|ba[rz])\s*=") == [] and required_literals(r"[a-z]+") == []
+    assert required_literals(r"\s*(import|from) (os)") == ["from", "import"]
+    assert required_literals(r"(abc)?xyz1") == ["xyz1"]
 
 
 def test_rule_tables_search_whole_texts(spark, corpus_of):
