@@ -19,14 +19,14 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHED_WORDS = 100_000
+CACHED_WORDS = 200_000
+BYTES_AT_ONCE = 3_000_000
 CHARS_AT_ONCE = 1_500_000
 PARTS_AT_ONCE = 1000
 ROWS_AT_ONCE = 1000  # of ids and decoded texts held beside a batch
@@ -37,6 +37,16 @@ ASCII_WORD = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+")
 SIMPLE_BYTES = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F)])
 
 
+# Kinds of bytes in texts of ASCII and Latin-1 letters: white space, letters, digits, all others.
+SPACE, LETTER, DIGIT, OTHER = range(4)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[[*range(0x09, 0x0E), 0x20]] = SPACE
+KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = LETTER
+KINDS[0x30:0x3A] = DIGIT
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[0x41:0x5B] += 32
+
+
 def _byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself if it
     is printable in Latin-1, else the next one from 256 on."""
@@ -152,21 +162,27 @@ class Encoder:
                 out.append(chunk)
         return out
 
-    def known(self, wanted: set) -> dict:
-        """The ids (little-endian, 32 bits each) of every wanted word or chunk."""
+    def known(self, wanted: list) -> list[bytes]:
+        """The ids (little-endian, 32 bits each) of distinct words or chunks."""
         if len(self.recent) > self.cached:
             self.older, self.recent = self.recent, {}
-        new = wanted.difference(self.recent)
+        found = list(map(self.recent.get, wanted))
+        missing = [i for i, f in enumerate(found) if f is None]
         if self.older:
-            again = new.intersection(self.older)
-            self.recent.update((c, self.older[c]) for c in again)
-            new -= again
-        words = [w for w in new if isinstance(w, str)]
-        mapped = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_ALPHABET) for w in words]
-        self.recent.update(zip(words, self._encode_words(mapped)))
-        if len(words) < len(new):
-            self.recent.update((c, self._encode_chunk(c)) for c in new if not isinstance(c, str))
-        return self.recent
+            for i in missing:
+                found[i] = self.older.get(wanted[i])
+            self.recent.update((wanted[i], found[i]) for i in missing if found[i] is not None)
+            missing = [i for i in missing if found[i] is None]
+        words = [i for i in missing if isinstance(wanted[i], str)]
+        mapped = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_ALPHABET) for w in map(wanted.__getitem__, words)]
+        for i, ids in zip(words, self._encode_words(mapped)):
+            found[i] = ids
+        if len(words) < len(missing):
+            for i in missing:
+                if found[i] is None:
+                    found[i] = self._encode_chunk(wanted[i])
+        self.recent.update((wanted[i], found[i]) for i in missing)
+        return found
 
     def forget(self) -> None:
         """Gives the memory of the cache back; a worker outlives the stage that filled it."""
@@ -174,29 +190,45 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        group: list[tuple[list, list]] = []
-        wanted: set = set()
-        size = 0
-
-        def flush() -> None:
-            nonlocal group, wanted, size
-            known = self.known(wanted)
-            for words, found in group:
-                out.append(b"".join([known[w] if i is None else i for w, i in zip(words, found)]))
-            group, wanted, size = [], set(), 0
-
-        for text in texts:
-            words = self.words(text)
-            found = list(map(self.recent.get, words))  # None: not in the cache
-            wanted.update(compress(words, [i is None for i in found]))
-            group.append((words, found))
-            size += len(text)
-            if size > CHARS_AT_ONCE:
-                flush()
-        flush()
+        out: list[bytes] = [b""] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t and is_simple(t)]
+        seen = set(plain)
+        other = [i for i, t in enumerate(texts) if t and i not in seen]
+        for at, encode in ((plain, self._encode_plain), (other, self._encode_other)):
+            begin = 0
+            while begin < len(at):
+                stop, size = begin, 0
+                while stop < len(at) and size < BYTES_AT_ONCE:
+                    size += len(texts[at[stop]])
+                    stop += 1
+                for i, ids in zip(at[begin:stop], encode([texts[i] for i in at[begin:stop]])):
+                    out[i] = ids
+                begin = stop
         return out
 
+    def _encode_plain(self, texts: list[bytes]) -> list[bytes]:
+        """Texts of ASCII and letters of Latin-1, without special tokens. Borders of words are found on
+        the bytes of all texts at once, and only distinct words are looked up."""
+        data, offsets, first = split_plain(texts)
+        words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        found = self.known(words.dictionary.cast(pa.string()).to_numpy(zero_copy_only=False).tolist())
+        flat = np.frombuffer(b"".join(found), ID)
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = words.indices.to_numpy()
+        own = counts[which]
+        stops = np.cumsum(own)
+        total = int(stops[-1]) if len(stops) else 0
+        at = np.repeat((np.cumsum(counts) - counts)[which] - (stops - own), own) + np.arange(total)
+        ids = flat[at].tobytes()
+        borders = 4 * np.concatenate(([0], stops))[first]
+        return [ids[a:b] for a, b in zip(borders.tolist(), borders[1:].tolist())]
+
+    def _encode_other(self, texts: list[bytes]) -> list[bytes]:
+        parts = [self.words(t) for t in texts]
+        wanted = list(set().union(*parts))
+        known = dict(zip(wanted, self.known(wanted)))
+        return [b"".join([known[w] for w in words]) for words in parts]
+
     def decode(self, ids: bytes | np.ndarray) -> bytes:
         """The tokens joined by a space, as the file (which names no decoder) asks for. Ids that
         the vocabulary lacks give nothing."""
@@ -205,6 +237,31 @@ class Encoder:
         return b" ".join([tokens[i] for i in values if i < n and tokens[i]])
 
 
+def split_plain(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all words, where each word begins there, the first word of each text): lower-cased
+    runs of letters, single digits, the seven contractions, and runs of other characters."""
+    raw = np.frombuffer(b" ".join(texts) + b"   ", np.uint8)
+    low = LOWERED[raw]
+    # A letter of Latin-1 is two bytes, of which the second tells the case.
+    capital = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    low[capital[raw[capital] <= 0x9E]] += 32
+    kind = KINDS[raw]
+    start = kind != SPACE
+    start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    quote = np.flatnonzero(start & (low == ord("'")))
+    one, two = low[quote + 1], low[quote + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    pairs = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    for at, size in ((quote[short], 2), (quote[pairs], 3)):
+        start[at + 1] = False
+        start[at + size] = kind[at + size] != SPACE
+    solid = np.flatnonzero(kind != SPACE)
+    begins = np.flatnonzero(start[solid])
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    first = np.searchsorted(solid[begins], np.concatenate(([0], ends)))
+    return low[solid], np.append(begins, len(solid)).astype(np.int32), first
+
+
 def joining_pairs(vocab: dict[str, int], suffix: str) -> np.ndarray:
     """joins[a, b]: some token holds the characters a and b (of the byte alphabet) side by side."""
     joins = np.zeros((512, 512), bool)
