@@ -7,6 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusaudit.functions.sequences import (
+    CALL,
+    CLOSED,
+    has_concat_in_loop,
+    has_filter_loop,
+    has_ternary,
+    open_calls,
+    restored,
+)
 from corpusaudit.functions.text import (
     count_ignoring_case,
     has,
@@ -36,11 +45,29 @@ def _gated(build: Callable[[rules.Vulnerability], Column]) -> Column:
     return F.array_compact(F.flatten(F.array_compact(F.array(*parts))))
 
 
+def _count(code: Column, low: Column, odd: Column, r: rules.Vulnerability) -> Column:
+    """Matches of a rule; the calls of R5 are marked first."""
+    if r.rule_id != "R5":
+        return count_ignoring_case(code, low, odd, rules.linear(r))
+    marked = count_ignoring_case(open_calls(code), open_calls(low), odd, CALL)
+    return F.when(has(code, CLOSED), count_ignoring_case(code, low, odd, rules.linear(r))).otherwise(marked)
+
+
+def _matched(code: Column, r: rules.Vulnerability) -> Column:
+    def texts(text: Column, pattern: str) -> Column:
+        return F.regexp_extract_all(text, F.lit(jre(pattern, ignore_case=True)), F.lit(1))
+
+    plain = texts(code, rules.linear(r))
+    if r.rule_id != "R5":
+        return plain
+    return F.when(has(code, CLOSED), plain).otherwise(F.transform(texts(open_calls(code), CALL), restored))
+
+
 def _hit(name: str, label: Callable[[rules.Vulnerability], str]) -> Column:
     """array of (label, category, count) of the rules that match the text."""
 
     def build(r: rules.Vulnerability) -> Column:
-        n = count_ignoring_case(F.col("code"), F.col("low"), F.col("odd"), rules.linear(r))
+        n = _count(F.col("code"), F.col("low"), F.col("odd"), r)
         return F.struct(
             F.lit(label(r)).alias(name),
             F.lit(r.category).alias("category"),
@@ -57,7 +84,7 @@ def vulnerability_count(code: Column) -> Column:
         low, odd = v["low"], v["odd"]
         groups: dict[str, list[Column]] = {}
         for r in rules.VULNERABILITIES:
-            n = count_ignoring_case(code, low, odd, rules.linear(r))
+            n = _count(code, low, odd, r)
             groups.setdefault(r.gate, []).append(F.when(has(low, r.needle) | odd, n).otherwise(0))
         parts = [
             F.when(has(low, g) | odd, sum(counts[1:], counts[0])).otherwise(0)
@@ -85,9 +112,7 @@ def vuln_matches(files: DataFrame) -> DataFrame:
     """One row per match, with the label category:pattern."""
 
     def matches(r: rules.Vulnerability) -> Column:
-        texts = F.regexp_extract_all(
-            "code", F.lit(jre(rules.linear(r), ignore_case=True)), F.lit(1)
-        )
+        texts = _matched(F.col("code"), r)
 
         def row(text: Column, i: Column) -> Column:
             return F.struct(
@@ -137,11 +162,11 @@ def pattern_issues(code: Column, lines: Column) -> Column:
     )
     counts = (
         F.when(_all_in(code, "for", ".append("), list_sites).otherwise(0),
-        _flag(_all_in(code, "if", "return", "else:") & code.rlike(jre(rules.TERNARY))),
+        _flag(_all_in(code, "if", "return", "else:") & has_ternary(code)),
         F.when(
             has(code, "temp_") | has(code, "tmp_") | has(code, "temporary_"), temp_sites
         ).otherwise(0),
-        _flag(_all_in(code, "for", "+=") & code.rlike(jre(rules.CONCAT_IN_LOOP))),
+        _flag(_all_in(code, "for", "+=") & has_concat_in_loop(code)),
         _flag(_all_in(code, "if", "in", "[") & code.rlike(jre(rules.DICT_GET))),
     )
     return _found(rules.PATTERN_ISSUES, counts)
@@ -155,7 +180,7 @@ def loop_issues(code: Column) -> Column:
         _flag(
             _all_in(code, "while", "break") & code.rlike(jre(rules.INFINITE_LOOP, dotall=True))
         ),
-        _flag(_all_in(code, "for", "if") & code.rlike(jre(rules.FILTER_LOOP))),
+        _flag(_all_in(code, "for", "if") & has_filter_loop(code)),
         _flag(_all_in(code, "for", ".append(") & code.rlike(jre(rules.MAP_LOOP_SEARCH))),
         _flag(_all_in(code, "count", "+=") & code.rlike(jre(rules.MANUAL_COUNT, dotall=True))),
         _flag(_all_in(code, "sum", "+=") & code.rlike(jre(rules.MANUAL_SUM, dotall=True))),

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from corpusaudit.operators import apply, consensus, lines, metrics, propose, scan, vote
+from corpusaudit.operators import apply, consensus, lines, metrics, opsmetrics, propose, scan, sessions, vote
 from corpusaudit.plans import audit, catalog
 from corpusaudit.plans.refactor import refactor
 from oracle import sql
