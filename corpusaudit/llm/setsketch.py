@@ -12,7 +12,8 @@ groups of copies; buckets that still hold several components are then compared e
 bounded size, from which only a spanning forest of confirmed links is returned.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. Rows
-without an id are linked with nothing. Rows that repeat an id belong together.
+without an id are linked with nothing. Rows that repeat an id belong together, whatever their texts: each text is a
+class of its own and finds its own links, and the id joins them.
 """
 
 from __future__ import annotations
@@ -176,8 +177,8 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, width: int) -
             own = [xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "items"]).filter(pa.array(own))
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("node"), docs["text"].alias("text"))
-    wanted = rows.join(small(nodes.select("node", "digest"), n_nodes), "node").select("node", "text", "digest")
+    rows = docs.select(docs["doc_id"].cast("long").alias("first_id"), docs["text"].alias("text"))
+    wanted = rows.join(small(nodes.select("node", "first_id", "digest"), n_nodes), "first_id").select("node", "text", "digest")
     return wanted.mapInArrow(run, "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
 
 
@@ -246,13 +247,14 @@ def _compare_blocks(rows: list[dict], left: int, right: int, percent: int) -> It
 
 
 def _links(docs: DataFrame, width: int, percent: int, rows: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between classes that connect all that is linked. ``rows`` are stored
-    sketches."""
+    """Confirmed links between classes that connect all that is linked, as pairs (a, b) of the smallest ids
+    of their classes. ``rows`` are stored sketches. Ids do not number the classes, as several may
+    share one; their numbers are made once and stored."""
     classes = rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"),
+        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"),
         F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"),
     )
-    classes = written(classes, "near-classes")
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     members = classes.select("node", F.explode("buckets").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(members.join(crowded, "bucket"), "near-members")
@@ -260,10 +262,10 @@ def _links(docs: DataFrame, width: int, percent: int, rows: DataFrame) -> DataFr
     hubs = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("h"))
     stars = members.join(hubs.select("bucket", (-F.col("h.minus")).alias("hub")), "bucket")
     stars = stars.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    involved = weight.select("node").join(classes, "node").select("node", "digest", "n_shingles", "sketch")
+    involved = weight.select("node").join(classes, "node").select("node", "first_id", "digest", "n_shingles", "sketch")
     involved = written(involved, "near-involved")
     n_nodes = involved.count()
-    sets = written(_shingle_sets(docs, involved, n_nodes, width).join(involved.drop("digest"), "node"), "near-sets")
+    sets = written(_shingle_sets(docs, involved, n_nodes, width).join(involved.drop("digest", "first_id"), "node"), "near-sets")
 
     def side(name: str) -> DataFrame:
         return involved.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"{name}_sketch"))
@@ -275,7 +277,11 @@ def _links(docs: DataFrame, width: int, percent: int, rows: DataFrame) -> DataFr
     pairs = likely.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("a_items")), "a")
     pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("b_items")), "b")
     first = written(_confirm(pairs, percent), "near-links")
-    return first.unionByName(_rest(members, sets, components(first), percent))
+    links = first.unionByName(_rest(members, sets, components(first), percent))
+    for end in ("a", "b"):
+        own = involved.select(F.col("node").alias(end), F.col("first_id").alias(f"{end}_id"))
+        links = links.join(own, end)
+    return links.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).filter("a <> b")
 
 
 def _rest(members: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
