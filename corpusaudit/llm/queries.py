@@ -86,9 +86,8 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nndescent.usable(table(spark, sf_dir, "embeddings"))
-    queries = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector").distinct()
-    return nndescent.search(nndescent.build(rows), queries)
+    index = nndescent.build(nndescent.usable(table(spark, sf_dir, "embeddings")))
+    return nndescent.search(index, index.queries("vec_id % 100 = 0"))
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

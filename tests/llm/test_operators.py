@@ -299,6 +299,17 @@ def test_near_duplicates_of_a_hot_group(spark):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == near_brute(rows, 3, 85)
 
 
+def test_near_duplicates_of_a_repeated_id(spark):
+    """Each text of an id finds its own neighbours, in whatever order the rows come."""
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    near_b = b.replace("b59", "other")
+    near_a = a.replace("a59", "other")
+    for rows in ([(1, a), (1, b), (2, near_b)], [(1, b), (1, a), (2, near_b)], [(1, a), (1, b), (2, near_b), (3, near_a), (5, "z y x w v")]):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+        got = {r["doc_id"]: r["component_id"] for r in setsketch.near_duplicates(df, 5, 80).collect()}
+        assert got == {i: 5 if i == 5 else 1 for i, _ in rows}
+
+
 def test_joint_estimate_is_near_the_similarity():
     rng = np.random.default_rng(1)
     for j in (0.2, 0.5, 0.85, 1.0):
@@ -357,23 +368,47 @@ def test_nearest_edges(spark):
     rows = [(0, [1.0, 0.0]), (None, [1.0, 1.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 1.0]), *same]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<float>, node int")
     use = nndescent.usable(df)
-    q = use.filter("vec_id % 100 = 0").selectExpr("vec_id as query_id", "vector")
+    index = nndescent.build(use)
     got = collections.defaultdict(list)
-    for r in nndescent.search(nndescent.build(use), q).orderBy("rank").collect():
+    for r in nndescent.search(index, index.queries("vec_id % 100 = 0")).orderBy("rank").collect():
         got[r["query_id"]].append(r["vec_id"])
     assert got[0] == [7] + [100 * i for i in range(1, 10)]
     assert got[500] == [i * 100 for i in range(1, 12) if i != 5]
-    empty = use.limit(0)
-    assert nndescent.search(nndescent.build(empty), q.limit(0)).count() == 0
+    empty = nndescent.build(use.limit(0))
+    assert nndescent.search(empty, empty.queries("vec_id % 100 = 0")).count() == 0
+
+
+def test_nearest_of_repeated_ids(spark):
+    """Rows are queries and candidates of their own, also where an id has two vectors or a row repeats."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((400, 8))
+    ids = [i // 2 * 50 for i in range(40)] + [10_007 + 100 * i for i in range(360)]
+    x[39] = x[38]  # a repeated row
+    x[60] = x[61]
+    df = spark.createDataFrame(list(zip(ids, x.tolist())), "vec_id bigint, embedding array<double>").repartition(3)
+    index = nndescent.build(nndescent.usable(df))
+    got = collections.defaultdict(list)
+    for r in nndescent.search(index, index.queries("vec_id % 100 = 0")).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    want = collections.defaultdict(list)
+    for q in range(40):
+        if ids[q] % 100 == 0:
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            best = sorted((d[i], ids[i]) for i in range(400) if i != q)[:10]
+            want[ids[q]] += [(k + 1, v, s) for k, (s, v) in enumerate(best)]
+    assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items()}
+    for q in want:
+        assert sorted((r, v) for r, v, _ in got[q]) == sorted((r, v) for r, v, _ in want[q])
+        assert sorted(s for *_, s in got[q]) == pytest.approx(sorted(s for *_, s in want[q]))
 
 
 def nearest_recall(spark, x, step):
     """Share of the true ten nearest that the index finds for every ``step``-th vector."""
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>").repartition(8)
     use = nndescent.usable(df)
-    q = use.filter(f"vec_id % {step} = 0").selectExpr("vec_id as query_id", "vector")
+    index = nndescent.build(use)
     got = collections.defaultdict(set)
-    for r in nndescent.search(nndescent.build(use), q).collect():
+    for r in nndescent.search(index, index.queries(f"vec_id % {step} = 0")).collect():
         got[r["query_id"]].add(r["vec_id"])
     hits = total = 0
     for i in range(0, len(x), step):
@@ -405,7 +440,7 @@ def test_nearest_scans_where_the_graph_does_not_lead(spark):
     use = nndescent.usable(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
     index = nndescent.build(use)
     index.graph = index.graph.limit(0)
-    q = use.filter("vec_id % 50 = 0").selectExpr("vec_id as query_id", "vector")
+    q = index.queries("vec_id % 50 = 0")
     got = collections.defaultdict(list)
     for r in nndescent.search(index, q, 2).orderBy("rank").collect():
         got[r["query_id"]].append(r["vec_id"])
