@@ -9,17 +9,21 @@ what stands in ``article`` or ``main``, outside menus and the like, is main text
 out anew several times by rule, with other containers, sidebars, notices, forms, adverts and reader
 comments around and inside the text, so that pages without such tags are read as well.
 
-Null and empty pages, and pages without main text, give an empty text.
+Null and empty pages, and pages without main text, give an empty text. Every row of the table gives
+one, repeated rows and pages of any length too; time follows the length of a page, also where tags, quotes or
+elements are left open. Columns beside (page_id, url, html) are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +34,16 @@ SAMPLE = 150
 LAYOUTS = 6
 SEED = 11
 ROUNDS = 150
-
-PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<svg>svg)(?=[\s>])(?:[^>]*[^/>])?>(?:(?!<svg\b).)*?</svg\s*>"
-    r"|<(?P<raw>script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>"
-    r"|(?P<text>[^<]+|<)",
-    re.I | re.S,
-)
+STRETCH = 120  # blocks that the field is trained on in a row
+PARTS = 4  # stretches of a sampled page
+CHARS = 400  # characters of a block that is laid out anew
+
+OPENING = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
+SPECIAL = re.compile(r"[>\"']")
+SVG_BORDER = re.compile(r"<svg\b|</svg\s*>", re.I)
+RAW = frozenset("script style textarea title".split())
+RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+NEAREST = 40  # innermost ancestors whose features a block has, and that an element to be ended is looked for in
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
 INLINE = frozenset(
@@ -53,6 +57,7 @@ CLOSES = {
     "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")),
 }
 P_ENDS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 ul ol dl dt dd pre blockquote b label".split())  # they hold a part of what their holder is about
 MAIN = frozenset(("article", "main"))
 # Left out from their opening to their closing tag; without one, only the tag is.
 DROPPED = frozenset("noscript template iframe svg select button object".split())
@@ -64,37 +69,137 @@ ASIDE = frozenset("nav header footer aside form menu dialog".split())
 @dataclass
 class Block:
     tag: str
-    path: tuple[str, ...]  # features of the ancestors
+    path: tuple[str, ...]  # features of the ancestors, and with @ of the one that holds the block
     text: str = ""
     linked: int = 0
     main: bool = False
     tags: tuple[str, ...] = field(default=())
+    inner: tuple[str, ...] = field(default=())  # features of the ancestors inside the main element
+
+
+class Piece(NamedTuple):
+    """A part of a page: text, a tag, an element that is left out whole (svg, raw), or markup to skip."""
+
+    text: str | None = None
+    tag: str = ""
+    end: bool = False
+    attrs: str = ""
+    raw: str = ""
+    svg: bool = False
+
+
+def pieces_of(page: str) -> list[Piece]:
+    """The parts of a page in order, in time that follows its length: a search that has failed once
+    is not repeated from a later place, and quotes inside tags are walked through once."""
+    out: list[Piece] = []
+    ends: dict[int, int] = {}  # where a tag ends, by the places of the > and quotes met on the way
+    closed = len(page) if ">" in page else 0  # no > from here on
+    at, n = 0, len(page)
+
+    def tag_end(start: int) -> int:
+        """The end of the tag whose attributes begin at ``start``, or -1."""
+        met, found = [], -1
+        while True:
+            m = SPECIAL.search(page, start)
+            if not m:
+                break
+            place = m.start()
+            if place in ends:
+                found = ends[place]
+                break
+            met.append(place)
+            if m.group() == ">":
+                found = place
+                break
+            start = page.find(m.group(), place + 1) + 1
+            if not start:
+                break
+        for place in met:
+            ends[place] = found
+        return found
+
+    def after(start: int) -> int:
+        """The next > from ``start``, or -1."""
+        nonlocal closed
+        if start >= closed:
+            return -1
+        found = page.find(">", start)
+        if found < 0:
+            closed = start
+        return found
+
+    while at < n:
+        begin = page.find("<", at)
+        if begin != at:
+            begin = n if begin < 0 else begin
+            out.append(Piece(page[at:begin]))
+            at = begin
+            continue
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            out.append(Piece())
+            at = n if stop < 0 else stop + 3
+            continue
+        m = OPENING.match(page, at)
+        name = m.group(2).lower() if m else ""
+        gt = after(at) if m or page[at + 1 : at + 2] in ("!", "?") else -1
+        if gt < 0:
+            out.append(Piece("<"))
+            at += 1
+            continue
+        if not m:
+            out.append(Piece())
+            at = gt + 1
+            continue
+        opens = not m.group(1) and page[m.end()] in " \t\n\r\f\v/>"
+        if opens and name == "svg" and page[gt - 1] != "/" and page[m.end()] != "/":
+            border = SVG_BORDER.search(page, gt + 1)
+            if border and border.group().startswith("</"):
+                out.append(Piece(svg=True))
+                at = border.end()
+                continue
+        if opens and name in RAW:
+            border = RAW_ENDS[name].search(page, gt + 1)
+            out.append(Piece(raw=name))
+            at = border.end() if border else n
+            continue
+        stop = tag_end(m.end())
+        if stop < 0:
+            out.append(Piece("<"))
+            at += 1
+            continue
+        out.append(Piece(tag=name, end=bool(m.group(1)), attrs=page[m.end() : stop]))
+        at = stop + 1
+    return out
 
 
-def _closings(pieces: list[re.Match]) -> dict[int, int]:
+def _closings(pieces: list[Piece]) -> dict[int, int]:
     """Where ``DROPPED`` elements open, the piece that closes them. One that is still open when an
     element around it ends, or at another of its kind that it cannot hold, has none."""
     opened: list[tuple[str, int]] = []
-    count: defaultdict[str, int] = defaultdict(int)
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a kind
+    gone: set[int] = set()
     out: dict[int, int] = {}
     for i, m in enumerate(pieces):
-        tag = (m["tag"] or "").lower()
+        tag = m.tag
         if not tag or tag in INLINE or tag in VOID:
             continue
-        if not m["end"]:
+        if not m.end:
             if tag not in DROPPED or tag in NESTED:
-                if tag in DROPPED and m["attrs"].endswith("/"):
+                if tag in DROPPED and m.attrs.endswith("/"):
                     continue
-            elif count[tag]:
-                at = next(j for j in range(len(opened) - 1, -1, -1) if opened[j][0] == tag)
-                del opened[at]
-                count[tag] -= 1
+            elif places[tag]:
+                gone.add(places[tag].pop())
+            places[tag].append(len(opened))
             opened.append((tag, i))
-            count[tag] += 1
-        elif count[tag]:
+        elif places[tag]:
             while True:
+                place = len(opened) - 1
                 last, at = opened.pop()
-                count[last] -= 1
+                if place in gone:
+                    gone.discard(place)
+                    continue
+                places[last].pop()
                 if last == tag:
                     break
             if tag in DROPPED:
@@ -105,43 +210,54 @@ def _closings(pieces: list[re.Match]) -> dict[int, int]:
 def blocks(page: str) -> list[Block]:
     """The non-empty leaf blocks of a page in order, their white space normalised."""
     stack: list[tuple[str, tuple[str, ...]]] = []
+    count: defaultdict[str, int] = defaultdict(int)  # open elements of a kind
     out: list[Block] = []
     parts: list[str] = []
     linked, in_link = 0, 0
+    known: tuple[tuple[str, ...], ...] | None = None  # of the stack as it is
 
     def flush() -> None:
-        nonlocal linked, in_link
+        nonlocal linked, in_link, known
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
-            if text:
-                path = tuple(dict.fromkeys(f for _, fs in stack for f in fs))
-                tags = tuple(t for t, _ in stack)
-                out.append(Block(tags[-1] if tags else "", path, text, linked, tags=tags))
+            if text and not count["head"]:
+                if known is None:
+                    near = stack[-NEAREST:]
+                    tags = tuple(t for t, _ in near)
+                    below = max((i for i, t in enumerate(tags) if t in MAIN), default=len(tags))
+                    holder = next((fs for t, fs in reversed(near) if t not in LEAVES), ("<>",))
+                    path = dict.fromkeys([*(f for _, fs in near for f in fs), *("@" + f for f in holder)])
+                    known = tuple(path), tags, tuple(f for _, fs in near[below + 1 :] for f in fs)
+                out.append(Block(known[1][-1] if stack else "", known[0], text, linked, tags=known[1], inner=known[2]))
             parts.clear()
         linked = in_link = 0
 
-    pieces = list(PIECE.finditer(page))
-    closings = _closings(pieces) if any(m["tag"] and m["tag"].lower() in DROPPED for m in pieces) else {}
+    def cut(depth: int) -> None:
+        nonlocal known
+        known = None
+        while len(stack) > depth:
+            count[stack.pop()[0]] -= 1
+
+    pieces = pieces_of(page)
+    closings = _closings(pieces) if any(m.tag in DROPPED for m in pieces) else {}
     until = -1
     for at, m in enumerate(pieces):
         if at <= until:
             continue
-        text = m["text"]
+        text, tag = m.text, m.tag
         if stack and stack[-1][0] == "head":  # ended by what cannot stand in it, also without </head>
-            other = (m["svg"] or m["raw"] or ("" if m["end"] else m["tag"]) or "").lower()
+            other = "svg" if m.svg else m.raw or ("" if m.end else tag)
             if other and other not in IN_HEAD or text and text.strip():
-                stack.pop()
+                cut(len(stack) - 1)
         if text is not None:
             parts.append(text)
             if in_link:
                 linked += len(text.strip())
             continue
-        tag = m["tag"]
-        if tag is None:
-            if m["svg"] or m["raw"] and m["raw"].lower() not in ("script", "style"):
+        if not tag:
+            if m.svg or m.raw in ("textarea", "title"):
                 parts.append(" ")
             continue
-        tag = tag.lower()
         if tag in DROPPED:
             until = closings.get(at, at)
             if tag not in ("noscript", "template"):
@@ -149,36 +265,39 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in INLINE:
             if tag == "a":
-                in_link = 0 if m["end"] else 1
+                in_link = 0 if m.end else 1
             elif tag in ("br", "img", "input"):
                 parts.append(" ")
             continue
         flush()
-        if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if m.end:
+            if count[tag]:
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                cut(depth)
             continue
         if tag in P_ENDS and stack and stack[-1][0] == "p":
-            stack.pop()
+            cut(len(stack) - 1)
         closes, bounds = CLOSES.get(tag, ("", ()))
-        if closes:
-            for i in range(len(stack) - 1, -1, -1):
+        if closes and any(count[c] for c in closes.split()):
+            for i in range(len(stack) - 1, max(-1, len(stack) - 1 - NEAREST), -1):
                 if stack[i][0] in closes.split():
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i][0] in bounds:
                     break
         if tag in VOID:
             continue
         names = [f"<{tag}>"]
-        if m["attrs"]:
-            for found in NAMES.findall(m["attrs"]):
-                names.extend("." + w for w in WORDS.findall("".join(found).lower()))
+        if m.attrs:
+            for found in NAMES.findall(m.attrs):
+                names.extend("." + w for w in WORDS.findall("".join(found).lower())[:NEAREST])
         stack.append((tag, tuple(names)))
+        count[tag] += 1
+        known = None
     flush()
-    return [b for b in out if "head" not in b.tags]
+    return out
 
 
 def features(block: Block, at: int, n: int) -> list[str]:
@@ -230,9 +349,15 @@ class Field:
         return "\n".join(b.text for b, main in zip(found, self.decode(found)) if main)
 
 
-def train(pages: list[list[Block]], rounds: int = ROUNDS, ridge: float = 0.02) -> Field:
-    """Maximum likelihood by gradient steps of adaptive size, over all pages at once."""
-    pages = [p for p in pages if p]
+def example(page: list[Block]) -> list[tuple[list[str], bool]]:
+    """What the field is trained on: the features of each block, and whether it is main text."""
+    return [(features(b, i, len(page)), b.main) for i, b in enumerate(page)]
+
+
+def train(pages: list[list[tuple[list[str], bool]]], rounds: int = ROUNDS, ridge: float = 0.02) -> Field:
+    """Maximum likelihood by gradient steps of adaptive size, over all examples at once. Longer
+    ones are cut into stretches of ``STRETCH`` blocks."""
+    pages = [p[i : i + STRETCH] for p in pages for i in range(0, len(p), STRETCH)]
     if not pages:
         return Field({}, ((0.0, 0.0), (0.0, 0.0)))
     n, t = len(pages), max(map(len, pages))
@@ -240,9 +365,9 @@ def train(pages: list[list[Block]], rounds: int = ROUNDS, ridge: float = 0.02) -
     rows, columns = [], []
     y, real = np.zeros((n, t), int), np.zeros((n, t), bool)
     for i, page in enumerate(pages):
-        for j, block in enumerate(page):
-            y[i, j], real[i, j] = block.main, True
-            for f in features(block, j, len(page)):
+        for j, (found, main) in enumerate(page):
+            y[i, j], real[i, j] = main, True
+            for f in found:
                 rows.append(i * t + j)
                 columns.append(index.setdefault(f, len(index)))
     rows, columns = np.array(rows), np.array(columns)
@@ -280,11 +405,11 @@ def train(pages: list[list[Block]], rounds: int = ROUNDS, ridge: float = 0.02) -
 
 
 def labelled(page: str) -> list[Block]:
-    """Blocks labelled by the page's own tags."""
+    """Blocks labelled by the page's own tags: inside ``article`` or ``main``, but not in a menu or the like there,
+    nor in an element named as an advert or as readers' comments."""
     out = blocks(page)
     for b in out:
-        inner = b.tags[max((i for i, t in enumerate(b.tags) if t in MAIN), default=len(b.tags)) :]
-        b.main = bool(inner) and not ASIDE.intersection(b.tags) and ".ad" not in b.path
+        b.main = bool(MAIN.intersection(b.tags)) and not ASIDE.intersection(b.tags) and not NOT_MAIN.intersection(b.inner)
     return out
 
 
@@ -299,11 +424,17 @@ ASIDES = (
     ("div sponsored", "prose"), ("div promo", "prose"), ("div cookie-notice", "prose"), ("div notice", "prose"), ("div cookie-banner", "prose"),
     ("div consent", "prose"), ("div alert", "short"), ("div popup", "prose"), ("form", "form"), ("form newsletter", "form"), ("div search", "form"),
     ("div subscribe", "form"), ("div login", "form"), ("div share", "links"), ("div social", "links"), ("div related", "links"), ("section related", "prose"),
-    ("div tags", "links"), ("div pagination", "links"), ("div newsletter", "short"),
+    ("div tags", "links"), ("div pagination", "links"), ("div newsletter", "short"), ("aside", "prose"), ("div advertisement", "prose"),
+    ("figure ad", "short"), ("section advertisement", "prose"),
 )
 ENDINGS = (
     ("footer", "short"), ("div footer", "links"), ("footer site-footer", "prose"), ("div copyright", "short"), ("section comments", "comments"), ("div comments", "comments"),
     ("div comment-list", "comments"), ("ol commentlist", "comments"), ("div disqus", "comments"), ("div replies", "comments"), ("div responses", "comments"),
+    ("div user-remarks", "comments"), ("div reader-comments", "comments"), ("section discussion", "comments"),
+)
+# Names inside the main element of a labelled page that say it is not the page's own text.
+NOT_MAIN = frozenset(
+    ".ad .ads .advert .advertisement .sponsored .promo .comment .comments .commentlist .disqus .replies .responses .remarks .discussion".split()
 )
 
 
@@ -318,14 +449,14 @@ def random_kind(names: str) -> str:
     return "id" if len(names) % 5 == 0 else "class"
 
 
-def layouts(page: str, prose: list[str], rng: random.Random, n: int) -> Iterator[list[Block]]:
-    """The main text of a labelled page, laid out anew; the labels are known from the layout."""
-    text = [b for b in labelled(page) if b.main]
-    if not text:
-        return
+def layouts(text: list[tuple[str, str]], prose: list[str], rng: random.Random, n: int) -> Iterator[list[Block]]:
+    """Main text (tag, text), laid out anew; the labels are known from the layout."""
+
+    def invented() -> str:
+        return "".join(rng.choices("abcdefghiklmnoprstuvw", k=rng.randint(4, 9)))
 
     def sentence() -> str:
-        return entities.escape(rng.choice(prose)[:400])
+        return entities.escape(rng.choice(prose))
 
     def words(k: int) -> str:
         return entities.escape(" ".join(rng.choice(prose).split()[:k]))
@@ -345,22 +476,30 @@ def layouts(page: str, prose: list[str], rng: random.Random, n: int) -> Iterator
 
     for _ in range(n):
         pieces = []
-        for b in text:
-            tag = b.tag if b.tag in ("h1", "h2", "h3", "li", "blockquote", "pre") else "p"
-            pieces.append(f"<{tag}>{MARK}{entities.escape(b.text)}</{tag}>")
+        for own, words_of in text:
+            tag = own if own in ("h1", "h2", "h3", "li", "blockquote", "pre") else "p"
+            pieces.append(f"<{tag}>{MARK}{entities.escape(words_of)}</{tag}>")
+        if rng.random() < 0.2:  # one run of text, its paragraphs parted by line breaks
+            pieces = ["<br><br>".join([MARK + entities.escape(text[0][1]), *[entities.escape(t) for _, t in text[1:]]])]
         if rng.random() < 0.5:
             pieces.insert(rng.randint(1, len(pieces)), f"<{rng.choice(('h2', 'h3'))}>{MARK}{words(rng.randint(2, 6))}</h2>")
         if rng.random() < 0.3:
-            pieces.insert(rng.randint(0, len(pieces)), "<ul>" + "".join(f"<li>{MARK}{sentence()[:120]}</li>" for _ in range(rng.randint(2, 4))) + "</ul>")
+            pieces.insert(rng.randint(0, len(pieces)), "<ul>" + "".join(f"<li>{MARK}{words(rng.randint(3, 20))}</li>" for _ in range(rng.randint(2, 4))) + "</ul>")
         if rng.random() < 0.2:
             pieces.insert(rng.randint(0, len(pieces)), f"<blockquote><p>{MARK}{sentence()}</p></blockquote>")
-        for name, kind in rng.sample(ASIDES, rng.randint(0, 2)):  # inside the text
+        for name, kind in [*rng.sample(ASIDES, rng.randint(0, 3)), *rng.sample(ENDINGS, rng.random() < 0.2)]:  # inside the text
             pieces.insert(rng.randint(0, len(pieces)), _element(name, boilerplate(kind)))
+        if rng.random() < 0.3:
+            pieces.insert(rng.randint(0, len(pieces)), _element("aside", boilerplate("prose")))
         container = rng.choice(CONTAINERS)
+        if rng.random() < 0.25:  # a name that tells nothing
+            container = f"{container.split()[0]} {invented()}-{rng.choice((invented(), 'post', 'entry', 'story', 'text'))}"
         inner = _element(container, "".join(pieces))
         if rng.random() < 0.4:
             inner = _element(rng.choice(("div wrapper", "div container", "main", "div page", "div")), inner)
         before = [_element(k, boilerplate(v)) for k, v in rng.sample(ASIDES, rng.randint(1, 4))]
+        if rng.random() < 0.3:
+            before.append(_element(f"div {invented()}", boilerplate("links")))
         after = [_element(k, boilerplate(v)) for k, v in [*rng.sample(ASIDES, rng.randint(0, 2)), *rng.sample(ENDINGS, rng.randint(1, 3))]]
         out = blocks("<body>" + "".join(before) + inner + "".join(after))
         for b in out:
@@ -373,23 +512,44 @@ MARK = "⁣"  # an invisible separator that marks main text while a layout is bu
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Field:
-    """Trains on at most ``sample`` pages of (page_id, html), chosen by hash of the id."""
+    """Trains on at most ``sample`` pages of (page_id, html), chosen by hash of the id, and of each on at most
+    ``PARTS`` stretches of ``STRETCH`` blocks, chosen at random; of a block no more than ``CHARS`` characters come into
+    new layouts. So what is gathered is bounded whatever the pages are like. Where no sampled page
+    labels its main text, its longer blocks stand in for it in the layouts."""
     html_text = F.coalesce(pages["html"], F.lit(""))
     rank = F.xxhash64(F.lit(SEED), pages["page_id"], html_text).alias("rank")
-    rows = pages.select(rank, html_text.alias("html")).filter("length(html) < 100000")
+    rows = pages.select(rank, html_text.alias("html"))
     # ranks are sorted without the pages; equal pages of one id count once
     chosen = rows.select("rank").distinct().orderBy("rank").limit(sample)
-    found = rows.join(F.broadcast(chosen), "rank").groupBy("rank").agg(F.min("html").alias("html"))
-    texts = [r["html"] for r in sorted(found.collect())]
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x.slice(i, 1) for x in batches for i in range(x.num_rows)):
+            rank, page = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
+            found = labelled(page)
+            own = example(found)
+            starts = list(range(0, len(found), STRETCH))
+            for i in sorted(random.Random(rank).sample(starts, min(PARTS, len(starts)))):
+                cut = [(f, m, b.tag, b.text[:CHARS]) for (f, m), b in zip(own[i : i + STRETCH], found[i : i + STRETCH])]
+                yield pa.RecordBatch.from_arrays([pa.array([rank]), pa.array([i]), pa.array([json.dumps(cut)])], names=["rank", "at", "blocks"])
+
+    found = rows.join(F.broadcast(chosen), "rank").mapInArrow(parts, "rank long, at long, blocks string").distinct().collect()
+    examples = [json.loads(blocks) for _, _, blocks in sorted(tuple(r) for r in found)]
     rng = random.Random(SEED)
-    prose = [b.text for t in texts for b in labelled(t) if b.main and b.text.count(" ") > 8] or ["x"]
-    examples: list[list[Block]] = []
-    for t in texts:
-        own = labelled(t)
-        if any(b.main for b in own):
-            examples.append(own)
-        examples.extend(layouts(t, prose, rng, LAYOUTS))
-    return train([e for e in examples if len(e) <= 120])
+    labels = any(m for e in examples for _, m, _, _ in e)
+
+    def stands(main: bool, text: str) -> bool:
+        return main if labels else text.count(" ") > 8
+
+    prose = [t for e in examples for _, m, _, t in e if stands(m, t) and t.count(" ") > 8]
+    prose = prose or [t for e in examples for *_, t in e] or ["x"]
+    out = []
+    for e in examples:
+        if any(m for _, m, _, _ in e):
+            out.append([(f, m) for f, m, _, _ in e])
+        text = [(tag, t) for _, m, tag, t in e if stands(m, t)]
+        if text:
+            out.extend(example(page) for page in layouts(text, prose, rng, LAYOUTS))
+    return train(out)
 
 
 def extract(pages: DataFrame, model: Field) -> DataFrame:
