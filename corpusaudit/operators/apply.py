@@ -104,6 +104,16 @@ def apply_edit(lines: Column, best: Column, cfg: AuditConfig) -> Column:
     )
 
 
+def moved_origin(origin: Column, best: Column, cfg: AuditConfig) -> Column:
+    """The original numbers of the lines after the edit; lines that it brings in have -1."""
+    start = best["line_start"]
+    return F.concat(
+        F.slice(origin, F.lit(1), start),
+        F.transform(split_lines(best["modified_code"]), lambda _: F.lit(-1)),
+        F.slice(origin, start + _span(best, cfg) + 1, F.size(origin)),
+    )
+
+
 def with_round(files: DataFrame, cfg: AuditConfig, *keep: str) -> DataFrame:
     """(file_id, lines, edits, best, decision) of one round over the corpus."""
     flagged = with_lines(files, *keep).select(

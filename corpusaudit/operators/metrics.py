@@ -102,15 +102,13 @@ def line_balance(before: Column, after: Column) -> Column:
     return F.when(before != after, balance).otherwise(0)
 
 
-def refactor_metrics(pairs: DataFrame) -> DataFrame:
-    """(file_id, lines_changed, complexity_delta, security_improvements, performance_gains).
-
-    ``lines_changed`` is a lower bound: moved lines and edits that cancel do not count.
-    """
+def refactor_metrics(results: DataFrame) -> DataFrame:
+    """(file_id, lines_changed, complexity_delta, security_improvements, performance_gains) of refactored
+    files, whose lines were counted in order while they were edited."""
     before, after = F.col("original_code"), F.col("refactored_code")
-    return pairs.select(
+    return results.select(
         "file_id",
-        line_balance(before, after).alias("lines_changed"),
+        "lines_changed",
         complexity_delta(before, after).alias("complexity_delta"),
         security_improvements(before, after).alias("security_improvements"),
         performance_gains(before, after).alias("performance_gains"),
@@ -125,7 +123,13 @@ def lines_changed_multiset(pairs: DataFrame) -> DataFrame:
     return pairs.select("file_id", rows_of(before != after, row))
 
 
-def lines_changed_exact(pairs: DataFrame) -> DataFrame:
+def lines_changed_exact(results: DataFrame) -> DataFrame:
+    """Lines removed and added by the edits, in order."""
+    return results.select("file_id", "lines_changed")
+
+
+def lines_changed_of_pairs(pairs: DataFrame) -> DataFrame:
+    """The same count for any two texts, without the edits that lead from one to the other."""
     n = changed_lines(F.col("original_code"), F.col("refactored_code"))
     return pairs.select("file_id", n.alias("lines_changed"))
 

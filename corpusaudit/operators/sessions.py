@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from corpusaudit.functions.text import rows_of
 from corpusaudit.operators.metrics import (
     complexity_delta,
-    line_balance,
     performance_gains,
     security_improvements,
 )
@@ -262,8 +261,8 @@ def export_steps(steps: DataFrame) -> DataFrame:
 
 
 def result_report(results: DataFrame) -> DataFrame:
-    """Results of completed files with their metrics and the list of changes made. ``lines_changed``
-    is a lower bound: moved lines and edits that cancel do not count.
+    """Results of completed files: status, the agents whose edits were applied, the number of decisions,
+    the list of changes made, and the metrics.
 
     Steps per file are bounded by ``max_iterations``, so they stay beside the file, and the whole
     report is one narrow pass.
@@ -283,7 +282,10 @@ def result_report(results: DataFrame) -> DataFrame:
         complexity_delta(before, after).alias("complexity_delta"),
         security_improvements(before, after).alias("security_improvements"),
         performance_gains(before, after).alias("performance_gains"),
-        line_balance(before, after).alias("lines_changed"),
+        "lines_changed",
+        F.lit("completed").alias("status"),
+        F.sort_array(F.array_distinct(F.transform("steps", lambda s: s["agent"]))).alias("agents"),
+        F.size("decisions").alias("n_decisions"),
     )
 
 
@@ -296,13 +298,12 @@ def agent_contributions(steps: DataFrame) -> DataFrame:
     )
 
 
-def session_totals(versions: DataFrame, steps: DataFrame) -> DataFrame:
-    """Counters over everything stored: sessions and consensus rounds."""
+def session_totals(versions: DataFrame, results: DataFrame) -> DataFrame:
+    """Counters over everything stored: sessions, and rounds in which a decision was taken."""
     ids = versions.groupBy("refactor_id").agg(F.lit(1).alias("sessions"))
     rows = ids.select("sessions", F.lit(0).alias("rounds")).unionByName(
-        steps.select(F.lit(0).alias("sessions"), F.lit(1).alias("rounds"))
+        results.select(F.lit(0).alias("sessions"), F.size("decisions").alias("rounds"))
     )
     return rows.agg(
         F.sum("sessions").alias("sessions_total"), F.sum("rounds").alias("consensus_rounds_total")
     )
-

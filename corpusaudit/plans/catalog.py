@@ -307,7 +307,7 @@ CATALOG: dict[str, Query] = {
     "validate_corpus": _corpus(metrics.validate_corpus),
     # operations
     "session_totals": lambda spark, sf: sessions.session_totals(
-        derived.session_versions(spark, sf), derived.unnumbered_steps(spark, sf)
+        derived.session_versions(spark, sf), refactor(derived.code_corpus(spark, sf))
     ),
     "active_gauge": lambda spark, sf: opsmetrics.active_gauge(derived.session_versions(spark, sf)),
     "latency_histogram": lambda spark, sf: opsmetrics.latency_histogram(

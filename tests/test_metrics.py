@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusaudit.config import AuditConfig
-from corpusaudit.operators import metrics
+from corpusaudit.operators import metrics, script
 from corpusaudit.operators.sessions import result_report
 from corpusaudit.plans.refactor import refactor
 from corpusaudit.sources.derived import SNIPPETS
@@ -26,7 +26,7 @@ def pairs(spark):
 
 def test_line_diffs_follow_difflib(pairs):
     df, texts = pairs
-    exact = {r.file_id: r.lines_changed for r in metrics.lines_changed_exact(df).collect()}
+    exact = {r.file_id: r.lines_changed for r in metrics.lines_changed_of_pairs(df).collect()}
     diff = {r.file_id: r.diff for r in metrics.diffs(df).collect()}
     bound = {r.file_id: r.lines_changed for r in metrics.lines_changed_multiset(df).collect()}
     for i, (a, b) in texts.items():
@@ -41,8 +41,7 @@ def test_line_diffs_follow_difflib(pairs):
 
 def test_line_balance_counts_multisets(pairs):
     df, texts = pairs
-    measured = metrics.refactor_metrics(df).select("file_id", "lines_changed").collect()
-    for file_id, n in measured:
+    for file_id, n in metrics.lines_changed_multiset(df).collect():
         before, after = (Counter(t.split("\n")) for t in texts[file_id])
         assert n == ((before - after) + (after - before)).total()
 
@@ -51,11 +50,32 @@ def test_line_balance_of_repeated_lines(spark):
     before = "\n".join(["a = 1", "b = 2", "c = 3"] * 20_000)
     after = before.replace("b = 2", "b = 4", 1) + "\nd = 5"
     df = spark.createDataFrame(
-        [(1, before, after), (2, None, None), (3, "", "x")],
-        "file_id bigint, original_code string, refactored_code string",
+        [(1, before, after), (3, "", "x")], "file_id bigint, original_code string, refactored_code string"
     )
-    found = {r.file_id: r.lines_changed for r in metrics.refactor_metrics(df).collect()}
-    assert found == {1: 3, 2: 0, 3: 2}
+    found = {r.file_id: r.lines_changed for r in metrics.lines_changed_multiset(df).collect()}
+    assert found == {1: 3, 3: 2}
+
+
+@pytest.mark.parametrize("cfg", [AuditConfig(), AuditConfig(multi_line=True), AuditConfig(keep_indent=True, max_iterations=30)])
+def test_changed_lines_are_counted_in_order(corpus_of, cfg):
+    """The count from the edits equals a line-by-line comparison of the texts."""
+    rows = refactor(corpus_of(*fuzz.texts(1200, seed=33), "", None).repartition(8), cfg).collect()
+    changed = 0
+    for r in rows:
+        if r.original_code is None:
+            assert r.lines_changed == 0
+            continue
+        marks = difflib.Differ().compare(r.original_code.split("\n"), r.refactored_code.split("\n"))
+        assert r.lines_changed == sum(m.startswith(("+ ", "- ")) for m in marks)
+        changed += r.lines_changed > 0
+    assert changed > 400
+
+
+def test_moved_and_exchanged_lines_count(spark):
+    rows = [(1, "a b c", "b a c", [1, 0, 2]), (2, "a b", "b a", [-1, -1]), (3, "a b c", "a x c", [0, -1, 2]), (4, "a b", "a b", [0, 1]), (5, "a b c", "c", [2])]
+    df = spark.createDataFrame(rows, "i int, a string, b string, origin array<int>")
+    n = script.lines_changed(F.split("a", " "), F.split("b", " "), F.col("origin"))
+    assert {r.i: r.n for r in df.select("i", n.alias("n")).collect()} == {1: 0, 2: 2, 3: 2, 4: 0, 5: 2}
 
 
 def test_cyclomatic_counts_branches(corpus_of):
