@@ -46,13 +46,29 @@ def active_profiles(spark: SparkSession) -> DataFrame:
     return profile_table(spark).filter(F.col("enabled") & _implemented(F.col("agent_id")))
 
 
-def active_agents(requests: DataFrame) -> DataFrame:
+def overridden(profiles: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Profiles with a user's settings on top: what an override leaves null stays, and an agent without a
+    profile gets one from it, switched on unless it says otherwise."""
+    own = overrides.select(
+        "agent_id", F.col("priority").alias("p"), F.col("confidence_threshold").alias("t"), F.col("enabled").alias("e")
+    )
+    return profiles.join(own, "agent_id", "full").select(
+        "agent_id",
+        F.coalesce("p", "priority", F.lit(DEFAULT_PRIORITY)).alias("priority"),
+        F.coalesce("t", "confidence_threshold", F.lit(DEFAULT_THRESHOLD)).alias("confidence_threshold"),
+        F.coalesce("e", "enabled", F.lit(True)).alias("enabled"),
+    )
+
+
+def active_agents(requests: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """State and settings of every agent that sessions ask for: the profile wins over the
-    defaults; disabled and missing agents are reported."""
+    defaults, and an override over the profile; disabled and missing agents are reported."""
     asked = requests.select(F.explode("agent_set").alias("agent_id")).groupBy("agent_id").agg(
         F.count("*").alias("n_requests")
     )
-    profiles = F.broadcast(profile_table(requests.sparkSession))
+    profiles = profile_table(requests.sparkSession)
+    # five rows; overrides are a table of the user's, joined as Spark sees fit
+    profiles = F.broadcast(profiles) if overrides is None else overridden(profiles, overrides)
     state = (
         F.when(F.col("enabled").isNull(), "unknown")
         .when(~F.col("enabled"), "disabled")

@@ -3,10 +3,12 @@ columns of one row (the file), so a round shuffles nothing; the DataFrame forms
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusaudit.config import AuditConfig
+from corpusaudit.config import AGENTS, AuditConfig
 from corpusaudit.functions.text import indent_of, let, py_strip, rows_of, split_lines
 from corpusaudit.operators.consensus import DIGITS, decide
 from corpusaudit.operators.propose import PROPOSAL_FIELDS, Site, line_edits, with_lines
@@ -132,6 +134,34 @@ def with_round(files: DataFrame, cfg: AuditConfig, *keep: str) -> DataFrame:
     )
 
 
+def file_decisions(
+    files: DataFrame,
+    threshold: float = 0.6,
+    agent_set: Sequence[str] = AGENTS,
+    weights: Mapping[str, float] | None = None,
+) -> DataFrame:
+    """``consensus.consensus`` over a file's own proposals, settled in its row: no vote is shuffled. Edits with
+    the same vote key lie on one line, and the last of them counts."""
+
+    def counted(line: Column, i: Column) -> Column:
+        def last(edits: Column) -> Column:
+            return F.filter(
+                edits,
+                lambda e: ~F.exists(
+                    edits,
+                    lambda other: (other["agent_ord"] == e["agent_ord"])
+                    & (other["change_type"] == e["change_type"])
+                    & (other["rule_ord"] > e["rule_ord"]),
+                ),
+            )
+
+        return let(line_edits(Site(F.col("lines"), F.col("indents"), line, i), agent_set), last)
+
+    edits = F.flatten(F.transform("lines", counted))
+    decided = with_lines(files).select("file_id", decide(edits, agent_set, threshold, weights).alias("d"))
+    return decided.select("file_id", "d.*")
+
+
 def meaningful_changes(files: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
     """Proposals that would change their line."""
     edits = with_lines(files).select(

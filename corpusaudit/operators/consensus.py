@@ -137,10 +137,12 @@ def decide(
     agent_set: Sequence[str],
     threshold: float,
     weights: Mapping[str, float] | None = None,
+    voters: Voters | None = None,
 ) -> Column:
-    """The same decision as a struct, from a file's array of edits that count in the vote."""
+    """The same decision as a struct, from a file's array of edits that count in the vote, with the number
+    of keys and the average of every voter."""
     w = voter_weights(agent_set, weights)
-    matrix = F.transform(edits, lambda e: F.array(*[score(v, lambda f: e[f]) for v in agent_set]))
+    matrix = F.transform(edits, lambda e: F.array(*[score(v, lambda f: e[f], voters) for v in agent_set]))
 
     def from_matrix(m: Column) -> Column:
         def mean(value) -> Column:
@@ -152,7 +154,9 @@ def decide(
         return let(
             F.struct(average.alias("average"), averages.alias("averages")),
             lambda v: F.struct(
-                *_settled(F.size(m), v["average"], v["averages"], agent_set, threshold)
+                *_settled(F.size(m), v["average"], v["averages"], agent_set, threshold),
+                F.size(m).cast("long").alias("n_keys"),
+                F.when(F.size(m) > 0, v["averages"]).alias("voter_averages"),
             ),
         )
 

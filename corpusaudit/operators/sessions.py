@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,18 +82,18 @@ def active_sessions(current: DataFrame) -> DataFrame:
     )
 
 
-def cancel(current: DataFrame, requests: DataFrame) -> DataFrame:
-    """One answer per request: any known session is cancelled, whatever its state."""
+def cancel(current: DataFrame, requests: DataFrame, at: Column) -> DataFrame:
+    """One answer per request: any known session is cancelled and completed ``at`` that time, whatever
+    its state."""
     known = current.select("refactor_id", F.col("status").alias("previous_status"))
+    there = F.col("previous_status").isNotNull()
     return requests.select("refactor_id").join(known, "refactor_id", "left").select(
-        "refactor_id",
-        F.col("previous_status").isNotNull().alias("cancelled"),
-        "previous_status",
+        "refactor_id", there.alias("cancelled"), "previous_status", F.when(there, at).alias("completed_at")
     )
 
 
 def cancelled_versions(current: DataFrame, requests: DataFrame, at: Column) -> DataFrame:
-    """The versions to append for cancelled sessions."""
+    """The versions to append for cancelled sessions; ``ts`` of the version is when they were completed."""
     return lookup(current, requests).select(
         "refactor_id",
         "target_path",
@@ -102,6 +104,62 @@ def cancelled_versions(current: DataFrame, requests: DataFrame, at: Column) -> D
     )
 
 
+RECORD_SCHEMA = (
+    "refactor_id string, target_path string, status string, progress bigint, agent_set array<string>, original_code string, "
+    "refactored_code string, evolution_history array<struct<iteration:int,agent:string,change_type:string,confidence:double,"
+    "description:string,line_start:int,line_end:int,original_code:string,modified_code:string>>, "
+    "consensus_log array<struct<iteration:int,decision:string,winning_agent:string,confidence:double>>, "
+    "metrics struct<lines_changed:int,complexity_delta:double,security_improvements:bigint,performance_gains:double,"
+    "agent_contributions:map<string,bigint>>, started_at timestamp_ntz, completed_at timestamp_ntz, error_message string"
+)
+
+
+def session_records(results: DataFrame, agent_set: Sequence[str], refactor_id: Column, started_at: Column, completed_at: Column) -> DataFrame:
+    """The whole record of each refactored file's session. A file whose text could not be read has failed: it has
+    no texts, metrics or time of completion."""
+    before, after = F.col("original_code"), F.col("refactored_code")
+    failed = F.col("error_message").isNotNull()
+    agents = F.transform("steps", lambda s: s["agent"])
+    counts = F.map_from_entries(
+        F.transform(
+            F.array_sort(F.array_distinct(agents)),
+            lambda a: F.struct(a, F.size(F.filter(agents, lambda b: b == a)).cast("long")),
+        )
+    )
+    measured = F.struct(
+        F.col("lines_changed").alias("lines_changed"),
+        complexity_delta(before, after).alias("complexity_delta"),
+        security_improvements(before, after).alias("security_improvements"),
+        performance_gains(before, after).alias("performance_gains"),
+        counts.alias("agent_contributions"),
+    )
+    return results.select(
+        refactor_id.alias("refactor_id"),
+        F.col("path").alias("target_path"),
+        F.when(failed, "failed").otherwise("completed").alias("status"),
+        F.when(failed, 0).otherwise(100).cast("long").alias("progress"),
+        F.array(*[F.lit(a) for a in agent_set]).alias("agent_set"),
+        before.alias("original_code"),
+        F.when(~failed, after).alias("refactored_code"),
+        F.col("steps").alias("evolution_history"),
+        F.col("decisions").alias("consensus_log"),
+        F.when(~failed, measured).alias("metrics"),
+        started_at.alias("started_at"),
+        F.when(~failed, completed_at).alias("completed_at"),
+        "error_message",
+    )
+
+
+def export_records(records: DataFrame) -> DataFrame:
+    """One JSON document per session record."""
+    fields = [f.name for f in records.schema.fields]
+    return records.select("refactor_id", F.to_json(F.struct(*fields), JSON_OPTIONS).alias("document"))
+
+
+def import_records(documents: DataFrame) -> DataFrame:
+    return documents.select(F.from_json("document", RECORD_SCHEMA, JSON_OPTIONS).alias("r")).select("r.*")
+
+
 def delete(rows: DataFrame, requests: DataFrame) -> DataFrame:
     """Rows without those of the given sessions; deleting twice changes nothing."""
     return rows.join(requests.select("refactor_id"), "refactor_id", "left_anti")

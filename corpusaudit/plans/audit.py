@@ -14,14 +14,15 @@ def agent_analysis(files: DataFrame) -> DataFrame:
     """One row per file and agent.
 
     A text that does not parse gives zeros from the pattern and loop agents and an error row from
-    the security agent; a blank text has complexity 0 for the security agent.
+    the security agent, and so does a file whose text could not be read; a blank text has complexity
+    0 for the security agent.
     """
     parsed = files.select("file_id", "code", syntax(F.col("code")).alias("s"))
     facts = parsed.select(
         "file_id",
         F.col("s.valid").alias("valid"),
         F.col("s.cyclomatic").cast("double").alias("cyclomatic"),
-        (py_strip(F.col("code")) == "").alias("blank"),
+        F.coalesce(py_strip(F.col("code")) == "", F.lit(False)).alias("blank"),
         "code",
     )
     found = findings_per_agent(facts, "valid", "cyclomatic", "blank")
@@ -45,5 +46,10 @@ def agent_analysis(files: DataFrame) -> DataFrame:
 
 
 def analysis_counts(files: DataFrame) -> DataFrame:
-    """Findings and confidence per file and agent, for texts that parse: JVM only, one pass."""
+    """Findings and confidence per file and agent, with the zeros and errors of texts that do not parse."""
+    return agent_analysis(files).select("file_id", "agent_id", "issues_found", "confidence", "error")
+
+
+def finding_counts(files: DataFrame) -> DataFrame:
+    """Findings and confidence per file and agent, as if every text parsed: JVM only, one pass."""
     return findings_per_agent(files).select("file_id", "agent_id", "issues_found", "confidence")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusaudit.config import AuditConfig
 from corpusaudit.operators import agents, apply, consensus, lines, metrics, opsmetrics, propose
 from corpusaudit.operators import rulepack, scan, sessions, vote
-from corpusaudit.plans.audit import agent_analysis, analysis_counts
+from corpusaudit.plans.audit import agent_analysis, analysis_counts, finding_counts
 from corpusaudit.plans.refactor import refactor
 from corpusaudit.sources import derived, files, state
 from corpusaudit.streaming import jobs
@@ -72,7 +72,7 @@ def _refactored(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _decisions(operator: Callable[[DataFrame], DataFrame]) -> Query:
-    return _corpus(lambda c: operator(consensus.consensus(c, propose.proposals(c))))
+    return _corpus(lambda c: operator(apply.file_decisions(c)))
 
 
 def _current(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,12 +98,32 @@ def _fixpoint(results: DataFrame) -> DataFrame:
     )
 
 
-def _apply_plan(spark: SparkSession, sf: str) -> DataFrame:
-    corpus = derived.code_corpus(spark, sf)
-    done = refactor(corpus)
+def _as_of() -> Column:
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
+def _results(spark: SparkSession, sf: str) -> DataFrame:
     status = F.when(F.col("file_id") % 11 == 0, "failed").otherwise("completed")
-    return sessions.apply_plan(
-        done.withColumn("status", status), derived.edited_corpus(spark, sf)
+    return refactor(derived.code_corpus(spark, sf)).withColumn("status", status)
+
+
+def _apply_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.apply_plan(_results(spark, sf), derived.edited_corpus(spark, sf))
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole session records, written as JSON and read back."""
+    file_id = F.col("file_id")
+    started = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=file_id)
+    records = sessions.session_records(
+        refactor(derived.damaged_corpus(spark, sf)), CONFIG.agent_set, derived.session_key(file_id), started, _as_of()
+    )
+    back = sessions.import_records(sessions.export_records(records))
+    return back.select(
+        "refactor_id", "target_path", "status", "progress", "agent_set", "original_code", "refactored_code",
+        F.size("evolution_history").alias("n_steps"), F.size("consensus_log").alias("n_decisions"),
+        F.transform("evolution_history", lambda s: s["modified_code"]).alias("edits"),
+        "metrics.*", "started_at", "completed_at", "error_message",
     )
 
 
@@ -181,6 +201,9 @@ CATALOG: dict[str, Query] = {
     "language_mix": _corpus(files.language_mix),
     "python_files": _corpus(lambda c: files.python_files(c).select("file_id", "path")),
     "active_agents": lambda spark, sf: agents.active_agents(derived.agent_requests(spark, sf)),
+    "active_agents_overridden": lambda spark, sf: agents.active_agents(
+        derived.agent_requests(spark, sf), derived.profile_overrides(spark, sf)
+    ),
     "rule_pack_merge": lambda spark, sf: agents.merge_registrations(
         derived.agent_registrations(spark, sf)
     ),
@@ -196,7 +219,10 @@ CATALOG: dict[str, Query] = {
     ),
     "active_sessions": lambda spark, sf: sessions.active_sessions(_current(spark, sf)),
     "session_cancel": lambda spark, sf: sessions.cancel(
-        _current(spark, sf), derived.wanted_sessions(spark, sf)
+        _current(spark, sf), derived.wanted_sessions(spark, sf), _as_of()
+    ),
+    "session_cancelled_versions": lambda spark, sf: sessions.cancelled_versions(
+        _current(spark, sf), derived.wanted_sessions(spark, sf), _as_of()
     ),
     "session_delete": lambda spark, sf: sessions.delete(
         derived.session_versions(spark, sf), derived.dropped_sessions(spark, sf)
@@ -217,6 +243,11 @@ CATALOG: dict[str, Query] = {
     ),
     "session_purge": _purge,
     "apply_plan": _apply_plan,
+    "apply_backups": lambda spark, sf: sessions.backups(
+        _apply_plan(spark, sf), derived.edited_corpus(spark, sf)
+    ),
+    "apply_drift": lambda spark, sf: sessions.drifted(_results(spark, sf), derived.edited_corpus(spark, sf)),
+    "session_records": _records,
     "session_json_roundtrip": lambda spark, sf: sessions.import_sessions(
         sessions.export_sessions(_current(spark, sf))
     ),
@@ -241,8 +272,10 @@ CATALOG: dict[str, Query] = {
             "file_id", "rule_id", "line_start"
         )
     ),
-    "analysis_counts": _corpus(analysis_counts),
-    "agent_analysis": _corpus(agent_analysis),
+    "finding_counts": _corpus(finding_counts),
+    "analysis_counts": lambda spark, sf: analysis_counts(derived.damaged_corpus(spark, sf)),
+    "agent_analysis": lambda spark, sf: agent_analysis(derived.damaged_corpus(spark, sf)),
+    "failed_files": lambda spark, sf: files.failed_files(derived.damaged_corpus(spark, sf)),
     # proposals
     "propose_security": _agent_proposals("security_enforcer"),
     "propose_pattern": _agent_proposals("pattern_optimizer"),
@@ -272,9 +305,7 @@ CATALOG: dict[str, Query] = {
         lambda d: consensus.validated_decisions(d).drop("voter_averages")
     ),
     "consensus_weighted": _corpus(
-        lambda c: consensus.consensus(c, propose.proposals(c), weights=WEIGHTS).drop(
-            "voter_averages"
-        )
+        lambda c: apply.file_decisions(c, weights=WEIGHTS).drop("voter_averages")
     ),
     # rounds
     "meaningful_changes": _corpus(apply.meaningful_changes),

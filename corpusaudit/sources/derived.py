@@ -57,6 +57,31 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_code(spread(docs))
 
 
+def damaged_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with broken, empty and unreadable texts among the others."""
+    file_id = F.col("file_id")
+    code = (
+        F.when(file_id % 31 == 3, F.concat(F.lit("def invalid syntax here +++\n"), "code"))
+        .when(file_id % 37 == 5, "")
+        .when(file_id % 41 != 7, F.col("code"))
+    )
+    return code_corpus(spark, sf_dir).withColumn("code", code)
+
+
+def profile_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings that users write over the known profiles; null where they leave one as it is."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).filter("k < 7")
+    return nations.select(
+        _pick(
+            ("pattern_optimizer", "loop_simplifier", "performance_optimizer", "style_fixer", "security_enforcer", "readability_enhancer", "type_annotator"),
+            F.col("k"),
+        ).alias("agent_id"),
+        F.when(F.col("k") % 2 == 0, F.col("k") + 1).cast("int").alias("priority"),
+        F.when(F.col("k") % 3 == 0, F.col("k") / 10).alias("confidence_threshold"),
+        F.when(F.col("k") % 4 != 1, F.col("k") % 4 == 2).alias("enabled"),
+    )
+
+
 def session_key(user_id: Column) -> Column:
     """A UUID-shaped session id."""
     return F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(user_id.cast("string"), 12, "0"))

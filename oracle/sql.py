@@ -81,6 +81,13 @@ CORPUS = f"""corpus AS MATERIALIZED (
       || {pick(SNIPPETS, 'doc_id * 2 + 5')} || {NL} || {pick(SNIPPETS, 'doc_id * 3 + 10')} AS code
   FROM documents)"""
 
+# The corpus with broken, empty and unreadable texts among the others.
+DAMAGED = [
+    CORPUS.replace("corpus AS", "whole AS", 1),
+    f"""corpus AS MATERIALIZED (SELECT file_id, path, CASE WHEN file_id % 31 = 3 THEN 'def invalid syntax here +++' || {NL} || code
+  WHEN file_id % 37 = 5 THEN '' WHEN file_id % 41 = 7 THEN NULL ELSE code END AS code FROM whole)""",
+]
+
 # ---------------------------------------------------------------- line rules
 
 FOR_NAME = r"for\s+(\w+)\s+in\s+(\w+):"
@@ -440,14 +447,14 @@ LOOP_CTE = f"""loop_issue AS MATERIALIZED ({_flags(LOOP_TEXTS)}
   UNION ALL SELECT file_id, 'excessive_nested_loops', 1 FROM corpus WHERE {LOOPS} > 3)"""
 
 
-def _analysis() -> str:
+def _analysis(source: list[str], body: str) -> str:
     def agent(name, table, n, yes, no):
         return f"""SELECT c.file_id, {q(name)} AS agent_id, coalesce(f.n, 0)::BIGINT AS issues_found,
     CASE WHEN f.n > 0 THEN {yes} ELSE {no} END::DOUBLE AS confidence
     FROM corpus c LEFT JOIN (SELECT file_id, sum({n}) AS n FROM {table} GROUP BY file_id) f
     ON f.file_id = c.file_id"""
 
-    body = "\n  UNION ALL ".join(
+    found = "\n  UNION ALL ".join(
         (
             agent("pattern_optimizer", "pattern_issue", "n_found", 0.8, 0.5),
             agent("security_enforcer", "vuln", "len(m)", 0.9, 0.7),
@@ -455,7 +462,7 @@ def _analysis() -> str:
         )
     )
     return with_(
-        [CORPUS, *lines_ctes("0", "corpus"), PATTERN_CTE, LOOP_CTE, vuln_cte("corpus")], body
+        [*source, *lines_ctes("0", "corpus"), PATTERN_CTE, LOOP_CTE, vuln_cte("corpus"), f"found AS ({found})"], body
     )
 
 
@@ -496,10 +503,10 @@ def _vuln_total(x: str) -> str:
 # ---------------------------------------------------------------- fix-point, round by round
 
 
-def _fixpoint(rounds: int, body: str) -> str:
+def _fixpoint(rounds: int, body: str, source: list[str] = [CORPUS]) -> str:
     """The loop written out: every round works on the files that are still open."""
     ctes = [
-        CORPUS,
+        *source,
         f"""state0 AS MATERIALIZED (SELECT file_id, code, 0 AS stalls, NULL::VARCHAR AS reason,
   0 AS rounds, 0 AS n_steps, 0 AS n_decisions, range(len(string_split(code, {NL}))) AS origin FROM corpus)""",
     ]
@@ -525,12 +532,15 @@ def _fixpoint(rounds: int, body: str) -> str:
   FROM corpus c JOIN done d USING (file_id))""")
     applied = " UNION ALL ".join(
         f"""SELECT file_id, {k} AS k, b.agent_id || ': ' || b.description || ' (confidence: '
-    || printf('%.2f', b.confidence) || ')' AS change, b.agent_id FROM best{k} b SEMI JOIN after{k} USING (file_id)"""
+    || printf('%.2f', b.confidence) || ')' AS change, b.agent_id, b.modified_code FROM best{k} b SEMI JOIN after{k} USING (file_id)"""
         for k in range(rounds)
     )
     ctes.append(f"""applied AS (SELECT file_id, count(*) AS n_steps,
-  string_agg(change, {NL} ORDER BY k) AS changes, string_agg(DISTINCT agent_id, '|' ORDER BY agent_id) AS agents
+  string_agg(change, {NL} ORDER BY k) AS changes, string_agg(DISTINCT agent_id, '|' ORDER BY agent_id) AS agents,
+  string_agg(modified_code, '|' ORDER BY k) AS edits
   FROM ({applied}) GROUP BY file_id)""")
+    ctes.append(f"""shares AS (SELECT file_id, string_agg(agent_id || '=' || n, '|' ORDER BY agent_id) AS shares
+  FROM (SELECT file_id, agent_id, count(*) AS n FROM ({applied}) GROUP BY ALL) GROUP BY file_id)""")
     ctes.append(f"""changed AS (SELECT file_id, sum(abs(n))::BIGINT AS lines_changed FROM (
     SELECT file_id, line, sum(sign) AS n FROM (
       SELECT file_id, unnest(string_split(a, {NL})) AS line, 1 AS sign FROM pair WHERE a <> b
@@ -678,6 +688,19 @@ def statements() -> dict[str, str]:
     ('security_enforcer', 9, 0.8, true), ('loop_simplifier', 6, 0.7, true),
     ('performance_optimizer', 5, 0.5, false), ('readability_enhancer', 4, 0.4, false))
     p(agent_id, pr, th, on_) ON p.agent_id = r.agent_id GROUP BY ALL"""),
+        "active_agents_overridden": with_([REQUESTS, """own AS (SELECT ['pattern_optimizer', 'loop_simplifier',
+    'performance_optimizer', 'style_fixer', 'security_enforcer', 'readability_enhancer', 'type_annotator'][k + 1] AS agent_id,
+    CASE WHEN k % 2 = 0 THEN k + 1 END AS pr, CASE WHEN k % 3 = 0 THEN k / 10 END AS th,
+    CASE WHEN k % 4 <> 1 THEN k % 4 = 2 END AS on_ FROM (SELECT n_nationkey AS k FROM nation) WHERE k < 7)""",
+            """known(agent_id, pr, th, on_) AS (VALUES ('pattern_optimizer', 7, 0.6, true),
+    ('security_enforcer', 9, 0.8, true), ('loop_simplifier', 6, 0.7, true),
+    ('performance_optimizer', 5, 0.5, false), ('readability_enhancer', 4, 0.4, false))""",
+            """p AS (SELECT coalesce(k.agent_id, o.agent_id) AS agent_id, coalesce(o.pr, k.pr, 5) AS pr,
+    coalesce(o.th, k.th, 0.5) AS th, coalesce(o.on_, k.on_, true) AS on_ FROM known k FULL JOIN own o ON o.agent_id = k.agent_id)"""],
+            f"""SELECT r.agent_id, CASE WHEN p.on_ IS NULL THEN 'unknown' WHEN NOT p.on_ THEN 'disabled'
+    WHEN r.agent_id NOT IN {AGENTS!r} THEN 'no_implementation' ELSE 'active' END AS state,
+  coalesce(p.pr, 5)::BIGINT AS priority, round(coalesce(p.th, 0.5)::DOUBLE, 9) AS confidence_threshold,
+  count(*) AS n_requests FROM requests r LEFT JOIN p ON p.agent_id = r.agent_id GROUP BY ALL"""),
         "rule_pack_merge": f"""SELECT agent_id, CASE WHEN b THEN 'builtin' ELSE module END AS module,
   b AS shadowed_by_builtin, n_entries FROM (
     SELECT agent_id, arg_max(module, seq) AS module, count(*) AS n_entries,
@@ -696,8 +719,10 @@ def statements() -> dict[str, str]:
         "active_sessions": sessions(f"""SELECT refactor_id, target_path, status,
   {TIME.format('started_at')} AS started_at FROM current
   WHERE status IN ('started', 'in_progress')"""),
+        "session_cancelled_versions": sessions("""SELECT refactor_id, target_path, '2024-02-15 00:00:00.000000' AS ts,
+  seq + 1 AS seq, 'cancelled' AS status, progress FROM current WHERE refactor_id IN (FROM wanted)""", WANTED),
         "session_cancel": sessions("""SELECT w.refactor_id, c.status IS NOT NULL AS cancelled,
-  c.status AS previous_status FROM wanted w LEFT JOIN current c USING (refactor_id)""", WANTED),
+  c.status AS previous_status, CASE WHEN c.status IS NOT NULL THEN '2024-02-15 00:00:00.000000' END AS completed_at FROM wanted w LEFT JOIN current c USING (refactor_id)""", WANTED),
         "session_delete": sessions(f"""SELECT refactor_id, target_path, {TIME.format('ts')} AS ts, seq,
   status, progress FROM versions WHERE refactor_id NOT IN (FROM dropped)""", DROPPED),
         "session_status": sessions(f"""SELECT c.refactor_id, c.status, c.progress,
@@ -727,6 +752,23 @@ def statements() -> dict[str, str]:
   WHERE refactor_id NOT IN (FROM dropped)""", SNAPSHOTS, DROPPED),
         "apply_plan": _fixpoint(10, """SELECT path, b AS content, path || '.backup' AS backup_path FROM pair
   WHERE file_id % 11 <> 0 AND file_id % 5 <> 0 AND b <> ''"""),
+        "apply_backups": _fixpoint(10, """SELECT path || '.backup' AS path, a AS content FROM pair
+  WHERE file_id % 11 <> 0 AND file_id % 5 <> 0 AND b <> ''"""),
+        "apply_drift": _fixpoint(10, """SELECT path, 'modified' AS state FROM pair
+  WHERE file_id % 11 <> 0 AND file_id % 5 = 0"""),
+        "session_records": _fixpoint(10, f"""SELECT {SESSION.format('file_id')} AS refactor_id, path AS target_path,
+  CASE WHEN a IS NULL THEN 'failed' ELSE 'completed' END AS status, CASE WHEN a IS NULL THEN 0 ELSE 100 END::BIGINT AS progress,
+  {q('|'.join(AGENTS))} AS agent_set, a AS original_code, b AS refactored_code, coalesce(p.n_steps, 0) AS n_steps,
+  coalesce(d.n_decisions, 0) AS n_decisions, coalesce(edits, '') AS edits,
+  CASE WHEN a IS NOT NULL THEN coalesce(lines_changed, 0) END AS lines_changed, {DELTA} AS complexity_delta,
+  CASE WHEN a IS NOT NULL THEN {IMPROVEMENTS} END AS security_improvements,
+  CASE WHEN a IS NOT NULL THEN round({GAINS}, 9) END AS performance_gains,
+  CASE WHEN a IS NOT NULL THEN coalesce(shares, '') END AS agent_contributions,
+  {TIME.format("TIMESTAMP '2024-01-01 00:00:00' + to_seconds(file_id)")} AS started_at,
+  CASE WHEN a IS NOT NULL THEN '2024-02-15 00:00:00.000000' END AS completed_at,
+  CASE WHEN a IS NULL THEN 'unreadable text' END AS error_message
+  FROM pair LEFT JOIN applied p USING (file_id) LEFT JOIN shares USING (file_id) LEFT JOIN in_order USING (file_id)
+  JOIN done d USING (file_id)""", DAMAGED),
         "result_report": _fixpoint(10, f"""SELECT file_id, path, coalesce(n_steps, 0) AS n_steps,
   coalesce(changes, '') AS changes,
   {DELTA} AS complexity_delta, {IMPROVEMENTS} AS security_improvements,
@@ -760,7 +802,14 @@ def statements() -> dict[str, str]:
         "detect_loop_issues": with_([CORPUS, LOOP_CTE], "FROM loop_issue"),
         "unsafe_rewrites": on_props(f"""SELECT file_id, rule_id, line_start FROM props0 WHERE
   {matches('modified_code', r'eval\(|exec\(|os\.system\(|shell\s*=\s*True|pickle\.loads\(')}"""),
-        "analysis_counts": _analysis(),
+        "finding_counts": _analysis([CORPUS], "FROM found"),
+        "analysis_counts": _analysis(DAMAGED, """SELECT file_id, agent_id,
+  CASE WHEN NOT bad THEN issues_found WHEN agent_id <> 'security_enforcer' THEN 0 END AS issues_found,
+  CASE WHEN NOT bad THEN confidence WHEN agent_id <> 'security_enforcer' THEN 0 END AS confidence,
+  CASE WHEN bad AND agent_id = 'security_enforcer' THEN 'SYNTAX_ERROR' END AS error
+  FROM found JOIN (SELECT file_id, file_id % 31 = 3 OR code IS NULL AS bad FROM corpus) USING (file_id)"""),
+        "failed_files": with_(DAMAGED, """SELECT file_id, path, 'unreadable text' AS error_message
+  FROM corpus WHERE code IS NULL"""),
         "propose_security": on_props(
             f"SELECT {PROP_COLUMNS} FROM props0 WHERE agent_id = 'security_enforcer'"),
         "propose_pattern": on_props(

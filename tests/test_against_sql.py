@@ -84,7 +84,7 @@ ON_FILES = {
     "vuln_matches": scan.vuln_matches,
     "detect_pattern_issues": scan.detect_pattern_issues,
     "detect_loop_issues": scan.detect_loop_issues,
-    "analysis_counts": audit.analysis_counts,
+    "finding_counts": audit.finding_counts,
     "all_proposals": propose.proposals,
     "collect_votes": lambda f: vote.collect_votes(propose.proposals(f)),
     "collect_votes_failed": lambda f: vote.collect_votes(
@@ -93,6 +93,8 @@ ON_FILES = {
     "vote_dedup": lambda f: vote.vote_dedup(vote.collect_votes(propose.proposals(f))),
     "key_scores": lambda f: consensus.key_scores(propose.proposals(f)),
     "consensus": lambda f: consensus.consensus(f, propose.proposals(f)).drop("voter_averages"),
+    "consensus_winner": lambda f: apply.file_decisions(f).select("file_id", "winning_agent", "voter_averages"),
+    "consensus_weighted": lambda f: apply.file_decisions(f, weights=catalog.WEIGHTS).drop("voter_averages"),
     "priority_override": lambda f: consensus.priority_override(
         consensus.consensus(f, propose.proposals(f)), catalog.PRIORITY
     ).drop("voter_averages"),

@@ -3,7 +3,7 @@
 import pytest
 
 from corpusaudit.operators import apply, consensus, metrics, propose, scan, sessions
-from corpusaudit.plans.audit import analysis_counts
+from corpusaudit.plans.audit import finding_counts
 from corpusaudit.plans.refactor import refactor
 
 # A literal that only one rule of each kind holds.
@@ -34,6 +34,7 @@ def physical(df):
         apply.gated_change,
         apply.apply_best,
         apply.apply_mismatch,
+        apply.file_decisions,
         lambda f: sessions.result_report(refactor(f)),
         lambda f: metrics.refactor_metrics(refactor(f)),
     ],
@@ -45,7 +46,7 @@ def test_rounds_are_narrow_and_edits_are_built_once(stored, build):
     assert "other" not in plan
 
 
-@pytest.mark.parametrize("build", [scan.vuln_counts, scan.vuln_matches, analysis_counts])
+@pytest.mark.parametrize("build", [scan.vuln_counts, scan.vuln_matches, finding_counts])
 def test_scans_are_narrow_and_rules_run_once(stored, build):
     plan = physical(build(stored))
     assert "Exchange" not in plan and "Join" not in plan

@@ -59,9 +59,9 @@ def test_newest_version_wins_and_replay_changes_nothing(spark, versions, tmp_pat
 def test_cancel_any_state_and_unknown(spark, versions):
     current = sessions.current_sessions(versions)
     wanted = spark.createDataFrame([("a",), ("x",)], "refactor_id string")
-    answers = {r.refactor_id: r.cancelled for r in sessions.cancel(current, wanted).collect()}
-    assert answers == {"a": True, "x": False}
     at = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+    answers = {r.refactor_id: (r.cancelled, str(r.completed_at)) for r in sessions.cancel(current, wanted, at).collect()}
+    assert answers == {"a": (True, "2024-01-02 00:00:00"), "x": (False, "None")}
     more = sessions.cancelled_versions(current, wanted, at)
     after = sessions.current_sessions(versions.unionByName(more))
     assert {r.refactor_id: r.status for r in after.collect()}["a"] == "cancelled"
