@@ -12,10 +12,13 @@ from corpusaudit.config import AGENTS, AuditConfig
 from corpusaudit.functions.text import indent_of, let, py_strip, rows_of, split_lines
 from corpusaudit.operators.consensus import DIGITS, decide
 from corpusaudit.operators.propose import PROPOSAL_FIELDS, Site, line_edits, with_lines
+from corpusaudit.operators.useragents import UserAgent, active_rules, user_edits, voters_of
 
 
-def flagged_edits(lines: Column, indents: Column, cfg: AuditConfig) -> Column:
-    """A file's edits with two flags: ``meaningful`` when the edit would change its line, and
+def flagged_edits(
+    lines: Column, indents: Column, cfg: AuditConfig, user_rules: Column | None = None
+) -> Column:
+    """A file's edits, those of ``user_rules`` among them, with two flags: ``meaningful`` when the edit would change its line, and
     ``counted`` when it is the last meaningful edit with its vote key. Edits that share a key lie
     on one line, so the flag is settled within the few edits of that line."""
 
@@ -43,11 +46,16 @@ def flagged_edits(lines: Column, indents: Column, cfg: AuditConfig) -> Column:
             ),
         )
 
-    def per_line(line: Column, i: Column) -> Column:
+    def per_line(line: Column, i: Column, active: Column | None) -> Column:
         found = line_edits(Site(lines, indents, line, i), cfg.agent_set)
+        if active is not None:
+            found = F.concat(found, user_edits(active, line, i))
         return let(F.transform(found, lambda e: flag(e, line)), count_last)
 
-    return F.flatten(F.transform(lines, per_line))
+    def of_all(active: Column | None) -> Column:
+        return F.flatten(F.transform(lines, lambda line, i: per_line(line, i, active)))
+
+    return of_all(None) if user_rules is None else let(active_rules(user_rules, lines), of_all)
 
 
 def best_edit(edits: Column) -> Column:
@@ -65,9 +73,10 @@ def best_edit(edits: Column) -> Column:
     return F.array_min(ranked)["edit"]
 
 
-def round_decision(edits: Column, cfg: AuditConfig) -> Column:
+def round_decision(edits: Column, cfg: AuditConfig, agents: Sequence[UserAgent] = ()) -> Column:
     counted = F.filter(edits, lambda e: e["counted"])
-    return decide(counted, cfg.agent_set, cfg.consensus_threshold)
+    voting = (*cfg.agent_set, *[a.agent_id for a in agents])
+    return decide(counted, voting, cfg.consensus_threshold, voters=voters_of(agents))
 
 
 def passes_gate(best: Column, decision: Column, cfg: AuditConfig) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusaudit.config import AuditConfig
 from corpusaudit.operators import agents, apply, consensus, lines, metrics, opsmetrics, propose
 from corpusaudit.operators import rulepack, scan, sessions, vote
+from corpusaudit.operators.useragents import UserAgent
 from corpusaudit.plans.audit import agent_analysis, analysis_counts, finding_counts
 from corpusaudit.plans.refactor import refactor
 from corpusaudit.sources import derived, files, state
@@ -87,9 +88,10 @@ def _delta(name: str, measure: Callable) -> Query:
     )
 
 
-def _fixpoint(results: DataFrame) -> DataFrame:
+def _fixpoint(results: DataFrame, *more: str) -> DataFrame:
     return results.select(
         "file_id",
+        *more,
         "refactored_code",
         F.size("steps").alias("n_steps"),
         F.size("decisions").alias("n_decisions"),
@@ -102,6 +104,13 @@ def _as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
+def _with_user_rules(spark: SparkSession, sf: str) -> DataFrame:
+    agent = UserAgent.from_table("user_rules", derived.loop_rules(spark, sf), lambda field: field("confidence"))
+    done = refactor(derived.code_corpus(spark, sf), agents=[agent])
+    by_user = F.filter("steps", lambda s: s["agent"] == "user_rules")
+    return _fixpoint(done.withColumn("user_steps", F.size(by_user)), "user_steps")
+
+
 def _results(spark: SparkSession, sf: str) -> DataFrame:
     status = F.when(F.col("file_id") % 11 == 0, "failed").otherwise("completed")
     return refactor(derived.code_corpus(spark, sf)).withColumn("status", status)
@@ -314,6 +323,7 @@ CATALOG: dict[str, Query] = {
     "apply_best": _round(lambda p: p.drop("original_code")),
     "apply_mismatch": _corpus(apply.apply_mismatch),
     "refactor_fixpoint": _refactored(_fixpoint),
+    "refactor_with_user_rules": _with_user_rules,
     "convergence_report": _refactored(opsmetrics.convergence_report),
     "progress_timeline": _refactored(
         lambda r: opsmetrics.progress_timeline(r, CONFIG.max_iterations)

@@ -7,6 +7,8 @@ checkpoint or a driver loop. Files close on their own: a closed file costs nothi
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from corpusaudit.operators.apply import (
     round_decision,
 )
 from corpusaudit.operators.script import lines_changed
+from corpusaudit.operators.useragents import UserAgent, checked, rules_array
 
 STEP = (
     "struct<iteration:int,agent:string,change_type:string,confidence:double,description:string,"
@@ -64,7 +67,9 @@ def _logged(decision: Column, i: Column) -> Column:
     ).cast(DECISION)
 
 
-def _round(state: Column, i: Column, cfg: AuditConfig) -> Column:
+def _round(
+    state: Column, i: Column, cfg: AuditConfig, agents: Sequence[UserAgent], rules: Column | None
+) -> Column:
     """The state after round ``i`` of an open file."""
     lines, last = state["lines"], cfg.max_iterations - 1
 
@@ -110,7 +115,7 @@ def _round(state: Column, i: Column, cfg: AuditConfig) -> Column:
             keep(state["stalls"], F.lit("no_changes"), i + 1, state["decisions"]),
         ).otherwise(
             let(
-                F.struct(best_edit(edits).alias("best"), round_decision(edits, cfg).alias("vote")),
+                F.struct(best_edit(edits).alias("best"), round_decision(edits, cfg, agents).alias("vote")),
                 lambda r: F.when(r["best"].isNull(), stalled()).otherwise(
                     voted(r["best"], r["vote"])
                 ),
@@ -118,24 +123,34 @@ def _round(state: Column, i: Column, cfg: AuditConfig) -> Column:
         )
 
     return let(
-        block_indents(lines), lambda indents: let(flagged_edits(lines, indents, cfg), with_edits)
+        block_indents(lines),
+        lambda indents: let(flagged_edits(lines, indents, cfg, rules), with_edits),
     )
 
 
-def refactor(files: DataFrame, cfg: AuditConfig = AuditConfig()) -> DataFrame:
-    """(file_id, path, original_code, refactored_code, reason, rounds, steps, decisions, lines_changed).
+def refactor(
+    files: DataFrame, cfg: AuditConfig = AuditConfig(), agents: Sequence[UserAgent] = ()
+) -> DataFrame:
+    """The corpus refactored by the built-in agents and the user's: all propose and vote in every round, in
+    that order.
+
+    (file_id, path, original_code, refactored_code, reason, rounds, steps, decisions, lines_changed).
 
     A file has at most ``max_iterations`` steps and decisions, so both arrays stay small. The fold also
     carries the original number of every line that is still there; from it the changed lines are
     counted in order, without comparing the texts.
     """
+    agents = checked(agents, cfg.agent_set)
+    rules = rules_array(agents, len(cfg.agent_set)) if agents else None
     rounds = F.sequence(F.lit(0), F.lit(cfg.max_iterations - 1))
     lines = split_lines(F.col("code"))
     numbers = F.transform(lines, lambda _, i: i)
     start = _state(lines, numbers, F.lit(0), F.lit(None), F.lit(0), F.array(), F.array())
 
     def advance(state: Column, i: Column) -> Column:
-        return F.when(state["reason"].isNotNull(), state).otherwise(_round(state, i, cfg))
+        return F.when(state["reason"].isNotNull(), state).otherwise(
+            _round(state, i, cfg, agents, rules)
+        )
 
     run = files.select(
         "file_id", "path", "code", F.aggregate(rounds, start, advance).alias("state")

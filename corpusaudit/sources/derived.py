@@ -249,3 +249,28 @@ def user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0.1).alias("impact"),
         F.lit("readability").alias("change_type"),
     )
+
+
+def loop_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that user agents iterate: names in the code become longer ones, and comment marks of
+    the languages in the corpus get a colon."""
+    words = spark.createDataFrame(
+        [
+            ("U_item", r"\btemp_value\b", "item_twice", 0.9),
+            ("U_grid", r"\bin matrix:", "in grid:", 0.75),
+            ("U_vals", r"for v in vals", "for value in values", 0.65),
+            ("U_load", r"pickle\.loads\((\w+)\)", r"json.loads(\1)", 0.95),
+        ],
+        "rule_id string, pattern string, replacement string, confidence double",
+    )
+    langs = table(spark, sf_dir, "documents").select("lang").distinct()
+    marks = langs.select(
+        F.concat(F.lit("U_"), "lang").alias("rule_id"),
+        F.concat(F.lit("^# "), "lang", F.lit(" ")).alias("pattern"),
+        F.concat(F.lit("# "), "lang", F.lit(": ")).alias("replacement"),
+        F.lit(0.7).alias("confidence"),
+    )
+    return words.unionByName(marks).select(
+        "rule_id", F.lit("naming").alias("category"), "pattern", "replacement", "confidence",
+        F.lit(0.1).alias("impact"), F.lit("readability").alias("change_type"),
+    )

@@ -317,8 +317,27 @@ def decision_ctes(k: str, source: str, weights=(1 / 3, 1 / 3, 1 / 3)) -> list[st
     ]
 
 
-def round_ctes(k: str, table: str) -> list[str]:
-    return proposal_ctes(k, table) + [
+# Rules of a user agent, tried on every line beside the built-in ones.
+USER_RULES = """rule AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY rule_id) - 1 AS rule_ord FROM (
+  SELECT * FROM (VALUES ('U_item', '\\btemp_value\\b', 'item_twice', 0.9::DOUBLE),
+    ('U_grid', '\\bin matrix:', 'in grid:', 0.75), ('U_vals', 'for v in vals', 'for value in values', 0.65),
+    ('U_load', 'pickle\\.loads\\((\\w+)\\)', 'json.loads(\\1)', 0.95)) v(rule_id, pattern, replacement, confidence)
+  UNION ALL SELECT DISTINCT 'U_' || lang, '^# ' || lang || ' ', '# ' || lang || ': ', 0.7 FROM documents))"""
+
+
+def user_ctes(k: str) -> str:
+    return f"""props{k} AS MATERIALIZED (SELECT * FROM own{k} UNION ALL
+  SELECT file_id, 'user_rules' AS agent_id, 3 AS agent_ord, rule_id, rule_ord, 'readability' AS change_type, line AS original_code,
+    regexp_replace(line, pattern, replacement, 'g') AS modified_code, i AS line_start, i AS line_end, confidence,
+    'naming' AS description, 0.1::DOUBLE AS impact_score FROM ctx{k}, rule WHERE regexp_matches(line, pattern))"""
+
+
+def round_ctes(k: str, table: str, user: bool = False) -> list[str]:
+    proposed = proposal_ctes(k, table)
+    if user:
+        proposed[-1] = proposed[-1].replace(f"props{k} AS", f"own{k} AS", 1)
+        proposed.append(user_ctes(k))
+    return proposed + [
         f"""useful{k} AS MATERIALIZED (
   SELECT p.*, l.line FROM props{k} p
   JOIN ctx{k} l ON l.file_id = p.file_id AND l.i = p.line_start
@@ -503,7 +522,7 @@ def _vuln_total(x: str) -> str:
 # ---------------------------------------------------------------- fix-point, round by round
 
 
-def _fixpoint(rounds: int, body: str, source: list[str] = [CORPUS]) -> str:
+def _fixpoint(rounds: int, body: str, source: list[str] = [CORPUS], user: bool = False) -> str:
     """The loop written out: every round works on the files that are still open."""
     ctes = [
         *source,
@@ -512,7 +531,7 @@ def _fixpoint(rounds: int, body: str, source: list[str] = [CORPUS]) -> str:
     ]
     for k in range(rounds):
         ctes.append(f"open{k} AS MATERIALIZED (SELECT * FROM state{k} WHERE reason IS NULL)")
-        ctes += round_ctes(str(k), f"open{k}")
+        ctes += round_ctes(str(k), f"open{k}", user)
         ctes.append(f"""state{k + 1} AS MATERIALIZED (
   SELECT s.file_id, coalesce(n.code, s.code) AS code,
     CASE WHEN p.file_id IS NULL THEN s.stalls WHEN b.file_id IS NULL THEN s.stalls + 1
@@ -537,7 +556,7 @@ def _fixpoint(rounds: int, body: str, source: list[str] = [CORPUS]) -> str:
     )
     ctes.append(f"""applied AS (SELECT file_id, count(*) AS n_steps,
   string_agg(change, {NL} ORDER BY k) AS changes, string_agg(DISTINCT agent_id, '|' ORDER BY agent_id) AS agents,
-  string_agg(modified_code, '|' ORDER BY k) AS edits
+  string_agg(modified_code, '|' ORDER BY k) AS edits, count(*) FILTER (agent_id = 'user_rules') AS user_steps
   FROM ({applied}) GROUP BY file_id)""")
     ctes.append(f"""shares AS (SELECT file_id, string_agg(agent_id || '=' || n, '|' ORDER BY agent_id) AS shares
   FROM (SELECT file_id, agent_id, count(*) AS n FROM ({applied}) GROUP BY ALL) GROUP BY file_id)""")
@@ -857,6 +876,8 @@ def statements() -> dict[str, str]:
   {strip('original_code')} AS expected, {strip('line')} AS found FROM best0 b
   WHERE {gate} AND NOT fits"""),
         "refactor_fixpoint": _fixpoint(10, "FROM done"),
+        "refactor_with_user_rules": _fixpoint(10, """SELECT file_id, coalesce(user_steps, 0) AS user_steps, refactored_code,
+  done.n_steps, n_decisions, rounds, reason FROM done LEFT JOIN applied USING (file_id)""", [CORPUS, USER_RULES], user=True),
         "convergence_report": _fixpoint(10, """SELECT reason, rounds, count(*) AS n_files,
   sum(n_steps)::BIGINT AS n_steps FROM done GROUP BY reason, rounds"""),
         "validate_security": _fixpoint(10, f"""SELECT file_id, ({_vuln_total('b')} <= {_vuln_total('a')})
