@@ -25,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHED_WORDS = 200_000
-BYTES_AT_ONCE = 3_000_000
+from corpusaudit.llm.store import give_back
+
+CACHED_WORDS = 100_000
+BYTES_AT_ONCE = 1_500_000
 CHARS_AT_ONCE = 1_500_000
 PARTS_AT_ONCE = 1000
 ROWS_AT_ONCE = 1000  # of ids and decoded texts held beside a batch
@@ -187,6 +189,7 @@ class Encoder:
     def forget(self) -> None:
         """Gives the memory of the cache back; a worker outlives the stage that filled it."""
         self.recent, self.older = {}, {}
+        give_back()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -217,8 +220,10 @@ class Encoder:
         which = words.indices.to_numpy()
         own = counts[which]
         stops = np.cumsum(own)
+        del words
         total = int(stops[-1]) if len(stops) else 0
-        at = np.repeat((np.cumsum(counts) - counts)[which] - (stops - own), own) + np.arange(total)
+        at = np.repeat(((np.cumsum(counts) - counts)[which] - (stops - own)).astype(np.int32), own)
+        at += np.arange(total, dtype=np.int32)
         ids = flat[at].tobytes()
         borders = 4 * np.concatenate(([0], stops))[first]
         return [ids[a:b] for a, b in zip(borders.tolist(), borders[1:].tolist())]
@@ -255,11 +260,11 @@ def split_plain(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     for at, size in ((quote[short], 2), (quote[pairs], 3)):
         start[at + 1] = False
         start[at + size] = kind[at + size] != SPACE
-    solid = np.flatnonzero(kind != SPACE)
-    begins = np.flatnonzero(start[solid])
     ends = np.cumsum([len(t) + 1 for t in texts])
-    first = np.searchsorted(solid[begins], np.concatenate(([0], ends)))
-    return low[solid], np.append(begins, len(solid)).astype(np.int32), first
+    first = np.searchsorted(np.flatnonzero(start), np.concatenate(([0], ends)))
+    solid = kind != SPACE
+    data = low[solid]
+    return data, np.append(np.flatnonzero(start[solid]), len(data)).astype(np.int32), first
 
 
 def joining_pairs(vocab: dict[str, int], suffix: str) -> np.ndarray:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusaudit.llm.bpe import as_bytes
+from corpusaudit.llm.store import give_back
 
 FOLDS = 5
 SAMPLE = 3000  # labelled documents per class
@@ -169,6 +170,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([by.features(t) for t in as_bytes(batch.column(text_at))]).reshape(-1, 7)
             p = 1 / (1 + np.exp(-np.clip(_scaled(x) @ weights, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"])
+        give_back()
 
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
     return docs.select(*[docs[f"`{f.name}`"] for f in kept]).mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from corpusaudit.llm.bpe import as_bytes
 from corpusaudit.llm.components import components
-from corpusaudit.llm.store import packed, small, unpacked, written
+from corpusaudit.llm.store import give_back, packed, small, unpacked, written
 
 BASE, RATE, LIMIT = 1.001, 20.0, 65534  # registers of 16 bits
 ROWS_PER_BAND = 4
@@ -159,6 +159,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "digest", "sketch", "buckets"],
                 )
         _word_hashes().clear()  # a worker outlives the stage
+        give_back()
 
     schema = "doc_id long, n_shingles long, digest binary, sketch binary, buckets array<long>"
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, schema)
@@ -176,6 +177,8 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, width: int) -
             # a repeated id may carry other texts than the one that stands for the class
             own = [xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "items"]).filter(pa.array(own))
+        _word_hashes().clear()
+        give_back()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("first_id"), docs["text"].alias("text"))
     wanted = rows.join(small(nodes.select("node", "first_id", "digest"), n_nodes), "first_id").select("node", "text", "digest")
@@ -319,6 +322,8 @@ def _rest(members: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -
                     held.append(r)
         if held:
             yield flush()
+        held = []
+        give_back()
 
     dealt = rows.repartition("task").sortWithinPartitions("task", "bucket", "left", "right")
     return dealt.mapInArrow(run, "a long, b long").distinct()

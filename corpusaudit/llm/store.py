@@ -26,6 +26,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system. Workers outlive their tasks, and the memory that
+    one stage has freed would count beside what the next one needs."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Marks a side for broadcast if its counted ``rows`` are within the bound."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
