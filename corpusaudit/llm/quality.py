@@ -100,14 +100,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on labelled rows outside the held-out fold. Only ids and labels are sorted; the texts of
-    the sample are read by a broadcast of its ids, whose number ``SAMPLE`` bounds."""
+    the sample are read by a broadcast of its ids, whose number ``SAMPLE`` bounds. Of the texts of a repeated id
+    the first in order counts, and an id with both labels counts for both."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].alias("label"))
     known = known.filter("doc_id is not null and label in (0, 1)").filter(remainder(F.col("doc_id")) != 0)
     order = F.xxhash64(F.lit(SEED), "doc_id")
     chosen = [known.filter(F.col("label") == c).orderBy(order, "doc_id").limit(SAMPLE) for c in (0, 1)]
     sample = chosen[0].unionByName(chosen[1]).withColumn("half", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(2)))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id")
+    # one text of each id, so that repeated ids do not widen what is gathered
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label", "half").agg(F.min("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
