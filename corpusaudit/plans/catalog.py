@@ -167,7 +167,7 @@ def _stream_scan(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "text", "source"
     )
     jobs.stream_scan(arrivals, derived.as_code, f"{base}/out", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/out")
+    return jobs.scan_results(spark, f"{base}/out")
 
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:

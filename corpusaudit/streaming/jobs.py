@@ -1,9 +1,9 @@
 """Streaming jobs: scan files as they arrive, and keep counts and states of sessions up to date.
 
 Each job drains what is there (``availableNow``) and continues from its checkpoint on the next
-run. Every micro-batch is reduced and written into a ``batch_id=`` folder of its own: a batch that is
-replayed after a failure overwrites its folder, and readers add up, or take the newest, over all
-batches. No lateness bound applies, so results do not depend on how rows are dealt to batches.
+run. Every micro-batch is reduced and written into a folder of its own, and folders are rolled up
+(``batches``): a batch that is replayed after a failure overwrites its folder, and readers add up, or
+take the newest, over all batches. No lateness bound applies, so results do not depend on how rows are dealt to batches.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusaudit.operators.scan import vuln_counts
 from corpusaudit.sources.files import python_files
+from corpusaudit.streaming.batches import Merge, read_batches, write_batch
 
 WINDOW = "1 day"
 
@@ -37,30 +38,49 @@ def _drain(writer) -> None:
     query.awaitTermination()
 
 
+LEDGER = "file_id {0}, digest string, seq bigint"
+
+
+def _newest_digest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("file_id").agg(F.max_by("digest", "seq").alias("digest"), F.max("seq").alias("seq"))
+
+
 def stream_scan(
     arrivals: DataFrame, to_code: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
 ) -> None:
-    """Scans arriving Python files once each. A file that is delivered again is scanned again only
-    if its text has changed; the state keeps a digest per file and text, whatever its age.
+    """Scans arriving Python files. A delivery is scanned unless its text is the one that the file had last:
+    a file that is set back to an earlier text is scanned again.
 
-    ``to_code`` turns arriving rows into (file_id, path, code).
+    What each file had last is a ledger of digests beside ``out``, rolled up to one row per file, so it grows with the
+    files and not with their deliveries. Texts of one file in the same micro-batch have no order:
+    each is scanned once, and whatever comes next counts as new. ``to_code`` turns arriving rows into
+    (file_id, path, code).
     """
-    code = to_code(arrivals.drop("arrived_at")).withColumn("digest", F.md5("code"))
-    fresh = code.dropDuplicates(["file_id", "digest"]).drop("digest")
-    hits = vuln_counts(python_files(fresh))
-    _drain(
-        hits.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-    )
+    ledger = f"{out.rstrip('/')}-ledger"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        code = to_code(batch.drop("arrived_at")).withColumn("digest", F.coalesce(F.md5("code"), F.lit("unreadable")))
+        schema = LEDGER.format(code.schema["file_id"].dataType.simpleString())
+        last = _newest_digest(read_batches(code.sparkSession, ledger, schema, before=batch_id))
+        fresh = code.dropDuplicates(["file_id", "digest"]).join(last.select("file_id", "digest"), ["file_id", "digest"], "left_anti")
+        write_batch(vuln_counts(python_files(fresh.drop("digest"))), out, batch_id, lambda rows: rows)
+        one = F.when(F.min("digest") == F.max("digest"), F.min("digest")).otherwise("")
+        now = code.groupBy("file_id").agg(one.alias("digest")).withColumn("seq", F.lit(batch_id).cast("bigint"))
+        write_batch(now, ledger, batch_id, _newest_digest)
+
+    _drain(arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
+
+
+def scan_results(spark: SparkSession, out: str) -> DataFrame:
+    """All findings so far."""
+    return read_batches(spark, out)
 
 
 def _reduce_batches(
-    rows: DataFrame, reduce: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
+    rows: DataFrame, reduce: Callable[[DataFrame], DataFrame], merge: Merge, out: str, checkpoint: str
 ) -> None:
     def write(batch: DataFrame, batch_id: int) -> None:
-        reduce(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        write_batch(reduce(batch), out, batch_id, merge)
 
     _drain(
         rows.writeStream.outputMode("append")
@@ -69,11 +89,17 @@ def _reduce_batches(
     )
 
 
+def _summed(keys: Sequence[str]) -> Merge:
+    def merge(rows: DataFrame) -> DataFrame:
+        values = [c for c in rows.columns if c not in keys]
+        return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in values])
+
+    return merge
+
+
 def summed_per_key(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
     """Sum of every value over all micro-batches."""
-    rows = spark.read.parquet(out)
-    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in values])
+    return _summed(keys)(read_batches(spark, out))
 
 
 def stream_step_counts(steps: DataFrame, out: str, checkpoint: str) -> None:
@@ -83,7 +109,7 @@ def stream_step_counts(steps: DataFrame, out: str, checkpoint: str) -> None:
         counts = batch.groupBy(F.window("ts", WINDOW), "agent", "change_type").agg(F.count("*").alias("n_steps"))
         return counts.select(F.col("window.start").alias("day"), "agent", "change_type", "n_steps")
 
-    _reduce_batches(steps, count, out, checkpoint)
+    _reduce_batches(steps, count, _summed(["day", "agent", "change_type"]), out, checkpoint)
 
 
 def _gauge_change(status: Column) -> Column:
@@ -102,7 +128,7 @@ def stream_active_gauge(versions: DataFrame, out: str, checkpoint: str) -> None:
         moves = batch.groupBy(F.window("ts", WINDOW)).agg(change)
         return moves.select(F.col("window.start").alias("day"), "change")
 
-    _reduce_batches(versions, move, out, checkpoint)
+    _reduce_batches(versions, move, _summed(["day"]), out, checkpoint)
 
 
 def active_by_day(spark: SparkSession, out: str) -> DataFrame:
@@ -119,9 +145,13 @@ def stream_session_status(versions: DataFrame, out: str, checkpoint: str) -> Non
         version = F.max(F.struct("ts", "seq", "status", "progress")).alias("v")
         return batch.groupBy("refactor_id").agg(version)
 
-    _reduce_batches(versions, newest, out, checkpoint)
+    _reduce_batches(versions, newest, _newest_version, out, checkpoint)
+
+
+def _newest_version(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("refactor_id").agg(F.max("v").alias("v"))
 
 
 def session_status_now(spark: SparkSession, out: str) -> DataFrame:
-    newest = spark.read.parquet(out).groupBy("refactor_id").agg(F.max("v").alias("v"))
+    newest = _newest_version(read_batches(spark, out))
     return newest.select("refactor_id", "v.ts", "v.status", "v.progress")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusaudit.operators import scan
 from corpusaudit.sources import derived
-from corpusaudit.streaming import jobs
+from corpusaudit.streaming import batches, jobs
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -30,7 +30,7 @@ def test_scan_continues_and_skips_repeats(spark, tmp_path, docs):
             .withColumn("arrived_at", F.col("_metadata.file_modification_time"))
         )
         jobs.stream_scan(arrivals, derived.as_code, out, checkpoint)
-        return spark.read.parquet(out)
+        return jobs.scan_results(spark, out)
 
     put(spark, folder, "one", docs[:20], schema)
     first = drain().count()
@@ -90,10 +90,46 @@ def test_changed_files_are_scanned_again(spark, tmp_path):
     def to_code(rows):
         return rows.select(F.col("doc_id").alias("file_id"), F.lit("a.py").alias("path"), F.col("text").alias("code"))
 
-    for name, text in (("one", "x = 1"), ("two", "h = hashlib.md5(x)"), ("three", "h = hashlib.md5(x)")):
+    found = []
+    risky, plain = "h = hashlib.md5(x)", "x = 1"
+    for name, text in (("one", plain), ("two", risky), ("three", risky), ("four", plain), ("five", risky)):
         put(spark, folder, name, [(1, text, "s")], schema)
         jobs.stream_scan(spark.readStream.schema(schema).parquet(f"{folder}/*"), to_code, out, checkpoint)
-    assert spark.read.parquet(out).count() == 1
+        found.append(jobs.scan_results(spark, out).count())
+    assert found == [0, 1, 1, 1, 2]  # set back to an earlier text, it is scanned again
+    put(spark, folder, "six", [(1, plain, "s"), (1, risky, "s"), (2, risky, "s"), (2, risky, "s")], schema)
+    jobs.stream_scan(spark.readStream.schema(schema).parquet(f"{folder}/*"), to_code, out, checkpoint)
+    assert jobs.scan_results(spark, out).count() == 3  # file 1 had it last, file 2 is new
+    put(spark, folder, "seven", [(1, risky, "s")], schema)
+    jobs.stream_scan(spark.readStream.schema(schema).parquet(f"{folder}/*"), to_code, out, checkpoint)
+    assert jobs.scan_results(spark, out).count() == 4  # of two texts at once none is known to be the last
+
+
+def test_batches_are_rolled_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batches, "FAN", 3)
+    out, total = str(tmp_path / "t"), 0
+    merged = lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n"))
+    for i in range(14):
+        rows = spark.createDataFrame([(i % 2, i), (7, 1)], "k int, n long").coalesce(1)
+        batches.write_batch(rows, out, i, merged)
+        if i in (4, 8):  # replayed after a failure
+            batches.write_batch(rows, out, i, merged)
+        total += i + 1
+        assert batches.read_batches(spark, out).agg(F.sum("n")).first()[0] == total
+    assert batches._listed(spark, out, None) == [(0, 12), (0, 13), (1, 3), (2, 0)]
+    assert batches.read_batches(spark, out, before=10).agg(F.sum("n")).first()[0] == sum(i + 1 for i in range(10))
+    (tmp_path / "t" / "level-2" / "0" / "_SUCCESS").unlink()  # a merge that died
+    assert batches.read_batches(spark, out).agg(F.sum("n")).first()[0] == total
+    assert batches.read_batches(spark, str(tmp_path / "none"), "k int").count() == 0
+
+
+def test_ten_thousand_batches_are_read_through_few_folders():
+    n, fan = 10_000, batches.FAN
+    found = [(level, part) for level in range(4) for part in range(n // fan**level)]
+    folders = batches.chosen(found, fan)
+    assert len(folders) < 100
+    held = [b for level, part in folders for b in range(part * fan**level, (part + 1) * fan**level)]
+    assert sorted(held) == list(range(n))
 
 
 def test_tables_of_one_file_and_of_many(spark, tmp_path):
