@@ -25,14 +25,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _place(path: Column) -> Column:
+    """A path in one form: Spark escapes it differently in listings and in rows."""
+    return F.url_decode(F.replace(F.regexp_replace(path, "^file:/+", "file:/"), F.lit("+"), F.lit("%2B")))
+
+
 def read_code_dir(spark: SparkSession, root: str) -> DataFrame:
     """(file_id, path, code) of every file below ``root``; line ends become newlines. A file that is
-    not UTF-8 has a null code: it is never edited or written, and ``failed_files`` names it. Spark's file
-    sources leave out files of no bytes."""
+    not UTF-8 has a null code: it is never edited or written, and ``failed_files`` names it.
+
+    Spark's file sources list files of no bytes but do not read them; what is in the listing and has no
+    content is added with an empty text.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     raw = files.select(F.col("_metadata.file_path").alias("path"), F.col("content").cast("string").alias("value"))
     text = F.when(F.is_valid_utf8("value"), F.col("value"))
-    return raw.select(F.col("path").alias("file_id"), "path", F.regexp_replace(text, "\r\n?", "\n").alias("code"))
+    read = raw.select("path", F.regexp_replace(text, "\r\n?", "\n").alias("code"))
+    # the listing is the one that the scan itself is planned from
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")
+    listed = listed.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+    with_content = files.select(_place(F.col("_metadata.file_path")).alias("place"))
+    empty = listed.withColumn("place", _place(F.col("path"))).join(with_content, "place", "left_anti")
+    every = read.unionByName(empty.select("path", F.lit("").alias("code")))
+    return every.select(F.col("path").alias("file_id"), "path", "code")
 
 
 def failed_files(files: DataFrame) -> DataFrame:

@@ -238,6 +238,7 @@ def test_reading_a_directory(spark, tmp_path):
     texts = {r.path.rsplit("/", 1)[-1]: r.code for r in rows}
     assert texts["a.py"] == "x = 1\ny = 2\nz\n"
     assert texts["b.js"] == "größe"
+    assert texts["noext"] == "" and len(rows) == 3  # files of no bytes are listed too
 
 
 def test_files_that_are_not_utf8_fail_and_are_never_written(spark, tmp_path):
