@@ -67,6 +67,29 @@ def is_simple(text: bytes) -> bool:
     return not text.translate(None, SIMPLE_BYTES) or SIMPLE_TEXT.fullmatch(text.decode("utf-8")) is not None
 
 
+# The rules of normalisation and splitting that the fast path follows, as the file states them.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTING = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def refuse_others(path: str, config: dict) -> None:
+    """Raises for files whose rules are not those of the fast path, instead of giving wrong ids."""
+    normal, split, model = config["normalizer"] or {}, config["pre_tokenizer"] or {}, config["model"]
+    parts = split.get("pretokenizers", [])
+    fits = {
+        "normalizer": normal.get("normalizers") == NORMALIZERS,
+        "pre_tokenizer": len(parts) == 2
+        and (parts[0].get("pattern"), parts[0].get("behavior"), parts[0].get("invert")) == ({"Regex": SPLITTING}, "Removed", True)
+        and (parts[1].get("type"), parts[1].get("add_prefix_space"), parts[1].get("use_regex")) == ("ByteLevel", False, False),
+        "decoder": config["decoder"] is None and config["post_processor"] is None,
+        "model": model["type"] == "BPE" and bool(model["end_of_word_suffix"])
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+    }
+    other = [name for name, ok in fits.items() if not ok]
+    if other:
+        raise ValueError(f"{path}: this encoder does not cover its {', '.join(other)}")
+
+
 class Encoder:
     """Encodes with a vocabulary whose pre-tokenizer drops white space and marks word ends."""
 
@@ -77,6 +100,7 @@ class Encoder:
 
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
+        refuse_others(path, config)
         model = config["model"]
         suffix = model["end_of_word_suffix"] or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]

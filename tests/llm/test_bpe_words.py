@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 
 from corpusaudit.llm import bpe
-from corpusaudit.llm.queries import VOCABULARY
+from corpusaudit.llm.queries import BYTE_VOCABULARY, VOCABULARY
 
 
 def test_split_equals_the_pattern():
@@ -20,6 +21,11 @@ def test_split_equals_the_pattern():
         assert first.tolist() == np.cumsum([0, *map(len, want)]).tolist()
 
 
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="does not cover its normalizer, pre_tokenizer, decoder, model"):
+        bpe.Encoder(BYTE_VOCABULARY)
+
+
 def test_encoding_is_the_same_in_any_grouping(monkeypatch):
     code = bpe.Encoder(VOCABULARY, cached=3)
     texts = [b"", b"It's a test, isn't it? 12", " ÀÉ x 日本 <|endoftext|>".encode(), b"'s's 'll'", b"   ", b"word " * 50]
