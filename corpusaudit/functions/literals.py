@@ -7,12 +7,15 @@ case, and the three letters that a search ignoring case also takes for ASCII one
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from re import _constants as kinds
 from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusaudit.functions.text import odd_case
+
 MOST = 32  # alternatives of a pattern; more of them require nothing
 GRAM = 3
 # Letters that fold to ASCII beyond lower().
@@ -20,12 +23,33 @@ ODD_LETTERS, THEIR_FOLDS = "ſıİ", "sii"
 
 
 def folded(text: Column) -> Column:
-    return F.lower(F.translate(text, ODD_LETTERS, THEIR_FOLDS))
+    """``translate`` looks every character up, so only the few texts with such a letter pay for it."""
+    return F.lower(F.when(odd_case(text), F.translate(text, ODD_LETTERS, THEIR_FOLDS)).otherwise(text))
+
+
+def grams_in(text: Column, pattern: str) -> Column:
+    """The distinct strings of a folded text that ``pattern``, made by ``grams_pattern``, is for."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+
+
+def grams_pattern(grams: Iterable[str]) -> str:
+    """A pattern that finds each of the three-character strings wherever it begins. They are grouped by their first and
+    second characters, so that a place of a text costs little more for thousands of them than for a few."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for first, second, third in sorted(grams):
+        tree.setdefault(first, {}).setdefault(second, []).append(third)
 
+    def one_of(options: Iterable[str]) -> str:
+        return "[" + "".join(f"\\x{ord(c):02x}" for c in options) + "]"
 
-def grams_in(text: Column) -> Column:
-    """The distinct three-character strings of a folded text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
+    branches = []
+    for first, rest in tree.items():
+        same_end: dict[tuple[str, ...], list[str]] = {}
+        for second, thirds in rest.items():
+            same_end.setdefault(tuple(thirds), []).append(second)
+        tails = "|".join(one_of(seconds) + one_of(thirds) for thirds, seconds in same_end.items())
+        branches.append(f"{one_of(first)}(?:{tails})")
+    return f"(?=({'|'.join(branches)}))" if branches else "(?!)(.)"
 
 
 def grams_of(literal: str) -> list[str]:

@@ -45,6 +45,12 @@ def has(text: Column, literal: str) -> Column:
     return F.contains(text, F.lit(literal))
 
 
+def matches(text: Column, pattern: Column) -> Column:
+    """Whether a pattern from a column is found. Unlike ``rlike``, which compiles such a pattern for every row,
+    this keeps the last one."""
+    return F.regexp_instr(text, pattern) > 0
+
+
 def count_of(text: Column, literal: str) -> Column:
     """Non-overlapping occurrences of a literal."""
     return F.regexp_count(text, F.lit(re.escape(literal))).cast("long")

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit.functions.dialect import java_pattern, java_replacement
-from corpusaudit.functions.literals import folded, grams_in, grams_of, required_literals
-from corpusaudit.functions.text import rows_of, split_lines
+from corpusaudit.functions.literals import folded, grams_in, grams_of, grams_pattern, required_literals
+from corpusaudit.functions.text import matches, rows_of, split_lines
 
 PROPOSAL_SCHEMA = {
     "file_id": None,  # as in the corpus
@@ -89,7 +89,7 @@ def _checked(rules: DataFrame) -> DataFrame:
     return rules
 
 
-def literal_indexes(rules: DataFrame) -> Iterator[DataFrame]:
+def literal_indexes(rules: DataFrame) -> Iterator[tuple[DataFrame, str]]:
     """The index of each ``RULES_AT_ONCE`` rules in the order of their ids: what is on the driver and sent
     to the executors at a time is bounded, and only larger tables read the corpus again."""
     rows, begin = rules.orderBy("rule_id").toLocalIterator(), 0
@@ -98,8 +98,8 @@ def literal_indexes(rules: DataFrame) -> Iterator[DataFrame]:
         begin += len(pack)
 
 
-def literal_index(rules: DataFrame, pack: list, begin: int) -> DataFrame:
-    """(gram, others, rule): where to look a rule up. ``rule`` is a struct of the rule's columns with its
+def literal_index(rules: DataFrame, pack: list, begin: int) -> tuple[DataFrame, str]:
+    """(gram, others, rule): where to look a rule up; and a pattern that finds these strings in a text. ``rule`` is a struct of the rule's columns with its
     place ``rule_ord``, its pattern and replacement for Java, and its required ``literals``.
 
     Each alternative of a rule is filed under the rarest of its three-character strings, counted over
@@ -122,16 +122,21 @@ def literal_index(rules: DataFrame, pack: list, begin: int) -> DataFrame:
         entries += [(g, own[:k], row) for k, g in enumerate(own)]
     kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rules.schema.fields)
     rule = f"struct<{kinds}, rule_ord: int, java_pattern: string, java_replacement: string, literals: array<string>>"
-    return spark.createDataFrame(entries, f"gram string, others array<string>, rule {rule}")
+    index = spark.createDataFrame(entries, f"gram string, others array<string>, rule {rule}")
+    return index, grams_pattern({g for g, _, _ in entries if g})
 
 
 def candidates(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """(file_id, code, low, rule): the rules whose literals a text holds, each once. Strings of the text are
-    joined with the index; only this decides which patterns run at all. The corpus is read once and
+    """(file_id, code, low, rule): the rules whose literals a text holds, each once. Those strings of the text that
+    the index holds are found in one pass and joined with it; only this decides which patterns run at all. The corpus is read once and
     the plan stays the same for up to ``RULES_AT_ONCE`` rules."""
     low = files.select("file_id", "code", folded(F.col("code")).alias("low"))
-    looked_up = low.select("file_id", "code", "low", F.explode(F.concat(F.array(F.lit("")), grams_in(F.col("low")))).alias("gram"))
-    hits = reduce(DataFrame.unionByName, [looked_up.join(F.broadcast(x), "gram") for x in literal_indexes(_checked(rules))])
+
+    def looked_up(pattern: str) -> DataFrame:
+        grams = F.concat(F.array(F.lit("")), grams_in(F.col("low"), pattern))
+        return low.select("file_id", "code", "low", F.explode(grams).alias("gram"))
+
+    hits = reduce(DataFrame.unionByName, [looked_up(p).join(F.broadcast(x), "gram") for x, p in literal_indexes(_checked(rules))])
     first = F.forall("others", lambda g: ~F.contains(F.col("low"), g))
     return hits.filter(first & _holds(F.col("low"), F.col("rule"))).select("file_id", "code", "low", "rule")
 
@@ -156,11 +161,12 @@ def apply_rule_table(files: DataFrame, rules: DataFrame, agent_id: str, agent_or
     Candidate rules come from the index; their patterns run on the lines that hold their literals.
     """
     rule = F.col("rule")
-    numbered = F.transform(split_lines(F.col("code")), lambda line, i: F.struct(line.alias("line"), i.alias("line_no")))
-    matching = F.filter(
-        numbered, lambda x: _holds(folded(x["line"]), rule) & F.rlike(x["line"], rule["java_pattern"])
-    )
-    hits = candidates(files, rules.select(*RULE_COLUMNS)).select("file_id", "rule", F.inline(matching))
+    # folding keeps line ends, so the lines of the folded text are the folded lines
+    both = F.arrays_zip(split_lines(F.col("code")).alias("line"), split_lines(F.col("low")).alias("low"))
+    numbered = F.transform(both, lambda x, i: F.struct(x["line"].alias("line"), x["low"].alias("low"), i.alias("line_no")))
+    matching = F.filter(numbered, lambda x: _holds(x["low"], rule) & matches(x["line"], rule["java_pattern"]))
+    found = F.transform(matching, lambda x: F.struct(x["line"].alias("line"), x["line_no"].alias("line_no")))
+    hits = candidates(files, rules.select(*RULE_COLUMNS)).select("file_id", "rule", F.inline(found))
     return check_proposals(
         hits.select(
             "file_id",

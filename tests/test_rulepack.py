@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corpusaudit.functions.literals import required_literals
+from corpusaudit.functions.literals import grams_in, grams_pattern, required_literals
 from corpusaudit.operators import consensus, lines, propose, rulepack
 
 RULES = (
@@ -147,3 +147,22 @@ def test_rule_ids_are_unique_and_present(spark, corpus_of):
     for rules in ([("a", "c", "x"), ("a", "c", "y")], [(None, "c", "x")]):
         with pytest.raises(ValueError, match="not unique"):
             rulepack.scan_rule_table(corpus_of("x"), spark.createDataFrame(rules, schema))
+
+
+def test_only_strings_of_the_index_are_looked_up(spark):
+    """Before, every distinct string of a text became a row beside the whole text."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("ab]^\\-\n .é", k=200)) for _ in range(60)] + ["", None]
+    grams = {t[i : i + 3] for t in texts[:3] for i in range(0, 150, 7)}
+    for wanted in (grams, set(list(grams)[:1]), set()):
+        wanted = {g for g in wanted if g.isascii()}
+        df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", grams_in(F.col("t"), grams_pattern(wanted)).alias("g"))
+        for r in df.collect():
+            want = None if r.t is None else sorted(wanted & {r.t[i : i + 3] for i in range(len(r.t) - 2)})
+            assert (r.g if r.g is None else sorted(r.g)) == want
+
+
+def test_patterns_of_rules_are_kept_between_lines(spark, corpus_of):
+    """``rlike`` compiles a pattern that is not a constant for every line."""
+    plan = rulepack.apply_rule_table(corpus_of("name1"), table(spark, 3), "names", 3)._jdf.queryExecution().executedPlan().toString().lower()
+    assert "rlike" not in plan and "regexp_instr" in plan
