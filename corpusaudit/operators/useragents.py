@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusaudit.config import AGENTS
 from corpusaudit.functions.dialect import java_pattern, java_replacement
 from corpusaudit.functions.literals import folded, required_literals
+from corpusaudit.functions.text import let, matches
 from corpusaudit.operators.rulepack import RULE_COLUMNS
 from corpusaudit.operators.vote import Field, Voters
 
@@ -88,15 +89,16 @@ def _held(rules: Column, low: Column) -> Column:
 
 
 def active_rules(rules: Column, lines: Column) -> Column:
-    """The rules that can match some line of a text."""
-    return _held(rules, folded(F.array_join(lines, "\n")))
+    """The rules that can match some line of a text, which is folded once for all of them."""
+    return let(F.array_join(lines, "\n"), lambda text: let(folded(text), lambda low: _held(rules, low)))
 
 
 def user_edits(active: Column, line: Column, index: Column) -> Column:
-    """The edits that the active rules propose for one line."""
-    hits = F.filter(_held(active, folded(line)), lambda r: F.rlike(line, r["pattern"]))
+    """The edits that the active rules propose for one line, which is folded once for all of them and not at
+    all if no rule is active."""
+    held = F.when(F.size(active) > 0, let(folded(line), lambda low: _held(active, low))).otherwise(active)
     return F.transform(
-        hits,
+        F.filter(held, lambda r: matches(line, r["pattern"])),
         lambda r: F.struct(
             r["agent_id"].alias("agent_id"),
             r["agent_ord"].alias("agent_ord"),

@@ -88,3 +88,20 @@ def test_agents_are_checked(spark, corpus_of):
     table = spark.createDataFrame([("U1", "c", "x", "y", 0.9, 0.1, "readability")], "rule_id string, category string, pattern string, replacement string, confidence double, impact double, change_type string")
     mine = UserAgent.from_table("mine", table.select(*reversed(RULE_COLUMNS)), lambda f: f("confidence"))
     assert refactor(files, agents=[mine]).first().refactored_code == "y"
+
+
+def test_a_text_is_folded_once_for_all_rules(spark):
+    """Before, the text and each line were folded again for every rule, and patterns compiled for every line."""
+    from pyspark.sql import functions as F
+
+    from corpusaudit.operators.useragents import active_rules, rules_array, user_edits
+
+    files = spark.createDataFrame([(["a name1", "b"],)], "lines array<string>")
+    mine = rules_array([agent((r"name1", "name2", 0.9), (r"[a-z]x", "y", 0.9))], 0)
+    active = files.select("lines", active_rules(mine, F.col("lines")).alias("active"))
+    edits = files.select(user_edits(active_rules(mine, F.col("lines")), F.get("lines", F.lit(0)), F.lit(0)).alias("edits"))
+    assert [r.modified_code for r in edits.first().edits] == ["a name2"]
+    assert [r.rule_id for r in active.first().active] == ["U0", "U1"]
+    plans = [df._jdf.queryExecution().analyzed().toString().lower() for df in (active, edits)]
+    assert not any("contains(lower(" in plan for plan in plans)  # rules are tested on a text that is folded already
+    assert "rlike" not in plans[1]
