@@ -178,3 +178,32 @@ def test_validation_of_results(spark):
 def test_snapshots_of_a_run(corpus_of):
     r = refactor(corpus_of('f = open("../etc/p")'), AuditConfig(max_iterations=3)).first()
     assert [s.iteration for s in r.steps] == [0, 1, 2]
+
+
+def test_syntax_reads_one_text_at_a_time(spark):
+    """Before, every batch was a pandas frame beside its Arrow form."""
+    import ast
+    import re
+
+    from pyspark.sql import functions as F
+
+    from corpusaudit.functions.pyast import syntax
+
+    texts = ["x = 1", "if x:\n  pass\nelif y:\n  pass", "def (", "", None, "a\x00b", "(" * 300, "é = 'ſ'", "try:\n  pass\nexcept A:\n  pass"] * 40
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", syntax(F.col("t")).alias("s"))
+        got = {r.i: (r.s.valid, r.s.cyclomatic) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def parses(text):
+        try:
+            return text is not None and ast.parse(text) is not None
+        except (SyntaxError, ValueError, MemoryError, RecursionError):
+            return False
+
+    assert [got[i][0] for i in range(len(texts))] == [parses(t) for t in texts]
+    assert [got[i][1] for i in range(9)] == [1, 3, None, 1, None, None, None, 1, 2]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"ArrowEvalPython .*\], (\d+)", plan).group(1) in ("250", "251")  # Arrow in and out
