@@ -37,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit.llm.bpe import BYTE_ALPHABET
-from corpusaudit.llm.store import fresh_name, written
+from corpusaudit.llm.store import fresh_name, give_back, written
 from corpusaudit.sources.state import new_dir
 
 CHUNK = 1 << 16  # bytes of a long document per range
 FAN = 8
-BLOCK = 6_000_000  # bytes aligned at once; a block numbers its own pairs
+BLOCK = 3_000_000  # bytes aligned at once; a block numbers its own pairs
+TEXTS_AT_ONCE = 100  # whose ids a library returns as lists at once
 # Fixed value: the published splitting pattern of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Both libraries' tables of letters, digits and spaces agree below this character; others go to the
@@ -119,10 +120,12 @@ class Pair:
 
     def encode(self, side: int, texts: list[bytes]) -> tuple[list[np.ndarray], list[bool]]:
         """The ids of texts, each of which begins with a space, and whether they give back its bytes."""
-        s = self.sides[side]
-        lists = s.encode([t.decode("utf-8") for t in texts])
-        same = [b"".join(map(s.bytes.__getitem__, i)) == t for i, t in zip(lists, texts)]
-        return [np.array(i, np.int64) for i in lists], same
+        s, ids, same = self.sides[side], [], []
+        for part in (texts[i : i + TEXTS_AT_ONCE] for i in range(0, len(texts), TEXTS_AT_ONCE)):
+            lists = s.encode([t.decode("utf-8") for t in part])
+            same += [b"".join(map(s.bytes.__getitem__, i)) == t for i, t in zip(lists, part)]
+            ids += [np.array(i, np.int64) for i in lists]
+        return ids, same
 
     def groups(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> Groups:
         """Groups and links of tokens whose sides begin and end together; ends count from there."""
@@ -334,6 +337,8 @@ def _short(rows: DataFrame, a: str, b: str, keep_groups: bool) -> DataFrame:
                     ids, texts, size = [], [], 0
         if ids:
             yield align(code, blocks, ids, texts)
+        del ids, texts
+        give_back()
 
     return rows.select("doc_id", "text").mapInArrow(run, BLOCKS)
 

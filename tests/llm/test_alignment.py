@@ -171,3 +171,15 @@ def test_fragments_form_a_monoid(size, draws_a, draws_b, at, seed):
         assert [(c >> 32, c & 0xFFFFFFFF) for c in whole.codes.tolist()] == links
         assert len(whole.head_a) == len(whole.tail_a) == len(whole.head_b) == len(whole.tail_b) == 0
         assert (whole.first, whole.last, whole.n_a, whole.n_b) == (0, size, len(sides[0]), len(sides[1]))
+
+
+def test_libraries_return_the_ids_of_few_texts_at_once(monkeypatch):
+    """Before, lists of a whole block's ids, and blocks of 6 MB, stood beside its arrays."""
+    code, sizes = alignment.pair(BYTE_VOCABULARY, PIECE_VOCABULARY), []
+    texts = [f" text {i} café".encode() for i in range(3 * alignment.TEXTS_AT_ONCE + 5)]
+    for side in (0, 1):
+        kind = type(code.sides[side])
+        monkeypatch.setattr(kind, "encode", lambda self, t, encode=kind.encode: sizes.append(len(t)) or encode(self, t))
+        ids, same = code.encode(side, texts)
+        assert all(same) and [b"".join(code.sides[side].bytes[i] for i in x) for x in ids] == texts
+    assert max(sizes) <= alignment.TEXTS_AT_ONCE and alignment.BLOCK <= 3_000_000
