@@ -215,8 +215,9 @@ class Encoder:
         self.recent, self.older = {}, {}
         give_back()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
+    def encode(self, texts: list[bytes], at_once: int = BYTES_AT_ONCE) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers. ``at_once`` bytes of texts share a look-up of
+        their distinct words."""
         out: list[bytes] = [b""] * len(texts)
         plain = [i for i, t in enumerate(texts) if t and is_simple(t)]
         seen = set(plain)
@@ -225,7 +226,7 @@ class Encoder:
             begin = 0
             while begin < len(at):
                 stop, size = begin, 0
-                while stop < len(at) and size < BYTES_AT_ONCE:
+                while stop < len(at) and size < at_once:
                     size += len(texts[at[stop]])
                     stop += 1
                 for i, ids in zip(at[begin:stop], encode([texts[i] for i in at[begin:stop]])):

@@ -30,6 +30,26 @@ SELECTORS = (
 )
 COUNTS = np.array([0, 0] + [c for c, _ in SELECTORS], np.int64)
 BLOCK_IDS = 1 << 17
+BYTES_AT_ONCE = 4_000_000  # of texts whose distinct words are looked up together
+LIMITS = np.array([1 << b for _, b in SELECTORS], np.uint64)
+NARROWEST = np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.uint8)
+
+
+def selectors_of(ids: np.ndarray) -> np.ndarray:
+    """For each id the narrowest selector whose word can begin with it: as many ids from there on as it
+    holds (or all that are left) are narrow enough. Windows of each length are made of two of the length before."""
+    n, most = len(ids), SELECTORS[0][0]
+    widest = np.zeros(n + most, np.uint8)
+    widest[:n] = NARROWEST[np.minimum(ids, np.uint64((1 << 16) - 1)).astype(np.int64)]
+    large = np.flatnonzero(ids >> np.uint64(16))
+    widest[large] = np.searchsorted(LIMITS, ids[large], "right")
+    best, length = np.full(n, len(SELECTORS) - 1, np.int64), 1
+    for k in range(len(SELECTORS) - 2, -1, -1):  # narrower selectors hold more and win
+        more = SELECTORS[k][0] - length
+        widest[:-more] = np.maximum(widest[:-more], widest[more:])
+        length += more
+        best[widest[:n] <= k] = k
+    return best
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,19 +59,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     values = ids[at]
     ids[at] = 0
     n = len(ids)
-    best = np.zeros(n, np.int64)
-    for k in range(len(SELECTORS) - 1, -1, -1):  # narrower selectors hold more and win
-        count, bits = SELECTORS[k]
-        wide = np.flatnonzero(ids >> np.uint64(bits))
-        if len(wide) == 0:
-            best[:] = k
-            continue
-        # the next id that is too wide, at or after each position
-        gaps = np.diff(np.concatenate(([-1], wide, [n])))
-        if gaps[:-1].max() <= count and gaps[-1] == 1:
-            continue  # no run of narrow ids fills a word
-        stop = np.repeat(np.append(wide, n + count), gaps)[:n]
-        best[stop - np.arange(n) >= count] = k
+    best = selectors_of(ids)
     steps = COUNTS[best + 2].tolist()
     starts, i = [], 0
     while i < n:
@@ -113,7 +121,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int) -> None:
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
-            ids = code.encode(as_bytes(batch.column(1)))
+            ids = code.encode(as_bytes(batch.column(1)), BYTES_AT_ONCE)
             for name, i in zip(batch.column(0).to_pylist(), ids):
                 names.append(name)
                 held.append(i + end)

@@ -221,6 +221,24 @@ def test_section_counts(spark, odd):
     assert all(total[r["doc_id"]] == len(library.encode(r["text"], add_special_tokens=False).ids) for r in documents(spark).collect())
 
 
+def test_token_files_look_words_of_longer_stretches_up_at_once(monkeypatch):
+    """Before, 1.5 MB at a time: a word in every stretch was looked up, and its fragments cut, more often."""
+    code, calls, known = bpe.encoder(PATH), [], bpe.Encoder.known
+    monkeypatch.setattr(bpe.Encoder, "known", lambda self, wanted: calls.append(len(wanted)) or known(self, wanted))
+    texts = [(f"word{i % 9} and more é" * 2000).encode() for i in range(90)]
+    assert code.encode(texts, simple8b.BYTES_AT_ONCE) == code.encode(texts) and sum(map(len, texts)) > bpe.BYTES_AT_ONCE
+    assert calls[0] == max(calls) and len(calls) > 2
+
+
+def test_simple8b_selectors_are_the_narrowest():
+    rng = np.random.default_rng(3)
+    for t in range(120):
+        widths = rng.integers(0, [4, 17, 34, 60][t % 4] + 1, int(rng.integers(0, 150)))
+        ids = np.array([int(rng.integers(0, 1 << 60)) & ((1 << int(b)) - 1) for b in widths], np.uint64)
+        want = [next(k for k, (n, bits) in enumerate(simple8b.SELECTORS) if all(int(x) >> bits == 0 for x in ids[i : i + n])) for i in range(len(ids))]
+        assert simple8b.selectors_of(ids).tolist() == want
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(2)
     for bits in (0, 1, 3, 7, 16, 31, 59, 60, 63):
